@@ -5,13 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixmill.llm import neardup
+from helixmill.llm import heavy, neardup, spans
 from helixmill.llm.reads import reads
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = heavy.frequent_ids(reads(spark, sf_dir), "seq", "read_id", 0.005)
+    kmers = heavy.frequent_weights(heavy.counted_kmers(spark.read.parquet(f"{sf_dir}/batch_post_stats.parquet")), "item", "w", 0.003)
+    of = lambda df, origin, item: df.select(F.lit(origin).alias("origin"), F.col(item).alias("item"), "n", "total")
+    return of(seqs, "seq", "seq").unionByName(of(kmers, "kmer", "item"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p2(spark, sf_dir).select("origin", "item")
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent items with their counts and the total of their column."""
+    return _p2(spark, sf_dir)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(reads(spark, sf_dir)).select("read_id_a", "read_id_b")
 
@@ -20,11 +37,46 @@ def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.membership(reads(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found, "p4_members": p4_members}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(reads(spark, sf_dir))
+
+
+def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every read, how much of it other reads hold too."""
+    return spans.shared_share(reads(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p2_counts": p2_counts,
+    "p4_found": p4_found,
+    "p4_members": p4_members,
+    "p5_found": p5_found,
+    "p5_share": p5_share,
+}
 
 _READ = "r AS (SELECT read_id, upper(seq) AS seq FROM fastq_reads WHERE read_id IS NOT NULL AND seq IS NOT NULL AND seq <> '')"
 
+_SPANS = f"""
+WITH {_READ}, w AS (SELECT DISTINCT read_id, i, substr(seq, i + 1, 60) AS t FROM (SELECT read_id, seq, unnest(range(0, length(seq) - 59)) AS i FROM r)),
+s AS (SELECT t FROM w GROUP BY t HAVING min(read_id) <> max(read_id)),
+p AS (SELECT read_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY read_id ORDER BY i) <= 60 THEN 0 ELSE 1 END AS b FROM w JOIN s USING (t)),
+g AS (SELECT read_id, i, sum(b) OVER (PARTITION BY read_id ORDER BY i) AS g FROM p),
+f AS (SELECT read_id, CAST(min(i) AS INTEGER) AS span_start, CAST(max(i) + 60 AS INTEGER) AS span_end FROM g GROUP BY read_id, g)"""
+_FREQUENT = f"""
+WITH {_READ}, k AS (SELECT max(kmer) AS kmer FROM batch_post_stats WHERE kmer IS NOT NULL GROUP BY batch_id),
+u AS (SELECT i - 1 AS i, kmer[i] AS w FROM k, range(1, 1025) t(i)),
+a AS (SELECT 'seq' AS origin, seq AS item, count(DISTINCT read_id) AS n, (SELECT count(DISTINCT read_id) FROM r) AS total FROM r GROUP BY seq),
+b AS (SELECT 'kmer' AS origin, array_to_string([substr('ATCG', 1 + (i // pow(4, d)::BIGINT) % 4, 1) FOR d IN [4, 3, 2, 1, 0]], '') AS item,
+ CAST(sum(w) AS BIGINT) AS n, (SELECT CAST(sum(w) AS BIGINT) FROM u) AS total FROM u GROUP BY i),
+f AS (SELECT * FROM a WHERE n >= 0.005 * total UNION ALL SELECT * FROM b WHERE n >= 0.003 * total)"""
+
 ORACLES: dict[str, str] = {
+    "p2_found": f"{_FREQUENT} SELECT origin, item FROM f",
+    "p2_counts": f"{_FREQUENT} SELECT origin, item, n, total FROM f",
+    "p5_found": f"{_SPANS} SELECT * FROM f",
+    "p5_share": f"""{_SPANS}, n AS (SELECT read_id, CAST(max(length(seq)) AS BIGINT) AS n_chars FROM r GROUP BY 1)
+SELECT n.read_id, n_chars, CAST(coalesce((SELECT sum(span_end - span_start) FROM f WHERE f.read_id = n.read_id), 0) AS BIGINT) AS n_shared FROM n""",
     "p4_found": f"""
 WITH {_READ}, d AS (SELECT seq, min(read_id) AS id FROM r WHERE length(seq) >= 30 GROUP BY seq),
 g AS (SELECT DISTINCT id, substr(seq, i, 8) AS gram FROM (SELECT id, seq, unnest(range(1, length(seq) - 6)) AS i FROM d)),
