@@ -1,8 +1,8 @@
 """Near-duplicate records with small edits: HyperMinHash registers, banding, corrected estimates, exact check.
 
 Equal sequences are collapsed first. Every distinct sequence gets a HyperMinHash sketch of its k-character
-substrings; bands of compressed registers are exchanged as packed blocks, and sequences that agree in a band
-are candidates. A band value held by more than ``HOT`` sequences isn't expanded into pairs: its holders go
+substrings; bands of compressed registers are exchanged as packed blocks, and sequences that agree in ``AGREE``
+bands are candidates: one agreement alone is mostly a shared adapter or tail. A band value held by more than ``HOT`` sequences isn't expanded into pairs: its holders go
 through another pass with new hash functions and longer bands, which parts those that only share common
 pieces. What is still together after the last pass is alike, and is compared in salted block pairs.
 """
@@ -10,7 +10,6 @@ pieces. What is still together after the last pass is alike, and is compared in
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,8 @@ from helixmill.operators.staging import join_checked, staged
 _U = np.uint64
 #: Holders of one band value beyond which a pass hands them to the next one. A pass makes at most HOT/2 candidate pairs per band entry.
 HOT = 128
+#: Bands in which a pair must agree.
+AGREE = 2
 #: Rows per block in the last resort for groups that no pass could part.
 BLOCK = 256
 
@@ -49,8 +50,10 @@ class NearDupOptions:
 
     def bands(self, rows: int) -> int:
         """Bands for bands of so many registers, rounded up so that the registers fill whole groups of buckets."""
-        need = ceil(log(self.miss) / log(1 - self.threshold**rows))
-        while need * rows % self.buckets:
+        one = self.threshold**rows
+        missed = lambda n: (1 - one) ** n + n * one * (1 - one) ** (n - 1)  # noqa: E731  (agrees in none or in one)
+        need = 1
+        while missed(need) > self.miss or need * rows % self.buckets:
             need += 1
         return need
 
@@ -70,7 +73,7 @@ def pairs_of_distinct(held: DataFrame, opts: NearDupOptions) -> DataFrame:
     found, now = [], held
     for turn in range(opts.passes):
         got = staged(_band_pass(now, opts, opts.rows + turn, turn), "bands")
-        found.append(got.where("not hot").select("a", "b"))
+        found.append(got.where("not hot").select("a", "b", F.lit(1).alias("n")))
         hot = got.where("hot").select(F.col("a").alias("rid")).distinct()
         if not got.where("hot").limit(1).count():
             break
@@ -78,11 +81,11 @@ def pairs_of_distinct(held: DataFrame, opts: NearDupOptions) -> DataFrame:
         if turn + 1 < opts.passes:
             now = staged(join_checked(held, hot, "rid", "left_semi", 16), "again")
         else:
-            found.append(_block_pairs(got.where("hot").select("key", F.col("a").alias("rid")).distinct(), held, opts))
+            found.append(_block_pairs(got.where("hot").select("key", F.col("a").alias("rid")).distinct(), held, opts).withColumn("n", F.lit(AGREE)))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    pairs = staged(pairs.distinct(), "pairs")
+    pairs = staged(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= AGREE).select("a", "b"), "pairs")
     return _verified(pairs, held, opts)
 
 
