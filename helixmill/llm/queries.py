@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import heavy, neardup, spans
+from helixmill.llm import heavy, leakage, mixing, neardup, residue, spans
 from helixmill.llm.reads import reads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,38 @@ def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(reads(spark, sf_dir))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_leaks(spark, sf_dir).where("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbatim and paraphrased leaks with the best cosine of the pair's passages."""
+    return leakage.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn documents and how often each is used."""
+    return mixing.mix(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target, weight and share reached of every source."""
+    return mixing.mix(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_residue(spark, sf_dir).select("doc_id").distinct()
+
+
+def p8_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to exclude, with the kinds of residue and how many characters each covers."""
+    return residue.residue(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_counts": p2_counts,
@@ -53,6 +85,12 @@ QUERIES: dict[str, Query] = {
     "p4_members": p4_members,
     "p5_found": p5_found,
     "p5_share": p5_share,
+    "p6_found": p6_found,
+    "p6_leaks": p6_leaks,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_residue": p8_residue,
 }
 
 _READ = "r AS (SELECT read_id, upper(seq) AS seq FROM fastq_reads WHERE read_id IS NOT NULL AND seq IS NOT NULL AND seq <> '')"
@@ -75,6 +113,13 @@ ORACLES: dict[str, str] = {
     "p2_found": f"{_FREQUENT} SELECT origin, item FROM f",
     "p2_counts": f"{_FREQUENT} SELECT origin, item, n, total FROM f",
     "p5_found": f"{_SPANS} SELECT * FROM f",
+    "p6_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+q AS (SELECT item_id, least(12, len(w)) AS n, w FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS t FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM q)),
+s AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS t FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM q)))
+SELECT DISTINCT doc_id, item_id FROM g JOIN s USING (n, t)""",
     "p5_share": f"""{_SPANS}, n AS (SELECT read_id, CAST(max(length(seq)) AS BIGINT) AS n_chars FROM r GROUP BY 1)
 SELECT n.read_id, n_chars, CAST(coalesce((SELECT sum(span_end - span_start) FROM f WHERE f.read_id = n.read_id), 0) AS BIGINT) AS n_shared FROM n""",
     "p4_found": f"""
