@@ -59,6 +59,12 @@ def _release_all() -> None:
             pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores. Only inputs of a few small files move; large ones have more splits anyway."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a staged table's rows, at ``row_bytes`` each, stay under ``limit``. Counts at most limit rows."""
     most = max(1, limit // max(1, row_bytes))
