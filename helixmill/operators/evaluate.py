@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.rolling import codes, flat, mix, window_starts
-from helixmill.operators.staging import spread
-from helixmill.operators.stats import kmers
+from helixmill.operators.staging import spread, staged
+from helixmill.operators.stats import kmer_name, kmers
 
 #: Read-name prefixes of two-colour instruments; substring lengths and counts that make a sequence hot.
 TWO_COLOUR = ["@FS", "@MN", "@SH", "@NS", "@NB", "@NDX", "@VL", "@VH", "@A", "@NA", "@LH"]
@@ -45,20 +45,20 @@ def hot_sequences(df: DataFrame, steps: list[int] | None = None, buckets_bits: i
         steps = sorted({s for s in [*STEPS[:-1], min(STEPS[-1], shape["n"] - 2)] if s > 0})
     scale = max(1.0, shape["b"] / HOT_BASES)
     least = {s: int(np.ceil(hot_least(s, shape["n"]) * scale)) for s in steps}
-    spread = 1 << buckets_bits
+    width = 1 << buckets_bits
 
     def slots(chars, at, step):
         owner, place = window_starts(at, step)
         tag = mix(codes(chars, step)[place], step) if len(place) else np.zeros(0, _U)
-        return owner, place, (tag & _U(spread - 1)).astype(np.int64)
+        return owner, place, (tag & _U(width - 1)).astype(np.int64)
 
     def coarse(batches):
-        total = {s: np.zeros(spread, np.int64) for s in steps}
+        total = {s: np.zeros(width, np.int64) for s in steps}
         for batch in batches:
             if batch.num_rows:
                 chars, at = flat(batch.column(0))
                 for s in steps:
-                    total[s] += np.bincount(slots(chars, at, s)[2], minlength=spread)
+                    total[s] += np.bincount(slots(chars, at, s)[2], minlength=width)
         for s in steps:
             there = np.flatnonzero(total[s])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), s, np.int32)), pa.array(there), pa.array(total[s][there])], names=["step", "bucket", "n"])
@@ -69,7 +69,7 @@ def hot_sequences(df: DataFrame, steps: list[int] | None = None, buckets_bits: i
         enough = enough | ((F.col("step") == s) & (F.col("n") >= least[s]))
     # at most 2^buckets_bits a step, and no more than the total over the least count
     heavy = seqs.mapInArrow(coarse, "step int, bucket long, n long").groupBy("step", "bucket").agg(F.sum("n").alias("n")).where(enough).select("step", "bucket").collect()
-    marks = {s: np.zeros(spread, bool) for s in steps}
+    marks = {s: np.zeros(width, bool) for s in steps}
     for r in heavy:
         marks[r["step"]][r["bucket"]] = True
     known = df.sparkSession.sparkContext.broadcast(marks)
@@ -180,16 +180,16 @@ def adapter_seeds(df: DataFrame, top: int = 10, keep_tail: int = 1) -> DataFrame
 
     Counted from base 20 on, without the last ``keep_tail`` bases; poor, GC-rich and rare ones are left out.
     """
-    counted = kmers(df, 10, first=20, last=keep_tail)
-    total = F.col("total")
-    counted = counted.crossJoin(F.broadcast(counted.agg(F.sum("n").alias("total"))))  # one row
+    counted = staged(kmers(df, 10, first=20, last=keep_tail).select("code", "n"), "seeds")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    often = counted.where((F.col("n") >= 10) & (F.col("n") * 4**10 >= 20 * total)).withColumn("kmer", kmer_name(F.col("code"), 10))
     k = F.col("kmer")
     most = lambda b: F.length(k) - F.length(F.translate(k, b, ""))
     turns = sum((F.substring(k, i, 1) != F.substring(k, i + 1, 1)).cast("int") for i in range(1, 10))
     ok = (k != "A" * 10) & (most("CG") < 8) & ~k.startswith("GGGG") & (turns >= 3)
     for b in "ATCG":
         ok = ok & (most(b) < 6)
-    return counted.where(ok & (F.col("n") >= 10) & (F.col("n") * 4**10 >= 20 * total)).orderBy(F.desc("n"), F.desc("code")).limit(top).select("kmer", "n")
+    return often.where(ok).orderBy(F.desc("n"), F.desc("code")).limit(top).select("kmer", "n")
 
 
 def known_adapter_votes(df: DataFrame, adapters: list[str], least: int = 8, per: int = 16) -> DataFrame:
