@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +105,6 @@ def tag(code) -> Column:
 
 def register(spark: SparkSession) -> None:
     """SQL functions of the engine: expressions as SQL functions, kernels as Arrow functions, and a table function for FASTQ text."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf, udtf
 
     from helixmill.functions.kernels import Reads, adapter_at, poly_g_end, poly_x_end, quality_cut

@@ -157,3 +157,19 @@ def deinterleave(df: DataFrame) -> DataFrame:
     first = half.where("read_id % 2 = 0").select(F.col("pair").alias("read_id"), "name", "seq", "qual")
     second = half.where("read_id % 2 = 1").select(F.col("pair").alias("read_id"), "name", "seq", "qual")
     return pair_up(first, second).where("paired")
+
+
+def split_routes(routed: DataFrame, o: Options) -> DataFrame:
+    """Routes out1 and out2 cut into numbered files: ``split`` files of about equal size, or ``split_by_lines`` lines each. Mates stay together."""
+    from helixmill.operators.ordered import ranked
+
+    main = routed.where("route in ('out1', 'out2')")
+    order = ranked(main.select("read_id").distinct(), ["read_id"])
+    if o.split_by_lines:
+        number = F.floor(F.col("rank") / (o.split_by_lines // 4))
+    else:
+        number = F.least(F.floor(F.col("rank") * o.split / max(1, order.count())), F.lit(o.split - 1))
+    prefix = F.lpad((number + 1).cast("string"), max(1, o.split_prefix_digits), "0") if o.split_prefix_digits else (number + 1).cast("string")
+    placed = main.join(order.select("read_id", prefix.alias("_file")), "read_id")
+    named = placed.withColumn("route", F.concat_ws(".", "_file", "route")).select(*main.columns)
+    return named.unionByName(routed.where("route not in ('out1', 'out2')"))
