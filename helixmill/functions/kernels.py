@@ -178,7 +178,7 @@ def _straight(seq: Reads, a: np.ndarray, least: int) -> np.ndarray:
     wrong = np.zeros((n, len(pos)), _counter(m))
     for k, c in enumerate(a):
         part = padded[:, k : k + len(pos)]
-        wrong += (part != c) & (part > 0)
+        wrong += ((part != c) & (part > 0)).view(np.int8)
     length = np.minimum(size[:, None] - pos, m)
     at = first((wrong <= length // 8) & (pos < (size - least)[:, None]), -99)
     return np.where(at == -99, size, at - lead)
@@ -192,24 +192,26 @@ def _gapped(seq: Reads, a: np.ndarray, least: int) -> np.ndarray:
         return out
     padded = np.zeros((n, width + m + 1), np.uint8)
     padded[:, :width] = seq.data
+    there = padded > 0
     pos = np.arange(width)
     found = np.zeros(n, bool)
     kind = _counter(m)
     for extra_in_read in (True, False):
         most = m if extra_in_read else m - 1
-        length = np.minimum(size[:, None] - pos - (1 if extra_in_read else 0), most).astype(np.int32)
-        limit = length // 8 - 1
+        limit = np.minimum(size[:, None] - pos - (1 if extra_in_read else 0), most) // 8 - 1
         balance, least_balance = np.zeros((n, width), kind), np.full((n, width), 99, kind)  # straight minus shifted mismatches so far
         shifted_all = np.zeros((n, width), kind)
         for i in range(most):
-            inside = i < length
+            # a split behind the last compared character is no gap; it can only give what the straight search would have found
             if i:
-                np.minimum(least_balance, balance, out=least_balance, where=inside)
-            straight = (padded[:, i : i + width] != a[i]) & inside
-            shifted = ((padded[:, i + 1 : i + 1 + width] != a[i]) if extra_in_read else (padded[:, i : i + width] != a[i + 1])) & inside
-            balance += straight
-            balance -= shifted
-            shifted_all += shifted
+                np.minimum(least_balance, balance, out=least_balance)
+            here, next_ = padded[:, i : i + width], padded[:, i + 1 : i + 1 + width]
+            inside = there[:, i + 1 : i + 1 + width] if extra_in_read else there[:, i : i + width]
+            straight = (here != a[i]) & inside
+            shifted = ((next_ != a[i]) if extra_in_read else (here != a[i + 1])) & inside
+            balance += straight.view(np.int8)
+            balance -= shifted.view(np.int8)
+            shifted_all += shifted.view(np.int8)
         end = size - least - (1 if extra_in_read else 0)
         hit = (least_balance.astype(np.int32) + shifted_all <= limit) & (limit >= 0) & (pos < end[:, None])
         at = first(hit, -1)
@@ -249,6 +251,85 @@ def overlap(r1: Reads, r2: Reads, least: int = 30, diff_limit: int = 5, diff_pct
     return found, offset, length, diff
 
 
+def overlap_one_gap(r1: Reads, r2: Reads, rows: np.ndarray, least: int = 30, diff_limit: int = 5, diff_pct: float = 0.2):
+    """(found, offset, length, differences) of the pairs ``rows`` if one base may be inserted in either mate.
+
+    Offsets are tried as in ``overlap``. The pieces before and after the insertion are compared over one base less than the overlap; the
+    fewest differences of any place of the insertion count. As a condition of its own, the straight comparison of all but the last
+    base, with the shifted comparison of the last one, must stay within the limit too.
+    """
+    rc = reverse_complement(r2)
+    n = len(rows)
+    found, offset, length, diff = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    fixed = int(least * diff_pct) >= diff_limit
+    for sign in (1, -1):
+        a, b = (r1.rows(rows), rc.rows(rows)) if sign > 0 else (rc.rows(rows), r1.rows(rows))
+        for step in range(max(0, int(a.size.max(initial=0)) - least)):
+            live = np.flatnonzero(~found & (step < a.size - least))
+            if not len(live):
+                continue
+            ol = np.minimum(a.size[live] - step, b.size[live])
+            c = ol - 1
+            w = int(ol.max())
+            x, y = np.zeros((len(live), w + 1), np.uint8), np.zeros((len(live), w + 1), np.uint8)
+            px, py = a.data[live, step : step + w + 1], b.data[live, : w + 1]
+            x[:, : px.shape[1]], y[:, : py.shape[1]] = px, py
+            k = np.arange(w)
+            inside = k < c[:, None]
+            straight = (x[:, :w] != y[:, :w]) & inside
+            before = np.cumsum(straight, axis=1) - straight
+            limit = diff_limit if fixed else np.minimum(diff_limit, (ol * diff_pct).astype(int))
+            best = np.full(len(live), 10**6)
+            # the insertion lies in the first mate, then in the second
+            for ins, norm in ((x, y), (y, x)) if sign > 0 else ((y, x), (x, y)):
+                shifted = (ins[:, 1 : w + 1] != norm[:, :w]) & inside
+                after = shifted[:, ::-1].cumsum(axis=1)[:, ::-1]
+                total = np.where((k >= 1) & inside, before + after, 10**6).min(axis=1)
+                last = np.take_along_axis(shifted, (c - 1).clip(0)[:, None], axis=1)[:, 0]
+                spent = np.take_along_axis(before, (c - 1).clip(0)[:, None], axis=1)[:, 0]
+                ok = (total <= limit) & (spent + last <= limit) & (best == 10**6) & (c > 1)
+                best = np.where(ok, total, best)
+            hit = best < 10**6
+            rows_hit = live[hit]
+            found[rows_hit], offset[rows_hit], length[rows_hit], diff[rows_hit] = True, sign * step, ol[hit], best[hit]
+    return found, offset, length, diff
+
+
+def merge_exact_ends(r1: Reads, q1: Reads, r2: Reads, q2: Reads, least: int = 30):
+    """(merged, overlap, sequence, quality) of pairs whose ends overlap by at least ``least`` bases, the shortest such overlap.
+
+    At most two differences are allowed, each between a base of Q30 or more and one of Q15 or less; the sure one is kept. Where the mates agree, their qualities add up.
+    """
+    rc = reverse_complement(r2)
+    rq = q2.from_tail()
+    n = len(r1)
+    size = np.zeros(n, np.int64)
+    for ol in range(least, int(min(r1.size.max(initial=0), r2.size.max(initial=0))) + 1):
+        live = np.flatnonzero((size == 0) & (ol <= np.minimum(r1.size, r2.size)))
+        if not len(live):
+            continue
+        at = (r1.size[live] - ol)[:, None] + np.arange(ol)
+        wrong = r1.data[live[:, None], at] != rc.data[live, :ol]
+        u, v = q1.data[live[:, None], at], rq[live, :ol]
+        low = wrong & (((u >= 63) & (v <= 48)) | ((u <= 48) & (v >= 63)))
+        size[live[(wrong.sum(axis=1) == low.sum(axis=1)) & (low.sum(axis=1) < 3)]] = ol
+    seqs, quals = [], []
+    for i in range(n):
+        ol = int(size[i])
+        if not ol:
+            seqs.append(None)
+            quals.append(None)
+            continue
+        cut = int(r1.size[i]) - ol
+        a, b, u, v = r1.data[i, cut : cut + ol], rc.data[i, : r2.size[i]].copy(), q1.data[i, cut : cut + ol].astype(int), rq[i, : r2.size[i]].astype(int)
+        sure = (a != b[:ol]) & (u >= 63) & (v[:ol] <= 48)
+        v[:ol] = np.where(a == b[:ol], u + v[:ol] - 33, np.where(sure, u, v[:ol]))
+        b[:ol] = np.where(sure, a, b[:ol])
+        seqs.append((r1.data[i, :cut].tobytes() + b.tobytes()).decode("latin-1"))
+        quals.append((q1.data[i, :cut].tobytes() + v.astype(np.uint8).tobytes()).decode("latin-1"))
+    return size > 0, size, seqs, quals
+
+
 def correct(r1: Reads, q1: Reads, r2: Reads, q2: Reads, found, offset, length, diff, good: int = 30, bad: int = 14):
     """Mismatches in the overlap where one mate is sure and the other isn't take the sure base and its quality. Changes the
     matrices in place and returns (row, from mate, old base, new base) of every correction."""

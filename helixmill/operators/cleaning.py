@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions import expressions as E
-from helixmill.functions.kernels import Reads, adapter_at, correct, overlap, poly_g_end, poly_x_end, quality_cut, reverse_complement, strings
+from helixmill.functions.kernels import Reads, adapter_at, correct, overlap, overlap_one_gap, poly_g_end, poly_x_end, quality_cut, reverse_complement, strings
 from helixmill.operators.staging import spread
 from helixmill.plans.options import Options
 
 SINGLE = "read_id long, name string, seq string, strand string, qual string, verdict int, adapter string, poly_base string, poly_len int"
 PAIR = (
-    "read_id long, name1 string, seq1 string, qual1 string, name2 string, seq2 string, qual2 string, verdict1 int, verdict2 int, overlapped boolean, offset int, overlap_len int, diff int, "
+    "read_id long, name1 string, seq1 string, qual1 string, name2 string, seq2 string, qual2 string, verdict1 int, verdict2 int, overlapped boolean, offset int, overlap_len int, diff int, has_gap boolean, "
     "insert_size int, adapter1 string, adapter2 string, poly_base1 string, poly_len1 int, poly_base2 string, poly_len2 int, corrected1 int, corrected2 int, merged_seq string, merged_qual string, merged_name string, merged_verdict int, overlapped_seq string, overlapped_qual string"
 )
 
@@ -169,12 +169,18 @@ def clean_pairs(df: DataFrame, o: Options) -> DataFrame:
                 y.poly_g(o.poly_g_min, both)
             found, offset, length, diff = overlap(x.seq, y.seq, o.overlap_least, o.overlap_diff, o.overlap_diff_percent / 100)
             found &= both
+            gap = np.zeros(n, bool)
+            if o.allow_gap_overlap:
+                rows = np.flatnonzero(both & ~found)
+                more = overlap_one_gap(x.seq, y.seq, rows, o.overlap_least, o.overlap_diff, o.overlap_diff_percent / 100)
+                found[rows], offset[rows], length[rows], diff[rows] = more
+                gap[rows] = more[0]
             l1, l2 = x.seq.size.copy(), y.seq.size.copy()
             insert = np.where(found, np.where(offset > 0, l1 + l2 - length, length) + x.front + y.front, 512).clip(0, 512)
             insert[~both] = -1
             fixed = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
             if o.correction:
-                row, mate, _, _ = correct(x.seq, x.qual, y.seq, y.qual, found, offset, length, diff)
+                row, mate, _, _ = correct(x.seq, x.qual, y.seq, y.qual, found & ~gap, offset, length, diff)
                 for k in (1, 2):
                     fixed[k - 1] += np.bincount(row[mate == k], minlength=n)
             if o.adapter_trimming:
@@ -207,7 +213,7 @@ def clean_pairs(df: DataFrame, o: Options) -> DataFrame:
             ms, mq, mn, mv = merged or (none, none, none, pa.nulls(n, pa.int32()))
             i32 = lambda a: pa.array(np.asarray(a).astype(np.int32))
             blank = pa.array(~(exact & both))
-            cols = [b.column("read_id"), b.column("name1"), s1, q1, b.column("name2"), s2, q2, i32(v1), i32(v2), pa.array(found), i32(offset), i32(length), i32(diff), i32(insert)]
+            cols = [b.column("read_id"), b.column("name1"), s1, q1, b.column("name2"), s2, q2, i32(v1), i32(v2), pa.array(found), i32(offset), i32(length), i32(diff), pa.array(gap), i32(insert)]
             cols += [pa.array(x.adapter.tolist(), pa.string()), pa.array(y.adapter.tolist(), pa.string()), pa.array(x.poly_base.tolist(), pa.string()), i32(x.poly_len), pa.array(y.poly_base.tolist(), pa.string()), i32(y.poly_len)]
             cols += [i32(fixed[0]), i32(fixed[1]), ms, mq, mn, mv, _blank(common[0], blank), _blank(common[1], blank)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -301,3 +307,21 @@ def trimmed(df: DataFrame, how) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), strings(s.data, start, end).take(rows), strings(q.data, start, end).take(rows)], names=["read_id", "seq", "qual"])
 
     return df.select("read_id", "seq", "qual").mapInArrow(run, "read_id long, seq string, qual string")
+
+
+def merge_ends(df: DataFrame, least: int = 30) -> DataFrame:
+    """(read_id, name, seq, qual) of the pairs that the simple merge joins; the name tells offset and overlap."""
+    from helixmill.functions.kernels import merge_exact_ends
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            r1, q1, r2, q2 = (Reads(b.column(c)) for c in ("seq1", "qual1", "seq2", "qual2"))
+            done, size, seqs, quals = merge_exact_ends(r1, q1, r2, q2, least)
+            rows = np.flatnonzero(done)
+            names = b.column("name").to_pylist()
+            name = [f"{names[i]} merged offset:{r1.size[i] - size[i]} overlap:{size[i]}" for i in rows]
+            yield pa.RecordBatch.from_arrays([b.column("read_id").take(pa.array(rows)), pa.array(name, pa.string()), pa.array([seqs[i] for i in rows], pa.string()), pa.array([quals[i] for i in rows], pa.string())], names=["read_id", "name", "seq", "qual"])
+
+    return spread(df.select("read_id", "name", "seq1", "qual1", "seq2", "qual2")).mapInArrow(run, "read_id long, name string, seq string, qual string")

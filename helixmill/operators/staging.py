@@ -60,7 +60,12 @@ def _release_all() -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores. Only inputs of a few small files move; large ones have more splits anyway."""
+    """``df`` in at least as many partitions as there are cores. Only inputs of a few small files move; large ones have more splits anyway.
+
+    Plans that shuffle already are left alone: to ask for their partitions would run them.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -49,6 +49,23 @@ def overlap(spark: SparkSession, d: str) -> DataFrame:
     return _bare(spark, d).select("read_id", "overlapped", F.col("offset").alias("offset_"), "overlap_len", "diff")
 
 
+@query()
+def overlap_one_gap(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps where one base may be inserted in a mate; every seventh pair loses a base first."""
+    lost = pairs(spark, d).withColumn("seq2", F.when(F.col("read_id") % 7 == 0, F.expr("concat(substring(seq2, 1, 49), substring(seq2, 51))")).otherwise(F.col("seq2")))
+    lost = lost.withColumn("qual2", F.expr("substring(qual2, 1, length(seq2))")).withColumn("name1", F.col("name")).withColumn("name2", F.col("name"))
+    got = cleaning.clean_pairs(lost, replace(BARE, allow_gap_overlap=True, overlap_diff=2))
+    return got.select("read_id", "overlapped", F.col("offset").alias("offset_"), "overlap_len", "diff", "has_gap")
+
+
+@query()
+def merge_simple(spark: SparkSession, d: str) -> DataFrame:
+    """The simple merge of pairs whose ends overlap."""
+    from helixmill.operators.cleaning import merge_ends
+
+    return merge_ends(pairs(spark, d))
+
+
 @query(f"{_CANDIDATES} SELECT CAST(isize AS INTEGER) AS insert_size, count(*) AS n FROM q GROUP BY 1")
 def insert_size_hist(spark: SparkSession, d: str) -> DataFrame:
     return _bare(spark, d).where("insert_size >= 0").groupBy("insert_size").agg(F.count(F.lit(1)).alias("n"))

@@ -32,7 +32,9 @@ def two_color(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _distinct_reads(spark: SparkSession, d: str) -> DataFrame:
-    return reads(spark, d).select("read_id", "seq").distinct()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # one shuffle, by read, into partitions that stay: the kernels behind it need them
+    return reads(spark, d).select("read_id", "seq").repartition(n, "read_id").distinct()
 
 
 _HOT = f"""WITH {READS}, r AS (SELECT DISTINCT read_id, seq FROM reads), z AS (SELECT max(length(seq)) AS l, greatest(1.0, sum(length(seq)) / 1510000) AS f FROM r),

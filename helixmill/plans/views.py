@@ -40,7 +40,8 @@ pairs AS (SELECT id AS read_id, name, s1 AS seq1, substr(qual, 1, length(s1)) AS
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, name, seq1, qual1, seq2, qual2): pairs derived from the reads."""
-    r = reads(spark, sf_dir).select("read_id", "name", F.upper("seq").alias("frag"), "qual").distinct()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    r = reads(spark, sf_dir).select("read_id", "name", F.upper("seq").alias("frag"), "qual").repartition(n, "read_id").distinct()
     i = F.col("read_id")
     n = F.length("frag")
     sub = lambda c, a, b=None: F.substring(c, F.lit(a) if isinstance(a, int) else a.cast("int"), (b if b is not None else F.lit(1 << 20)).cast("int"))

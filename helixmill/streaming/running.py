@@ -25,7 +25,10 @@ def bucket_counts(df: DataFrame) -> DataFrame:
 
 
 def first_deliveries(df: DataFrame, ident: str = "read_id", at: str = "loaded_at", delay: str = "1 day") -> DataFrame:
-    """Repeated deliveries of an id dropped; an id is remembered until the watermark has passed ``delay``, which bounds the state."""
+    """Repeated deliveries of an id dropped; an id is remembered until the watermark has passed ``delay``, which bounds the state.
+
+    Rows later than ``delay`` are dropped, as with any watermark: choose it longer than the latest delivery.
+    """
     return df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([ident])
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from helixmill.functions.kernels import Reads, adapter_at, correct, longest_repeat, overlap, poly_g_end, poly_x_end, quality_cut, reverse_complement, strings
+from helixmill.functions.kernels import Reads, adapter_at, correct, longest_repeat, merge_exact_ends, overlap, overlap_one_gap, poly_g_end, poly_x_end, quality_cut, reverse_complement, strings
 
 
 def text(r: Reads) -> list[str]:
@@ -154,3 +154,58 @@ def test_repeat():
         t = "".join(rng.choice("AC") for _ in range(rng.randrange(0, 40)))
         best = max((k for k in range(1, len(t)) for i in range(len(t) - k + 1) if t.find(t[i : i + k], i + 1) >= 0), default=0)
         assert longest_repeat(t, 1)[0] == best
+
+
+def _one_gap(a, b, least, most, pct):
+    def fewest(ins, norm, c, limit):
+        last = int(ins[c] != norm[c - 1])
+        best = 10**6
+        for i in range(1, c):
+            left = sum(x != y for x, y in zip(ins[:i], norm[:i]))
+            if left + last > limit:
+                return -1
+            best = min(best, left + sum(x != y for x, y in zip(ins[i + 1 : c + 1], norm[i:c])))
+        return best
+
+    for sign in (1, -1):
+        first, second = (a, b) if sign > 0 else (b, a)
+        for step in range(max(0, len(first) - least)):
+            ol = min(len(first) - step, len(second))
+            limit = most if int(least * pct) >= most else min(most, int(ol * pct))
+            x, y = first[step:] + "~" * 3, second + "~" * 3
+            for ins, norm in ((x, y), (y, x)) if sign > 0 else ((y, x), (x, y)):
+                d = fewest(ins, norm, ol - 1, limit)
+                if 0 <= d <= limit:
+                    return True, sign * step, ol, d
+    return False, 0, 0, 0
+
+
+def test_one_gap_against_slow_loop():
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    one, two = [], []
+    for i in range(60):
+        f = word(60)
+        g = list(f[rng.randrange(0, 20) :])
+        g.insert(rng.randrange(len(g) - 6, len(g)), "A") if i % 3 else g.pop(len(g) - 4)
+        one.append(f)
+        two.append(rc("".join(g)))
+    two[0] = word(60)
+    want = [_one_gap(x, rc(y), 20, 2, 0.2) for x, y in zip(one, two)]
+    got = overlap_one_gap(Reads(one), Reads(two), np.arange(60), 20, 2, 0.2)
+    assert [tuple(t) for t in zip(*[g.tolist() for g in got])] == want and 10 < sum(w[0] for w in want) < 60
+
+
+def test_simple_merge():
+    rng = random.Random(2)
+    f = "".join(rng.choice("ACGT") for _ in range(120))
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    a, b = f[:80], list(f[40:])
+    b[5] = "A" if b[5] != "A" else "C"
+    b = "".join(b)
+    qb = ["5"] * 80
+    qb[5] = "#"
+    done, size, seqs, quals = merge_exact_ends(Reads([a, f[:40], ""]), Reads(["F" * 80, "F" * 40, ""]), Reads([rc(b), rc(f[60:]), ""]), Reads(["".join(qb)[::-1], "5" * 60, ""]))
+    assert done.tolist() == [True, False, False] and size[0] == 40 and seqs[0] == f
+    assert quals[0] == "F" * 40 + chr(70 + 53 - 33) * 5 + "F" + chr(70 + 53 - 33) * 34 + "5" * 40

@@ -109,7 +109,7 @@ def test_streams(spark, tmp_path):
     q = running.bucket_counts(whole(stream)).writeStream.outputMode("complete").format("memory").queryName("buckets").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("buckets").collect()} == {tuple(r) for r in running.bucket_counts(whole(df)).collect()}
-    q = running.first_deliveries(stream.where("loaded_at is not null")).writeStream.format("memory").queryName("firsts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
+    q = running.first_deliveries(stream.where("loaded_at is not null"), delay="3650 days").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination()
     assert spark.table("firsts").count() == df.where("loaded_at is not null").select("read_id").distinct().count()
 
