@@ -77,6 +77,18 @@ class Mate:
             start, end = np.where(rows, start, 0), np.where(rows, end, self.seq.size)
         self.seq, self.qual = shifted(self.seq, start, end), shifted(self.qual, start, end)
 
+    def truncate(self, end, rows):
+        """Rows cut to their first ``end`` characters, in place; only those that change are touched."""
+        hit = np.flatnonzero(rows & (end < self.seq.size))
+        if len(hit):
+            gone = np.arange(self.seq.data.shape[1]) >= end[hit][:, None]
+            for r in (self.seq, self.qual):
+                part = r.data[hit]
+                part[gone[:, : part.shape[1]]] = 0
+                r.data[hit] = part
+                r.size = r.size.copy()
+                r.size[hit] = end[hit]
+
     def trim(self, front: int, tail: int, o: Options):
         cut = lambda c: (c.window, c.mean) if c else None
         kept, start, end = quality_cut(self.seq, self.qual, front, tail, cut(o.cut_front), cut(o.cut_tail), cut(o.cut_right))
@@ -85,23 +97,25 @@ class Mate:
         self.keep(np.where(kept, start, 0), np.where(kept, end, 0))
 
     def poly_g(self, least: int, rows):
-        self.keep(np.zeros(len(self.seq), np.int64), poly_g_end(self.seq, least), rows)
+        self.truncate(poly_g_end(self.seq, least), rows)
 
     def poly_x(self, least: int, rows):
         end, base = poly_x_end(self.seq, least)
         hit = rows & (base >= 0)
         self.poly_base[hit] = np.array(list("ATCG"), object)[base[hit]]
         self.poly_len[hit] = (self.seq.size - end)[hit]
-        self.keep(np.zeros(len(self.seq), np.int64), end, hit)
+        self.truncate(end, hit)
 
     def cut_adapter(self, adapter: str, least: int, gaps: bool, rows) -> None:
         at = adapter_at(self.seq, adapter, least, gaps)
         hit = np.flatnonzero(rows & (at < self.seq.size))
-        gone = strings(self.seq.data, np.maximum(at, 0), self.seq.size).to_pylist()
-        for i in hit:
-            piece = adapter[: len(adapter) + at[i]] if at[i] < 0 else gone[i]
+        if not len(hit):
+            return
+        gone = strings(self.seq.data[hit], np.maximum(at[hit], 0), self.seq.size[hit]).to_pylist()
+        for i, text in zip(hit, gone):
+            piece = adapter[: len(adapter) + at[i]] if at[i] < 0 else text
             self.adapter[i] = piece if self.adapter[i] is None else piece + self.adapter[i]
-        self.keep(np.zeros(len(self.seq), np.int64), np.maximum(at, 0), rows & (at < self.seq.size))
+        self.truncate(np.maximum(at, 0), rows)
 
     def cut_list(self, adapters: tuple[str, ...], gaps: bool, rows) -> None:
         least = 4 if len(adapters) <= 16 else 5 if len(adapters) <= 256 else 6
@@ -110,7 +124,7 @@ class Mate:
 
     def limit(self, most: int):
         if most > 0:
-            self.keep(np.zeros(len(self.seq), np.int64), np.minimum(self.seq.size, most))
+            self.truncate(np.minimum(self.seq.size, most), np.ones(len(self.seq), bool))
 
     def text(self):
         z = np.zeros(len(self.seq), np.int64)
@@ -190,7 +204,7 @@ def clean_pairs(df: DataFrame, o: Options) -> DataFrame:
                     gone = strings(m.seq.data, end, size).to_pylist()
                     hit = by & (end < size)
                     m.adapter[hit] = np.array(gone, object)[hit]
-                    m.keep(np.zeros(n, np.int64), end)
+                    m.truncate(end, by)
                 rest = both & ~by
                 for m, a in ((x, auto(o.adapter1)), (y, auto(o.adapter2))):
                     if a:
