@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.operators.staging import staged
@@ -152,9 +152,8 @@ def mix(docs: DataFrame, targets: DataFrame, opts: MixOptions = MixOptions(), pa
     draw = draw.where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
     got = draw.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("drawn"), F.max("repeats").alias("most_repeats"))
     goal = spark.createDataFrame([(s, float(wanted[s]["target_share"] or 0.0), float(w), int(n), float(exponent)) for s, w, n in zip(names, weights, tokens)], "source string, target_share double, weight double, tokens long, exponent double")
-    all_drawn = got.agg(F.sum("drawn").alias("all_drawn"))
-    report = goal.join(F.broadcast(got), "source", "left").crossJoin(F.broadcast(all_drawn))  # one row per source, one row
-    share = F.coalesce(F.col("drawn") / F.col("all_drawn"), F.lit(0.0))
+    report = goal.join(F.broadcast(got), "source", "left")  # one row per source of the targets
+    share = F.coalesce(F.col("drawn") / F.sum("drawn").over(Window.partitionBy()), F.lit(0.0))
     return draw, report.select("source", "target_share", "weight", "exponent", "tokens", F.coalesce("drawn", F.lit(0)).alias("drawn"), share.alias("share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
 
 

@@ -176,9 +176,7 @@ def _shared_windows(held: DataFrame, opts: SpanOptions) -> DataFrame:
     hits = staged(_hits(held.select("rid", "seq", "many"), opts), "hits")
     tags = staged(hits.groupBy("tag").agg(F.min("rid").alias("w0"), F.max("rid").alias("w1")), "tags")
     if small_enough(tags, 8, opts.filter_bytes):
-        spark = held.sparkSession
-        wanted = np.sort(np.array([r[0] for r in tags.select("tag").toLocalIterator()], np.int64))
-        blocks = _blocks(held, opts, spark.sparkContext.broadcast(wanted))
+        blocks = _blocks(held, opts, held.sparkSession.sparkContext.broadcast(_sorted_tags(tags)))
     else:
         blocks = _blocks(held, opts).join(tags.select("tag"), "tag", "left_semi")
     blocks = staged(blocks, "blocks")
@@ -192,6 +190,17 @@ def _shared_windows(held: DataFrame, opts: SpanOptions) -> DataFrame:
     return join_checked(windows.where("not many"), common, ["u", "v"], "left_semi", 32).select("rid", "start")
 
 
+def _sorted_tags(tags: DataFrame) -> np.ndarray:
+    """The tags of a table whose size was checked, moved as packed cells."""
+
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy(zero_copy_only=False).tobytes()], pa.binary())], names=["cell"])
+
+    cells = tags.select("tag").mapInArrow(pack, "cell binary").collect()
+    return np.sort(np.frombuffer(b"".join(bytes(r["cell"]) for r in cells), np.int64))
+
+
 def _extender(opts: SpanOptions):
     """Codes (128 bits) of every window of ``least`` characters around a hit."""
 
