@@ -139,8 +139,9 @@ def unpaired_route(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_JUDGED} SELECT 2 * count(*) AS reads_in, 2 * count(*) AS reads_judged FROM j")
 def conservation(spark: SparkSession, d: str) -> DataFrame:
     r = pipeline.paired(pairs(spark, d), replace(BARE, out1="a", out2="b"))
-    judged = pipeline.buckets(r).agg(F.sum("n").alias("reads_judged"))
-    return r.before.agg((2 * F.count(F.lit(1))).alias("reads_in")).crossJoin(judged)  # one row each
+    came = r.before.select(F.lit(2).alias("reads_in"), F.lit(0).cast("long").alias("reads_judged"))
+    judged = pipeline.buckets(r).select(F.lit(0).alias("reads_in"), F.col("n").alias("reads_judged"))
+    return came.unionByName(judged).agg(F.sum("reads_in").alias("reads_in"), F.sum("reads_judged").alias("reads_judged"))
 
 
 @query(f"WITH {PAIRS} SELECT count(*) AS positions, count(*) FILTER (a.read_id IS NULL OR b.read_id IS NULL) AS without_partner FROM (SELECT * FROM pairs WHERE seq1 <> '') a FULL JOIN (SELECT * FROM pairs WHERE length(seq2) >= 40) b USING (read_id)")
