@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from helixmill.functions.rolling import codes, flat, window_starts
 from helixmill.llm.reads import distinct_sequences
 from helixmill.llm.sketch import band_keys, estimate, registers
-from helixmill.operators.exchange import from_planes, packed_exchange, planes, split_by
+from helixmill.operators.exchange import from_planes, packed_exchange, partitions_of, planes, split_by
 from helixmill.operators.staging import join_checked, staged
 
 _U = np.uint64
@@ -85,7 +85,8 @@ def pairs_of_distinct(held: DataFrame, opts: NearDupOptions) -> DataFrame:
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    pairs = staged(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= AGREE).select("a", "b"), "pairs")
+    # by a alone, so that each a then is in one file and its id counts once
+    pairs = staged(pairs.repartition(partitions_of(held), "a").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= AGREE).select("a", "b"), "pairs")
     return _verified(pairs, held, opts)
 
 
