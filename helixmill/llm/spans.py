@@ -181,13 +181,14 @@ def _shared_windows(held: DataFrame, opts: SpanOptions) -> DataFrame:
         blocks = _blocks(held, opts).join(tags.select("tag"), "tag", "left_semi")
     blocks = staged(blocks, "blocks")
     sides = staged(blocks.groupBy("tag").agg(F.min("rid").alias("b0"), F.max("rid").alias("b1")), "sides")
-    live = join_checked(hits, sides, "tag", "inner", 32).where("b0 <> rid or b1 <> rid").select("rid", "pos")
-    met = join_checked(blocks, tags, "tag", "inner", 32).where("w0 <> rid or w1 <> rid").select("rid", "pos")
+    live = join_checked(hits, sides, "tag", "inner", 80).where("b0 <> rid or b1 <> rid").select("rid", "pos")
+    met = join_checked(blocks, tags, "tag", "inner", 80).where("w0 <> rid or w1 <> rid").select("rid", "pos")
     places = staged(live.unionByName(met).groupBy("rid").agg(F.collect_set("pos").alias("hits")), "places")  # at most one per character of the row
 
     windows = staged(join_checked(held, places, "rid", "inner", 128).select("rid", "seq", "many", "hits").mapInArrow(_extender(opts), "u long, v long, rid long, start int, many boolean"), "windows")
     common = staged(windows.groupBy("u", "v").agg(F.min("rid").alias("r0"), F.max("rid").alias("r1")).where("r0 <> r1").select("u", "v"), "common")
-    return join_checked(windows.where("not many"), common, ["u", "v"], "left_semi", 32).select("rid", "start")
+    # about 96 bytes a row in the hash table of a broadcast
+    return join_checked(windows.where("not many"), common, ["u", "v"], "left_semi", 96, 4 * BROADCAST_BYTES).select("rid", "start")
 
 
 def _sorted_tags(tags: DataFrame) -> np.ndarray:
