@@ -3,9 +3,9 @@
 Items are cut into passages of ``run`` words; their TF-IDF vectors (document frequencies over all documents) span a
 latent space found by a distributed randomised SVD. Documents are cut into overlapping passages twice as long, so
 that every run of ``run`` words lies whole in one of them, and folded into that space. Passages with a high cosine to
-an item's passage make the (document, item) candidates, which are then compared word by word: a common run of
-``run`` words (the whole item, if shorter) is a verbatim leak; otherwise a long common subsequence together with
-the item's answer is a paraphrase.
+an item's passage make the (document, item) candidates for paraphrases: a long common subsequence together with the
+item's answer. A common run of ``run`` words (the whole item, if shorter) is a verbatim leak whatever its cosine, as the
+words around a short run can turn its passage away from the item: runs are looked up in every document, word by word.
 
 The items are a stated query set: they are taken in blocks of a bounded number of passages, and each block is broadcast to
 one pass over the documents, which stay where they are. Nothing of the documents is shuffled or collected.
@@ -26,7 +26,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class LeakOptions:
-    """run: successive words that make a leak. cosine: least similarity of a candidate. factors: kept singular vectors.
+    """run: successive words that make a leak. cosine: least similarity of a candidate for a paraphrase. factors: kept singular vectors.
     passages: most item passages in a block. paraphrase: least share of an item's words in a common subsequence.
     near: least cosine from which a paraphrase is looked for."""
 
@@ -153,6 +153,7 @@ class Model:
     floor: float
     items: list
     grams: dict
+    sizes: list
 
 
 def fit(docs: DataFrame, block, opts: LeakOptions) -> Model:
@@ -172,11 +173,21 @@ def fit(docs: DataFrame, block, opts: LeakOptions) -> Model:
         for s in range(len(w) - size + 1):
             grams.setdefault(tuple(w[s : s + size]), set()).add(k)
     # a document passage that holds a whole item passage weighs at least as much
-    return Model(vocabulary, idf, vectors, queries.T.copy(), own, 0.999 * min(float((idf[i] ** 2).sum()) for i in ids), block, grams)
+    return Model(vocabulary, idf, vectors, queries.T.copy(), own, 0.999 * min(float((idf[i] ** 2).sum()) for i in ids), block, grams, sorted({len(g) for g in grams}))
 
 
-def candidates(texts: list[list[str]], m: Model, opts: LeakOptions) -> list[dict[int, float]]:
-    """For each document the items with a passage at least ``cosine`` alike, with the best cosine."""
+def held_items(w: list[str], m: Model) -> set[int]:
+    """The items of which the document holds a whole run; exact."""
+    held: set[int] = set()
+    for size in m.sizes:
+        for gram in zip(*(w[i:] for i in range(size))):
+            if gram in m.grams:
+                held |= m.grams[gram]
+    return held
+
+
+def candidates(texts: list[list[str]], held: list[set[int]], m: Model, opts: LeakOptions) -> list[dict[int, float]]:
+    """For each document the items it holds and those with a passage at least ``cosine`` alike, with the best cosine."""
     out: list[dict[int, float]] = [{} for _ in texts]
     get, half = m.vocabulary.get, opts.run
     ids = np.array([get(w, -1) for t in texts for w in t], np.int64)
@@ -195,7 +206,8 @@ def candidates(texts: list[list[str]], m: Model, opts: LeakOptions) -> list[dict
     more = np.append(owner[1:] == owner[:-1], False)  # the next half belongs to the same document
     weight = energy + np.where(more, np.append(energy[1:], 0), 0)
     alone = np.concatenate([[True], owner[1:] != owner[:-1]])
-    keep = np.flatnonzero((weight >= m.floor) & (more | alone))
+    holds = np.array([bool(h) for h in held])[owner]  # their cosines are wanted whatever the weight
+    keep = np.flatnonzero(((weight >= m.floor) | holds) & (more | alone))
     need = np.unique(np.concatenate([keep, keep[more[keep]] + 1]))
     for lo in range(0, len(need), 2048):  # bounded memory whatever the length of the texts
         some = need[lo : lo + 2049]  # one more, so that every pair of halves meets
@@ -215,6 +227,11 @@ def candidates(texts: list[list[str]], m: Model, opts: LeakOptions) -> list[dict
         for i, j in zip(*np.nonzero(cosine >= opts.cosine)):
             d, item = out[owner[mine[i]]], int(m.own[j])
             d[item] = max(d.get(item, 0.0), float(cosine[i, j]))
+        for i in np.flatnonzero(holds[mine]):
+            d = out[owner[mine[i]]]
+            for item in held[owner[mine[i]]]:
+                a, b = np.searchsorted(m.own, [item, item + 1])
+                d[item] = max(d.get(item, -1.0), float(cosine[i, a:b].max()))
     return out
 
 
@@ -261,23 +278,18 @@ def _scan(docs: DataFrame, model: Model, opts: LeakOptions, schema: str) -> Data
             rows = []
             for lo in range(0, len(ids), 128):
                 some = [words(t) for t in texts[lo : lo + 128]]
-                for doc, w, found in zip(ids[lo : lo + 128], some, candidates(some, m, opts)):
+                held = [held_items(w, m) for w in some]
+                for doc, w, mine, found in zip(ids[lo : lo + 128], some, held, candidates(some, held, m, opts)):
                     if found:
-                        rows += [(doc, m.items[k][0], found[k], kind) for k, kind in _compare(w, found, m, opts)]
+                        rows += [(doc, m.items[k][0], found[k], kind) for k, kind in _compare(w, mine, found, m, opts)]
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.string()))], names=["doc_id", "item_id", "cosine", "kind"])
 
     return docs.where("doc_id is not null and text is not null and text <> ''").mapInArrow(scan, schema)
 
 
-def _compare(w: list[str], found: dict[int, float], m: Model, opts: LeakOptions):
-    """Word by word: which candidates hold a whole run, and which are paraphrased with their answer."""
-    sizes = {min(opts.run, len(m.items[k][1])) for k in found}
-    held: set[int] = set()
-    for size in sizes:
-        for gram in zip(*(w[i:] for i in range(size))):
-            if gram in m.grams:
-                held |= m.grams[gram]
+def _compare(w: list[str], held: set[int], found: dict[int, float], m: Model, opts: LeakOptions):
+    """Which candidates are held verbatim, and which are paraphrased with their answer."""
     for k, cosine in found.items():
         if k in held:
             yield k, "verbatim"
