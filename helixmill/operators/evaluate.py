@@ -94,10 +94,20 @@ def hot_sequences(df: DataFrame, steps: list[int] | None = None, buckets_bits: i
 
 
 def without_contained(hot: list[tuple[str, int]], ratio: int = 10) -> list[tuple[str, int]]:
-    """Hot sequences without those that stand in another one which isn't ``ratio`` times rarer. For the short report list; in order, each sees the removals before it."""
+    """Hot sequences without those that stand in another one which isn't ``ratio`` times rarer. In order, each sees the removals before it.
+
+    Holders are found by looking every piece of a sequence up, so the effort grows with the letters, not with the pairs.
+    """
     left = dict(sorted(hot))
-    for seq in sorted(left):
-        if any(seq != other and seq in other and left[seq] // n < ratio for other, n in left.items()):
+    sizes = sorted({len(s) for s in left})
+    holders: dict[str, set[str]] = {}
+    for other in left:
+        for size in sizes:
+            for i in range(len(other) - size + 1 if size < len(other) else 0):
+                if (piece := other[i : i + size]) in left:
+                    holders.setdefault(piece, set()).add(other)
+    for seq in sorted(holders):
+        if any(other in left and left[seq] // left[other] < ratio for other in holders[seq]):
             del left[seq]
     return sorted(left.items())
 

@@ -60,10 +60,11 @@ def build(result: Result, command: str = "", top_share: float = 0.01) -> dict:
     before = [mate(result.before, m) for m in (1, 2)] if paired else [result.before]
     written = result.routed.where("route in ('out1', 'out2', 'unpaired1', 'unpaired2', 'merged')")
     after = [written.where("mate <= 1" if m == 1 else "mate = 2") for m in ((1, 2) if paired and not o.merge else (1,))]
-    hot: list[str] = []
+    hot: list[list[str]] = [[], []]  # of each mate
     if o.overrepresentation:
-        found = [(r["seq"], r["n"]) for r in evaluate.hot_sequences(before[0]).orderBy(F.desc("n"), "seq").limit(1000).collect()]  # a top list
-        hot = [s for s, _ in evaluate.without_contained(found)]
+        for i, df in enumerate(before):
+            found = [(r["seq"], r["n"]) for r in evaluate.hot_sequences(df).collect()]  # bounded by the bases over the least counts, which grow with them
+            hot[i] = [s for s, _ in evaluate.without_contained(found)]
     report: dict = {"summary": {"helixmill_version": __version__, "sequencing": "paired end" if paired else "single end", "before_filtering": _totals(before), "after_filtering": _totals(after)}}
     counts = {r["result"]: r["n"] for r in buckets(result).collect()}
     shown = [k for k in BUCKETS if k not in (E.COMPLEXITY, E.ADAPTER_DIMER) or counts.get(k) or (k == E.COMPLEXITY and o.complexity_filter)]
@@ -97,9 +98,9 @@ def build(result: Result, command: str = "", top_share: float = 0.01) -> dict:
             report.setdefault("polyx_trimming", {})
             report["polyx_trimming"] |= {f"total_polyx_trimmed_{what}": sum(v[k] for v in got.values()), f"polyx_trimmed_{what}": {b: got.get(b, (0, 0))[k] for b in "ATCG"}}
     for i, df in enumerate(before):
-        report[f"read{i + 1}_before_filtering"] = profile(df, True, hot, o.overrepresentation_sampling)
+        report[f"read{i + 1}_before_filtering"] = profile(df, True, hot[i], o.overrepresentation_sampling)
     for i, df in enumerate(after):
-        report["merged_and_filtered" if o.merge else f"read{i + 1}_after_filtering"] = profile(df, True, hot, o.overrepresentation_sampling)
+        report["merged_and_filtered" if o.merge else f"read{i + 1}_after_filtering"] = profile(df, True, hot[i], o.overrepresentation_sampling)
     if o.long_repeat_length:
         top = evaluate.long_repeats(before[0], o.long_repeat_length).orderBy(F.desc("repeat_len"), "read_id").limit(20).collect()
         report["long_repeats"] = [{"read_id": r["read_id"], "length": r["repeat_len"]} for r in top]

@@ -7,7 +7,7 @@ import pytest
 
 from helixmill.__main__ import main
 from helixmill.functions import expressions as E
-from helixmill.operators import stats
+from helixmill.operators import evaluate, stats
 from helixmill.plans import pipeline, report
 from helixmill.plans.options import Cut, OptionError, Options, Umi
 from helixmill.plans.views import ADAPTER1, pairs, reads
@@ -126,3 +126,26 @@ def test_command_line(spark, tmp_path):
     count = lambda route: spark.read.format("fastq").load(str(tmp_path / f"out/{route}/part-*")).count()
     assert count("0001.out1") == count("0001.out2") and 2 * (count("0001.out1") + count("0002.out1")) == made["summary"]["after_filtering"]["total_reads"]
     assert main(["--in1", str(tmp_path / "1.fq"), "--out", str(tmp_path / "o2"), "--merge"]) == 2
+
+
+def test_report_keeps_all_hot_sequences_of_each_mate(spark):
+    """More than 1,000 hot pieces in either mate: none of the longest, which hold the others, may be missing."""
+    rng = random.Random(2)
+    mates = [["".join(rng.choice("ACGT") for _ in range(120)) for _ in range(60)] for _ in range(2)]
+    rows = [(5 * i + k, f"@r{5 * i + k}", mates[0][i], "I" * 120, mates[1][i], "I" * 120) for i in range(60) for k in range(5)]
+    df = spark.createDataFrame(rows, "read_id long, name string, seq1 string, qual1 string, seq2 string, qual2 string")
+    o = Options(paired=True, out1="a", out2="b", adapter_trimming=False, poly_g=False, overrepresentation=True, overrepresentation_sampling=1)
+    made = report.build(pipeline.paired(df, o))
+    for m in (0, 1):
+        for when in ("before", "after"):
+            assert made[f"read{m + 1}_{when}_filtering"]["overrepresented_sequences"] == {s[:118]: 5 for s in mates[m]}
+
+
+def test_containment_against_all_pairs():
+    rng = random.Random(3)
+    hot = {"".join(rng.choice("AC") for _ in range(rng.choice([3, 5, 9, 14]))): rng.choice([1, 2, 5, 30]) for _ in range(300)}
+    left = dict(sorted(hot.items()))
+    for seq in sorted(left):
+        if any(seq != other and seq in other and left[seq] // n < 10 for other, n in left.items()):
+            del left[seq]
+    assert evaluate.without_contained(list(hot.items())) == sorted(left.items()) and 0 < len(left) < len(hot)
