@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.rolling import codes, flat, mix, window_starts
-from helixmill.operators.staging import spread, staged
+from helixmill.operators.staging import BROADCAST_BYTES, small_enough, spread, staged
 from helixmill.operators.stats import kmer_name, kmers
 
 #: Read-name prefixes of two-colour instruments; substring lengths and counts that make a sequence hot.
@@ -112,31 +112,82 @@ def without_contained(hot: list[tuple[str, int]], ratio: int = 10) -> list[tuple
     return sorted(left.items())
 
 
-def hot_counts(df: DataFrame, hot: list[str], sampling: int = 1) -> DataFrame:
+def hot_counts(df: DataFrame, hot: list[str] | DataFrame, sampling: int = 1, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(seq, n): non-overlapping occurrences of the hot sequences, per length, in the reads whose ordinal is a multiple of ``sampling``.
 
-    ``sampling`` is the feature's own parameter; 1 takes every read. ``hot`` is the short list kept for the report.
+    ``sampling`` is the feature's own parameter; 1 takes every read. ``hot``: a list or a table with ``seq``, broadcast if it
+    stays under ``limit`` bytes; beyond, the windows of the reads, one row each ordinal, are joined with it.
     """
-    by: dict[int, set] = {}
-    for h in hot:
-        by.setdefault(len(h), set()).add(h)
-    known = df.sparkSession.sparkContext.broadcast(by)
+    spark = df.sparkSession
+    table = spark.createDataFrame([(h,) for h in hot], "seq string") if isinstance(hot, list) else staged(hot.select("seq"), "hot")
+    few = len(hot) * 256 <= limit if isinstance(hot, list) else small_enough(table, 256, limit)  # of at most 150 letters
+    seqs = spread(df.where(F.col("read_id") % sampling == 0).select(F.col("read_id").cast("long").alias("read_id"), "seq"))
+    if not few:
+        return _hot_counts_joined(seqs, table)
+    by: dict[int, list] = {}
+    for h in hot if isinstance(hot, list) else [r["seq"] for r in table.collect()]:
+        by.setdefault(len(h), []).append(h)
+    known = spark.sparkContext.broadcast(by)
 
     def scan(batches):
         total: dict[str, int] = {}
+        marks = {}
+        for step, wanted in known.value.items():
+            chars, at = flat(pa.array(wanted))
+            marks[step] = np.zeros(1 << 20, bool)
+            marks[step][_slot(codes(chars, step)[at[:-1]], step)] = True
+        sets = {step: set(wanted) for step, wanted in known.value.items()}
         for batch in batches:
-            for s in batch.column(0).to_pylist():
-                for step, wanted in known.value.items():
-                    i = 0
-                    while i < len(s) - step:
-                        piece = s[i : i + step]
-                        if piece in wanted:
-                            total[piece] = total.get(piece, 0) + 1
-                            i += step
-                        i += 1
+            if not batch.num_rows:
+                continue
+            chars, at = flat(batch.column(1))
+            texts = batch.column(1).to_pylist()
+            for step, wanted in sets.items():
+                owner, place = window_starts(at, step)
+                if not len(place):
+                    continue
+                keep = marks[step][_slot(codes(chars, step)[place], step)] & (place < at[1:][owner] - step)  # the last window isn't looked at
+                last, free = -1, 0
+                for o, i in zip(owner[keep].tolist(), (place - at[:-1][owner])[keep].tolist()):
+                    if o != last:
+                        last, free = o, 0
+                    if i >= free and (piece := texts[o][i : i + step]) in wanted:
+                        total[piece] = total.get(piece, 0) + 1
+                        free = i + step + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["seq", "n"])
+
+    return seqs.mapInArrow(scan, "seq string, n long").groupBy("seq").agg(F.sum("n").alias("n"))
+
+
+def _slot(code: np.ndarray, step: int) -> np.ndarray:
+    return (mix(code, step) & _U((1 << 20) - 1)).astype(np.int64)
+
+
+def _hot_counts_joined(seqs: DataFrame, hot: DataFrame) -> DataFrame:
+    """``hot_counts`` of a set too large for a broadcast: its windows meet it in a shuffle, and come back to one row a read and length."""
+    steps = [r["k"] for r in hot.select(F.length("seq").alias("k")).distinct().collect()]  # the few lengths there are
+
+    def windows(batches):
+        for batch in batches:
+            for read, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = [(read, i, text[i : i + step]) for step in steps for i in range(len(text or "") - step)]
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int32(), pa.string()))], names=["read_id", "at", "seq"])
+
+    def greedy(batches):
+        total: dict[str, int] = {}
+        for batch in batches:
+            for hits in batch.column(0).to_pylist():
+                free = 0
+                for h in hits:
+                    if h["at"] >= free:
+                        total[h["seq"]] = total.get(h["seq"], 0) + 1
+                        free = h["at"] + len(h["seq"]) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["seq", "n"])
 
-    return spread(df.where(F.col("read_id") % sampling == 0).select("seq")).mapInArrow(scan, "seq string, n long").groupBy("seq").agg(F.sum("n").alias("n"))
+    met = seqs.mapInArrow(windows, "read_id long, at int, seq string").join(hot.hint("shuffle_hash"), "seq")
+    held = met.groupBy("read_id", F.length("seq").alias("step")).agg(F.sort_array(F.collect_list(F.struct("at", "seq"))).alias("hits"))  # at most the letters of a read
+    return held.select("hits").mapInArrow(greedy, "seq string, n long").groupBy("seq").agg(F.sum("n").alias("n"))
 
 
 def long_repeats(df: DataFrame, least: int = 10, column: str = "seq", ident: str = "read_id") -> DataFrame:

@@ -50,9 +50,8 @@ def overrep_hot(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def overrep_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Non-overlapping occurrences of hot 40-mers and longer ones, every read scanned."""
-    hot = evaluate.hot_sequences(_distinct_reads(spark, d), [40, 100])
-    return evaluate.hot_counts(_distinct_reads(spark, d), [r["seq"] for r in hot.collect()])  # bounded by the bases over the least counts
+    """Non-overlapping occurrences of the hot sequences of every length, every read scanned."""
+    return evaluate.hot_counts(_distinct_reads(spark, d), evaluate.hot_sequences(_distinct_reads(spark, d)))
 
 
 @query()

@@ -8,7 +8,7 @@ import pytest
 from helixmill.__main__ import main
 from helixmill.functions import expressions as E
 from helixmill.operators import evaluate, stats
-from helixmill.plans import pipeline, report
+from helixmill.plans import pipeline, prescan, report
 from helixmill.plans.options import Cut, OptionError, Options, Umi
 from helixmill.plans.views import ADAPTER1, pairs, reads
 from helixmill.sources import fastq
@@ -149,3 +149,23 @@ def test_containment_against_all_pairs():
         if any(seq != other and seq in other and left[seq] // n < 10 for other, n in left.items()):
             del left[seq]
     assert evaluate.without_contained(list(hot.items())) == sorted(left.items()) and 0 < len(left) < len(hot)
+
+
+def test_counts_of_hot_sequences_of_every_length(spark):
+    """The query against a slow loop over all hot sequences, and the joined way against the broadcast one."""
+    hot = [r["seq"] for r in prescan.overrep_hot(spark, DATA).collect()]
+    want: dict[str, int] = {}
+    texts = {(r["read_id"], r["seq"]) for r in reads(spark, DATA).collect()}
+    for step in {len(h) for h in hot}:
+        wanted = {h for h in hot if len(h) == step}
+        for _, s in texts:
+            i = 0
+            while i < len(s) - step:
+                if s[i : i + step] in wanted:
+                    want[s[i : i + step]] = want.get(s[i : i + step], 0) + 1
+                    i += step
+                i += 1
+    got = {r["seq"]: r["n"] for r in prescan.overrep_counts(spark, DATA).collect()}
+    assert got == want and min(map(len, got)) < 40
+    joined = evaluate.hot_counts(reads(spark, DATA).select("read_id", "seq").distinct(), hot, limit=0)
+    assert {r["seq"]: r["n"] for r in joined.collect()} == want
