@@ -60,6 +60,7 @@ def main(argv: list[str] | None = None) -> int:
     from helixmill.operators import evaluate
     from helixmill.plans import pipeline, report
     from helixmill.sources import fastq, lists
+    from helixmill.sources.adapters import KNOWN
 
     a = parser().parse_args(argv)
     spark = SparkSession.getActiveSession() or SparkSession.builder.appName("helixmill").getOrCreate()
@@ -75,10 +76,16 @@ def main(argv: list[str] | None = None) -> int:
     r1 = load(a.in1)
     if o.poly_g is None:
         o = replace(o, poly_g=bool(evaluate.two_colour(r1).first()["two_color"]))
-    if o.adapter_trimming and o.adapter1 == "auto" and (not o.paired or o.detect_adapter_for_pe):
-        o = replace(o, adapter1=evaluate.detect_adapter(r1, adapters) or "auto")
+    mates = [r1]
     if o.paired:
         both = pipeline.deinterleave(r1) if o.interleaved else pipeline.require_pairs(pipeline.pair_up(r1, load(a.in2)))
+        mates = [both.select("read_id", F.col(f"seq{m}").alias("seq")) for m in (1, 2)] if o.interleaved else [r1, load(a.in2)]
+    if o.adapter_trimming and (not o.paired or o.detect_adapter_for_pe):
+        known = sorted({*KNOWN, *adapters})
+        for name, mate in zip(("adapter1", "adapter2"), mates):
+            if getattr(a, name) == "auto":  # as given: mate 2 doesn't follow mate 1 where each is detected
+                o = replace(o, **{name: (evaluate.detect_adapter(mate, known) or "auto")[:60]})
+    if o.paired:
         result = pipeline.paired(both, o)
     else:
         result = pipeline.single(r1, o)

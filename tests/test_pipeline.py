@@ -169,3 +169,15 @@ def test_counts_of_hot_sequences_of_every_length(spark):
     assert got == want and min(map(len, got)) < 40
     joined = evaluate.hot_counts(reads(spark, DATA).select("read_id", "seq").distinct(), hot, limit=0)
     assert {r["seq"]: r["n"] for r in joined.collect()} == want
+
+
+def test_command_line_detects_the_adapter_of_each_mate(spark, tmp_path):
+    """Pairs whose ends don't overlap; without a FASTA the built-in list has both adapters."""
+    rng = random.Random(6)
+    ends = ["AGATCGGAAGAGCACACGTCTGAACTCCAGTCA", "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT"]
+    for m, end in enumerate(ends, 1):
+        text = "".join(f"@r{i} {m}\n{(''.join(rng.choices('ACGT', k=60)) + (end if i % 3 == 0 else ''.join(rng.choices('ACGT', k=33))))[-70:]}\n+\n{'I' * 70}\n" for i in range(10_200))
+        (tmp_path / f"{m}.fq").write_text(text)
+    assert main(["--in1", str(tmp_path / "1.fq"), "--in2", str(tmp_path / "2.fq"), "--out", str(tmp_path / "out"), "--json", str(tmp_path / "r.json"), "--detect_adapter_for_pe"]) == 0
+    cut = json.loads((tmp_path / "r.json").read_text())["adapter_cutting"]
+    assert [cut["read1_adapter_sequence"], cut["read2_adapter_sequence"]] == ends and cut["adapter_trimmed_reads"] >= 2 * 3400
