@@ -17,9 +17,21 @@ from pyspark.sql import DataFrame
 FLUSH_BYTES = 48 << 20
 
 
-def partitions_of(df: DataFrame) -> int:
-    """Partitions of a packed exchange: what the session sets for shuffles."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def partitions_of(df: DataFrame, row_bytes: int = 0) -> int:
+    """Partitions of an exchange of the rows of ``df`` (a staged table, whose rows are counted from its footers) at ``row_bytes`` each:
+    so many that each has about the session's advisory partition size, and at least what the session sets for shuffles."""
+    conf = df.sparkSession.conf
+    least = int(conf.get("spark.sql.shuffle.partitions", "200"))
+    if not row_bytes:
+        return least
+    return max(least, -(-df.count() * row_bytes // _bytes(conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB"))))
+
+
+def _bytes(text: str) -> int:
+    """A size as Spark's settings write it."""
+    digits = text.rstrip("bBkKmMgG ")
+    unit = text[len(digits) :].strip().lower().rstrip("b")
+    return max(1 << 20, int(digits) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit])
 
 
 def packed_exchange(
@@ -27,14 +39,14 @@ def packed_exchange(
     pack: Callable[[pa.RecordBatch, int], Iterator[tuple[int, bytes]]],
     reduce: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]],
     schema: str,
-    n: int | None = None,
+    n: int,
 ) -> DataFrame:
-    """``pack`` turns a batch into (partition, bytes); ``reduce`` gets all bytes of one partition.
+    """``pack`` turns a batch into (partition, bytes); ``reduce`` gets all bytes of one of the ``n`` partitions.
 
-    Both run on the workers and must be deterministic, so that a lost task can be run again.
+    Both run on the workers and must be deterministic, so that a lost task can be run again. What ``pack`` gives must stay
+    small for any one partition, whatever the values: it has to pre-aggregate values that many rows of its batch hold.
     A partition without any bytes yields nothing.
     """
-    n = n or partitions_of(df)
 
     def send(batches):
         for batch in batches:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 #: A join side of at most so many bytes may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
+#: Setting by which Spark drops the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -36,11 +40,25 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` into the shared folder and return the table read back from there."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/stage-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what runs inside go when it ends: its result stands in the shared folder, nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every staged table of this session. Results that still read one must be written before."""
     mine = [p for s, p in _written if s is spark]
