@@ -5,6 +5,9 @@ substrings; bands of compressed registers are exchanged as packed blocks, and se
 bands are candidates: one agreement alone is mostly a shared adapter or tail. A band value held by more than ``HOT`` sequences isn't expanded into pairs: its holders go
 through another pass with new hash functions and longer bands, which parts those that only share common
 pieces. What is still together after the last pass is alike, and is compared in salted block pairs.
+
+No join here is broadcast by this module, as every side grows with the data; the exchange has as many partitions as the
+number of sequences asks for, so that a task reads about as much whatever the input.
 """
 
 from __future__ import annotations
@@ -16,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.functions.rolling import codes, flat, window_starts
+from helixmill.functions.rolling import codes, flat, mix, window_starts
 from helixmill.llm.reads import distinct_sequences
 from helixmill.llm.sketch import band_keys, estimate, registers
 from helixmill.operators.exchange import from_planes, packed_exchange, partitions_of, planes, split_by
-from helixmill.operators.staging import join_checked, staged
+from helixmill.operators.staging import staged
 
 _U = np.uint64
 #: Holders of one band value beyond which a pass hands them to the next one. A pass makes at most HOT/2 candidate pairs per band entry.
@@ -64,107 +67,141 @@ def similar_pairs(df: DataFrame, opts: NearDupOptions = NearDupOptions()) -> Dat
     ``df``: read_id, seq as from ``reads.normal``. Each distinct sequence stands for the smallest id that holds it.
     Rows with null or empty seq were left out there; sequences under ``least`` characters have no pair;
     repeated rows and ties change nothing; an empty table gives an empty result. Candidates are verified on the whole sequences.
+    The number of partitions changes nothing.
     """
-    held = staged(distinct_sequences(df, max(opts.least, opts.k)).select("rid", "seq"), "distinct")
-    return pairs_of_distinct(held, opts)
+    return pairs_of_distinct(_held(df, opts), opts)
+
+
+def _held(df: DataFrame, opts: NearDupOptions) -> DataFrame:
+    return staged(distinct_sequences(df, max(opts.least, opts.k)).select("rid", "seq"), "distinct")
 
 
 def pairs_of_distinct(held: DataFrame, opts: NearDupOptions) -> DataFrame:
     found, now = [], held
     for turn in range(opts.passes):
         got = staged(_band_pass(now, opts, opts.rows + turn, turn), "bands")
-        found.append(got.where("not hot").select("a", "b", F.lit(1).alias("n")))
+        found.append(got.where("not hot").select("a", "b", "n"))
         hot = got.where("hot").select(F.col("a").alias("rid")).distinct()
         if not got.where("hot").limit(1).count():
             break
-        hot = staged(hot, "hot")
         if turn + 1 < opts.passes:
-            now = staged(join_checked(held, hot, "rid", "left_semi", 16), "again")
+            now = staged(held.join(staged(hot, "hot"), "rid", "left_semi"), "again")
         else:
             found.append(_block_pairs(got.where("hot").select("key", F.col("a").alias("rid")).distinct(), held, opts).withColumn("n", F.lit(AGREE)))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    # by a alone, so that each a then is in one file and its id counts once
-    pairs = staged(pairs.repartition(partitions_of(held), "a").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= AGREE).select("a", "b"), "pairs")
+    pairs = staged(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= AGREE).select("a", "b"), "pairs")
     return _verified(pairs, held, opts)
 
 
 def _band_pass(held: DataFrame, opts: NearDupOptions, rows: int, turn: int) -> DataFrame:
-    """Rows (hot, key, a, b): candidate pairs, or with hot the members a of a band value that too many hold."""
+    """Rows (hot, key, a, b, n): candidate pairs with the number of bands they agree in, or with hot the members a of a band value
+    that too many hold. A value that more than HOT rows of one batch hold moves as one mark; its members are dealt out by their ids."""
     bands = opts.bands(rows)
     groups = bands * rows // opts.buckets
+    n = partitions_of(held, 6 * bands)
 
     def pack(batch, n):
         rid = batch.column(0).to_numpy(zero_copy_only=False)
         by_id = np.argsort(rid, kind="stable")
         batch, rid = batch.take(pa.array(by_id)), rid[by_id]
         reg, _ = registers(*flat(batch.column(1)), opts.k, groups, opts.buckets, turn)
-        key = band_keys(reg, bands, rows, turn)
-        pid = ((key >> _U(40)) % _U(n)).astype(np.int64).ravel()
+        key = band_keys(reg, bands, rows, turn).ravel()
+        pid = ((key >> _U(40)) % _U(n)).astype(np.int64)
+        tag = (key & _U(0xFFFFFFFF)).astype(np.uint32)
+        own = np.repeat(np.arange(len(rid)), bands)
+        many = _held_often(key)
+        if many.any():
+            value = (pid[many] << 32) | tag[many]
+            for v in np.unique(value):
+                yield int(v >> 32), np.array([_MARK, v & 0xFFFFFFFF, 0], np.int64).tobytes()
+            ids = rid[own[many]]
+            salted = (mix(ids.astype(_U), 5) % _U(n)).astype(np.int64)
+            order, ends = split_by(salted, n)
+            for p in np.unique(salted):
+                at = order[ends[p] : ends[p + 1]]
+                yield int(p), np.array([_MEMBERS, len(at), 0], np.int64).tobytes() + planes(value[at]) + planes(ids[at])
+            pid, tag, own = pid[~many], tag[~many], own[~many]
         order, ends = split_by(pid, n)
-        tag = (key.ravel() & _U((1 << 40) - 1))[order]
-        own = (order // bands).astype(np.int64)
-        for p in range(n):
+        tag, own = tag[order], own[order]
+        for p in np.unique(pid):
             lo, hi = ends[p], ends[p + 1]
-            if lo == hi:
-                continue
             uses = np.unique(own[lo:hi])
-            ids, local = rid[uses], np.searchsorted(uses, own[lo:hi])
-            gaps = np.diff(ids, prepend=0)
-            head = np.array([len(ids), hi - lo], np.int64).tobytes()
-            # 5 bytes of the tag and the number of its read in this block
-            yield p, head + planes(gaps) + tag[lo:hi].view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + planes(local.astype(np.uint32))
+            head = np.array([_ITEMS, len(uses), hi - lo], np.int64).tobytes()
+            # 4 bytes of the tag and the number of its read in this cell
+            yield int(p), head + planes(np.diff(rid[uses], prepend=0)) + tag[lo:hi].tobytes() + planes(np.searchsorted(uses, own[lo:hi]).astype(np.uint32))
 
     def reduce(pid, blobs):
-        tags, owners = [], []
+        tags, owners, marks = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], []
         for blob in blobs:
-            n_ids, n = np.frombuffer(blob, np.int64, 2)
-            ids = np.cumsum(from_planes(blob[16:], n_ids, np.int64))
-            place = 16 + 8 * n_ids
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, place).reshape(n, 5)
-            tags.append(wide.view(_U).reshape(n))
-            owners.append(ids[from_planes(blob[place + 5 * n :], n, np.uint32)])
-        yield from _runs(pid, np.concatenate(tags), np.concatenate(owners))
-
-    return packed_exchange(held, pack, reduce, "hot boolean, key long, a long, b long")
-
-
-def _runs(pid: int, tag: np.ndarray, owner: np.ndarray):
-    """Candidates among items of equal tag, in batches."""
-    if len(tag) < 1 << 24:  # tag and place fit into one integer, which sorts faster
-        both = np.sort((tag << _U(24)) | np.arange(len(tag), dtype=_U))
-        tag, owner = both >> _U(24), owner[(both & _U((1 << 24) - 1)).astype(np.int64)]
-    else:
-        order = np.argsort(tag, kind="stable")
-        tag, owner = tag[order], owner[order]
+            kind, x, y = np.frombuffer(blob, np.int64, 3)
+            if kind == _MARK:
+                marks.append(x)
+            elif kind == _MEMBERS:
+                ids = from_planes(blob[24 + 8 * x :], x, np.int64)
+                yield _batch(True, from_planes(blob[24:], x, np.int64), ids, ids, np.zeros(x, np.int32))
+            else:
+                ids, place = np.cumsum(from_planes(blob[24:], x, np.int64)), 24 + 8 * x
+                tags.append(np.frombuffer(blob, np.uint32, y, place))
+                owners.append(ids[from_planes(blob[place + 4 * y :], y, np.uint32)])
+        yield from _runs(pid, np.concatenate(tags), np.concatenate(owners), np.array(sorted(set(marks)), np.uint32))
+
+    return packed_exchange(held, pack, reduce, "hot boolean, key long, a long, b long, n int", n)
+
+
+_ITEMS, _MARK, _MEMBERS = range(3)
+
+
+def _held_often(key: np.ndarray) -> np.ndarray:
+    """Which entries have a key that more than HOT entries have."""
+    slot = (key >> _U(20)) & _U((1 << 20) - 1)
+    often = np.bincount(slot.astype(np.int64), minlength=1 << 20) > HOT
+    some = np.flatnonzero(often[slot.astype(np.int64)])
+    out = np.zeros(len(key), bool)
+    if len(some):
+        _, which, count = np.unique(key[some], return_inverse=True, return_counts=True)
+        out[some[count[which] > HOT]] = True
+    return out
+
+
+def _runs(pid: int, tag: np.ndarray, owner: np.ndarray, marks: np.ndarray):
+    """Candidates among items of equal tag, in batches; marked tags are hot whatever their number."""
+    if not len(tag):
+        return
+    order = np.argsort(tag, kind="stable")
+    tag, owner = tag[order], owner[order]
     begin = np.flatnonzero(np.concatenate([[True], tag[1:] != tag[:-1]]))
     size = np.diff(np.append(begin, len(tag)))
-    for s in np.unique(size[(size > 1) & (size <= HOT)]):
-        group = np.sort(owner[begin[size == s][:, None] + np.arange(s)], axis=1)
+    hot = (size > HOT) | np.isin(tag[begin], marks)
+    for s in np.unique(size[(size > 1) & ~hot]):
+        group = np.sort(owner[begin[(size == s) & ~hot][:, None] + np.arange(s)], axis=1)
         i, j = np.triu_indices(s, 1)
         step = max(1, 200_000 // len(i))
         for lo in range(0, len(group), step):
             a, b = group[lo : lo + step][:, i].ravel(), group[lo : lo + step][:, j].ravel()
-            once = np.unique(np.stack([a, b])[:, a != b], axis=1)
-            yield _batch(False, np.zeros(once.shape[1], np.int64), once[0], once[1])
-    for k in np.flatnonzero(size > HOT):
+            by = np.lexsort((b, a))
+            a, b = a[by], b[by]
+            head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            times = np.diff(np.append(head, len(a))).astype(np.int32)  # the groups are of different bands: every one counts
+            head, times = head[a[head] != b[head]], times[a[head] != b[head]]
+            yield _batch(False, np.zeros(len(head), np.int64), a[head], b[head], times)
+    for k in np.flatnonzero(hot):
         members = owner[begin[k] : begin[k] + size[k]]
         for lo in range(0, len(members), 200_000):
             some = members[lo : lo + 200_000]
-            yield _batch(True, np.full(len(some), (int(tag[begin[k]]) << 20) ^ pid, np.int64), some, some)
+            yield _batch(True, np.full(len(some), (pid << 32) | int(tag[begin[k]]), np.int64), some, some, np.zeros(len(some), np.int32))
 
 
-def _batch(hot: bool, key, a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), hot)), pa.array(key), pa.array(a), pa.array(b)], names=["hot", "key", "a", "b"])
+def _batch(hot: bool, key, a, b, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), hot)), pa.array(key), pa.array(a), pa.array(b), pa.array(n)], names=["hot", "key", "a", "b", "n"])
 
 
 def _block_pairs(members: DataFrame, held: DataFrame, opts: NearDupOptions) -> DataFrame:
     """Pairs within band values that no pass could part: members are dealt into blocks of about BLOCK, every two blocks of a
     value meet in one task of their own, and only pairs whose sketches agree well enough come out."""
     sizes = members.groupBy("key").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).select("key", "blocks")
-    dealt = join_checked(members, staged(sizes, "sizes"), "key", "inner", 24).withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    dealt = members.join(staged(sizes, "sizes"), "key").withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     met = dealt.select("key", "rid", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("key", "rid", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine")
     groups = 4
@@ -193,9 +230,10 @@ def _block_pairs(members: DataFrame, held: DataFrame, opts: NearDupOptions) -> D
 def _verified(pairs: DataFrame, held: DataFrame, opts: NearDupOptions) -> DataFrame:
     """Pairs whose whole substring sets are similar enough; the corrected estimate spares the exact count for most others."""
     ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ids")
-    texts = staged(join_checked(held, ids, "rid", "inner", 16), "texts")
-    left = join_checked(pairs, texts.select(F.col("rid").alias("a"), F.col("seq").alias("sa")), "a", "inner", 400)
-    both = join_checked(left, texts.select(F.col("rid").alias("b"), F.col("seq").alias("sb")), "b", "inner", 400)
+    # the sides grow with the data: shuffled, whatever their size
+    texts = staged(held.join(ids, "rid"), "texts")
+    left = pairs.join(texts.select(F.col("rid").alias("a"), F.col("seq").alias("sa")), "a")
+    both = left.join(texts.select(F.col("rid").alias("b"), F.col("seq").alias("sb")), "b")
 
     def check(batches):
         for batch in batches:
@@ -231,6 +269,36 @@ def _jaccard(ca, oa, cb, ob, rows: np.ndarray, k: int) -> np.ndarray:
 
 def membership(df: DataFrame, opts: NearDupOptions = NearDupOptions()) -> DataFrame:
     """(read_id, rep_id): which distinct sequence's smallest id stands for each read long enough to take part."""
-    reps = staged(distinct_sequences(df, max(opts.least, opts.k)).where("many").select("seq", F.col("rid").alias("rep_id")), "reps")
     long = df.where(F.length("seq") >= max(opts.least, opts.k)).distinct()
-    return join_checked(long, reps, "seq", "left", 400).select("read_id", F.coalesce("rep_id", "read_id").alias("rep_id"))
+    reps = distinct_sequences(long, max(opts.least, opts.k)).where("many").select("seq", F.col("rid").alias("rep_id"))
+    return long.join(reps, "seq", "left").select("read_id", F.coalesce("rep_id", "read_id").alias("rep_id"))
+
+
+def groups(df: DataFrame, opts: NearDupOptions = NearDupOptions()) -> DataFrame:
+    """(read_id, rep_id, group_id, links): for every read long enough to take part the id that stands for its sequence, the smallest id of
+    those reached over similar pairs, and how many other distinct sequences are similar to its own. A read like no other is its own group."""
+    pairs = staged(pairs_of_distinct(_held(df, opts), opts).select("read_id_a", "read_id_b"), "similar")
+    ends = pairs.select(F.explode(F.array("read_id_a", "read_id_b")).alias("rep_id")).groupBy("rep_id").agg(F.count(F.lit(1)).alias("links"))
+    roots = connected(pairs.select(F.col("read_id_a").alias("u"), F.col("read_id_b").alias("v"))).select(F.col("u").alias("rep_id"), F.col("v").alias("group_id"))
+    return membership(df, opts).join(ends, "rep_id", "left").join(roots, "rep_id", "left").select("read_id", "rep_id", F.coalesce("group_id", "rep_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(u, v): every id that has an edge and isn't the smallest of its component, with that smallest id.
+
+    Rounds of two steps over tables: every id points its larger neighbours to its smallest one, then its smaller neighbours. They
+    end when a round changes nothing, after about the logarithm of a component's width.
+    """
+    now = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    was = mark(now)
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        now = staged(small.where("u <> v").distinct(), "small")
+        if (is_ := mark(now)) == was:
+            return now
+        was = is_

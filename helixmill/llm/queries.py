@@ -37,6 +37,11 @@ def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.membership(reads(spark, sf_dir))
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which reads belong together, one row a read."""
+    return neardup.groups(reads(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(reads(spark, sf_dir))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "p2_counts": p2_counts,
     "p4_found": p4_found,
     "p4_members": p4_members,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_share": p5_share,
     "p6_found": p6_found,
@@ -101,6 +107,12 @@ s AS (SELECT t FROM w GROUP BY t HAVING min(read_id) <> max(read_id)),
 p AS (SELECT read_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY read_id ORDER BY i) <= 60 THEN 0 ELSE 1 END AS b FROM w JOIN s USING (t)),
 g AS (SELECT read_id, i, sum(b) OVER (PARTITION BY read_id ORDER BY i) AS g FROM p),
 f AS (SELECT read_id, CAST(min(i) AS INTEGER) AS span_start, CAST(max(i) + 60 AS INTEGER) AS span_end FROM g GROUP BY read_id, g)"""
+_SIMILAR = f"""
+{_READ}, d AS (SELECT seq, min(read_id) AS id FROM r WHERE length(seq) >= 30 GROUP BY seq),
+g AS (SELECT DISTINCT id, substr(seq, i, 8) AS gram FROM (SELECT id, seq, unnest(range(1, length(seq) - 6)) AS i FROM d)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+c AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2),
+pairs AS (SELECT x, y FROM c JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE 2 * c >= p.n + q.n - c)"""
 _FREQUENT = f"""
 WITH {_READ}, k AS (SELECT max(kmer) AS kmer FROM batch_post_stats WHERE kmer IS NOT NULL GROUP BY batch_id),
 u AS (SELECT i - 1 AS i, kmer[i] AS w FROM k, range(1, 1025) t(i)),
@@ -122,12 +134,12 @@ s AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS t FROM
 SELECT DISTINCT doc_id, item_id FROM g JOIN s USING (n, t)""",
     "p5_share": f"""{_SPANS}, n AS (SELECT read_id, CAST(max(length(seq)) AS BIGINT) AS n_chars FROM r GROUP BY 1)
 SELECT n.read_id, n_chars, CAST(coalesce((SELECT sum(span_end - span_start) FROM f WHERE f.read_id = n.read_id), 0) AS BIGINT) AS n_shared FROM n""",
-    "p4_found": f"""
-WITH {_READ}, d AS (SELECT seq, min(read_id) AS id FROM r WHERE length(seq) >= 30 GROUP BY seq),
-g AS (SELECT DISTINCT id, substr(seq, i, 8) AS gram FROM (SELECT id, seq, unnest(range(1, length(seq) - 6)) AS i FROM d)),
-n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
-c AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2)
-SELECT x AS read_id_a, y AS read_id_b FROM c JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE 2 * c >= p.n + q.n - c""",
+    "p4_found": f"WITH {_SIMILAR} SELECT x AS read_id_a, y AS read_id_b FROM pairs",
+    "p4_groups": f"""WITH RECURSIVE {_SIMILAR}, e AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+t(id, low) AS (SELECT x, x FROM e UNION SELECT e.y, t.low FROM t JOIN e ON e.x = t.id),
+z AS (SELECT id, min(low) AS low FROM t GROUP BY id), l AS (SELECT x AS id, count(*) AS links FROM e GROUP BY x),
+m AS (SELECT DISTINCT read_id, min(read_id) OVER (PARTITION BY seq) AS rep_id FROM r WHERE length(seq) >= 30)
+SELECT read_id, rep_id, coalesce(low, rep_id) AS group_id, coalesce(links, 0) AS links FROM m LEFT JOIN z ON z.id = rep_id LEFT JOIN l ON l.id = rep_id""",
     "p4_members": f"""
 WITH {_READ} SELECT DISTINCT read_id, min(read_id) OVER (PARTITION BY seq) AS rep_id FROM r WHERE length(seq) >= 30""",
 }

@@ -93,5 +93,6 @@ def estimate(a: np.ndarray, b: np.ndarray, fa: np.ndarray, fb: np.ndarray, na: n
     total = used.sum(axis=1)
     equal = ((a == b) & fa & fb).sum(axis=1)
     per = lambda x: np.maximum(1, np.round(x / buckets)).astype(int)
-    chance = np.array([accidental(int(x), int(y)) for x, y in zip(per(na), per(nb))]) * total
+    kinds, which = np.unique(per(na) << 32 | per(nb), return_inverse=True)
+    chance = np.array([accidental(int(x >> 32), int(x & 0xFFFFFFFF)) for x in kinds])[which] * total
     return np.where(total > 0, (equal - chance) / np.maximum(total - chance, 1e-9), 0.0).clip(0, 1)

@@ -1,13 +1,17 @@
 """Long exact spans shared between records, by fixed-block anchors.
 
 Every sequence is cut into reference blocks at multiples of a stride such that any span of ``least``
-characters holds exactly one whole block. Every rolling window of every other sequence is probed against the
+characters holds exactly one whole block. Every rolling window of every sequence is probed against the
 blocks; hits are extended in both directions by comparing the ``least`` long windows around them, and adjoining
 shared windows merge into maximal stretches.
 
-Equal sequences are collapsed first: what several records hold as a whole is shared as a whole. Probing goes
-through a Bloom filter of the blocks whose size is checked; beyond the bound the windows are joined instead.
-No pair of records is ever listed: a window is shared if the smallest and the largest id that hold it differ.
+Equal sequences are collapsed first: what several records hold as a whole is shared as a whole. Windows meet blocks
+in a packed exchange by their hash, whatever the size of the input; nothing is broadcast. A batch settles by itself what it
+holds twice and sends one mark for it, so a window that a third of all records hold costs one mark a batch.
+No pair of records is ever listed: a window is shared if two of those that hold it differ.
+
+Windows are compared by 128 bits of two polynomial codes, not letter by letter: two different ones among 10^15 would
+be taken for equal with a chance of about 10^-9.
 """
 
 from __future__ import annotations
@@ -21,21 +25,21 @@ from pyspark.sql import functions as F
 
 from helixmill.functions.rolling import codes, flat, mix, window_starts
 from helixmill.llm.reads import distinct_sequences
-from helixmill.operators.exchange import packed_exchange, partitions_of, split_by
-from helixmill.operators.staging import BROADCAST_BYTES, join_checked, small_enough, staged
+from helixmill.operators.exchange import from_planes, packed_exchange, partitions_of, planes, split_by
+from helixmill.operators.staging import staged
 
 _U = np.uint64
-#: Bits of the block filter per block; with 6 bits set in one 64-bit word about one window in 2000 passes by accident.
-BITS_PER_BLOCK = 24
+#: Entries of a batch with one tag from which they count as hits without a block among them; extension then decides exactly.
+HOT = 256
+_ITEMS, _MARK, _SURE = range(3)
 
 
 @dataclass(frozen=True)
 class SpanOptions:
-    """least: shortest span. block: characters of a reference block, at most ``least``. filter_bytes: largest filter to broadcast."""
+    """least: shortest span. block: characters of a reference block, at most ``least``."""
 
     least: int = 60
     block: int = 31
-    filter_bytes: int = BROADCAST_BYTES
 
     @property
     def stride(self) -> int:
@@ -49,10 +53,9 @@ def shared_spans(df: DataFrame, opts: SpanOptions = SpanOptions()) -> DataFrame:
     ``df``: read_id, seq as from ``reads.normal``. Shorter sequences share nothing; repeated rows of one id count once;
     a repeat inside one record alone isn't shared; an empty table gives an empty result.
     """
-    held = staged(distinct_sequences(df, opts.least), "distinct")
+    held = staged(distinct_sequences(df, opts.least).withColumn("at", F.monotonically_increasing_id()), "distinct")
     found = _islands(_shared_windows(held, opts), opts)
-    copies = staged(held.where("many").select("seq"), "copies")
-    whole = join_checked(df.where(F.length("seq") >= opts.least).distinct(), copies, "seq", "left_semi", 400)
+    whole = df.where(F.length("seq") >= opts.least).distinct().join(held.where("many").select("seq"), "seq", "left_semi")
     return found.unionByName(whole.select("read_id", F.lit(0).alias("span_start"), F.length("seq").cast("int").alias("span_end")))
 
 
@@ -63,170 +66,157 @@ def shared_share(df: DataFrame, opts: SpanOptions = SpanOptions()) -> DataFrame:
     return sizes.join(spans, "read_id", "left").select("read_id", "n_chars", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
 
 
-def _tags(chars: np.ndarray, at: np.ndarray, size: int, step: int = 1):
-    owner, place = window_starts(at, size, step)
-    tag = mix(codes(chars, size)[place]) if len(place) else np.zeros(0, _U)
-    return owner, place - at[:-1][owner], tag
-
-
-def _word(tag: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
-    """Place in a filter of so many words, and the six bits to be set there."""
-    h = mix(tag, 3)
-    bits = np.zeros(len(tag), _U)
-    for i in range(6):
-        bits |= _U(1) << ((h >> _U(6 * i)) & _U(63))
-    return ((h >> _U(36)) & (words - _U(1))).astype(np.int64), bits
-
-
-def _filter_of(tag: np.ndarray) -> bytes:
-    words = 1 << max(0, int(np.ceil(np.log2(max(1, len(tag) * BITS_PER_BLOCK / 64)))))
-    out = np.zeros(words, _U)
-    if len(tag):
-        place, bits = _word(tag, _U(words))
-        np.bitwise_or.at(out, place, bits)
-    return out.tobytes()
-
-
-class _Filter:
-    """Filters of all partitions side by side."""
-
-    def __init__(self, parts: list[bytes]):
-        sizes = [len(p) // 8 for p in parts]
-        self.words, self.begin = np.array(sizes, _U), np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
-        self.bits = np.frombuffer(b"".join(parts), _U)
-
-    def holds(self, tag: np.ndarray) -> np.ndarray:
-        pid = _pid(tag, len(self.words))
-        place, bits = _word(tag, self.words[pid])
-        return self.bits[self.begin[pid] + place] & bits == bits
-
+def _groups(tag: np.ndarray, owner: np.ndarray, more=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order of their tag, where each group begins, its size, and whether two owners stand in it."""
+    order = np.argsort(tag) if more is None else np.lexsort((more, tag))
+    tag, owner = tag[order], owner[order]
+    new = tag[1:] != tag[:-1] if more is None else (tag[1:] != tag[:-1]) | (more[order][1:] != more[order][:-1])
+    begin = np.flatnonzero(np.concatenate([[True], new]))
+    return order, begin, np.diff(np.append(begin, len(tag))), np.minimum.reduceat(owner, begin) != np.maximum.reduceat(owner, begin)
+
+
+def _sent(n: int, pid, owner, ids, columns, sure, marks):
+    """Cells of a batch: ``sure`` entries go to partitions dealt out by id, ``marks`` (columns of the values they settle) and the other
+    entries to their value's partition ``pid``. ``ids``: of the owners, in ascending order."""
+    salted = (mix(ids.astype(_U), 5) % _U(n)).astype(np.int64)
+    for kind, rows, part in ((_SURE, np.flatnonzero(sure), salted[owner[sure]]), (_ITEMS, np.flatnonzero(~sure), pid[~sure]), (_MARK, marks, pid[marks])):
+        if not len(rows):
+            continue
+        order, ends = split_by(part, n)
+        rows = rows[order]
+        for p in np.unique(part):
+            at = rows[ends[p] : ends[p + 1]]
+            uses, first = np.unique(owner[at], return_index=True) if kind == _MARK else _runs_of(owner[at])
+            gaps = np.diff(ids[uses], prepend=0)
+            run = len(gaps) == 0 or bool((gaps[1:] < 1 << 16).all())  # ids of one batch stand near each other where they were numbered in order
+            cell = [np.array([kind, len(at), len(uses), ids[uses[0]], run], np.int64).tobytes(), planes(gaps[1:].astype(np.uint16 if run else np.int64)), planes(np.diff(np.append(first, len(at))).astype(np.uint32)) if kind != _MARK else b""]
+            yield int(p), b"".join([*cell, *(planes(c[at]) for c in columns)])
+
+
+def _runs_of(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    return owner[first], first
+
+
+def _received(blob: bytes, dtypes) -> tuple[int, np.ndarray, list[np.ndarray]]:
+    """Kind, ids of the entries (none for marks) and columns of a cell."""
+    kind, n, uses, first, run = np.frombuffer(blob, np.int64, 5)
+    at, size = 40, 2 if run else 8
+    ids = first + np.concatenate([[0], np.cumsum(from_planes(blob[at:], uses - 1, np.uint16 if run else np.int64).astype(np.int64))])
+    at += size * (uses - 1)
+    if kind != _MARK:
+        ids = np.repeat(ids, from_planes(blob[at:], uses, np.uint32))
+        at += 4 * uses
+    columns = []
+    for d in dtypes:
+        columns.append(from_planes(blob[at:], n, d))
+        at += n * np.dtype(d).itemsize
+    return int(kind), ids, columns
 
-def _pid(tag: np.ndarray, n: int) -> np.ndarray:
-    return ((tag >> _U(40)) % _U(n)).astype(np.int64)
 
-
-def _block_filters(held: DataFrame, opts: SpanOptions):
-    """Filters of all block tags and of those that stand in two places, or None where they'd be too large to broadcast."""
+def _hits(held: DataFrame, opts: SpanOptions) -> DataFrame:
+    """(at, pos): windows and blocks whose hash a window or block of another sequence has, one of them a block."""
 
     def pack(batch, n):
-        _, _, tag = _tags(*flat(batch.column(1)), opts.block, opts.stride)
-        order, ends = split_by(_pid(tag, n), n)
-        for p in range(n):
-            if ends[p] < ends[p + 1]:
-                yield p, tag[order[ends[p] : ends[p + 1]]].tobytes()
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        by_id = np.argsort(ids, kind="stable")
+        ids, batch = ids[by_id], batch.take(pa.array(by_id)) if (np.diff(ids) < 0).any() else batch
+        chars, begin = flat(batch.column(1))
+        owner, place = window_starts(begin, opts.block)
+        if not len(owner):
+            return
+        pos = (place - begin[:-1][owner]).astype(np.int32)
+        use = (pos % opts.stride == 0) | ~batch.column(2).to_numpy(zero_copy_only=False)[owner]  # sequences held twice are shared anyway: their blocks do
+        owner, pos, tag = owner[use], pos[use], mix(codes(chars, opts.block)[place[use]])
+        order, first, size, differ = _groups(tag, owner)
+        settled = differ & (np.logical_or.reduceat((pos % opts.stride == 0)[order], first) | (size > HOT))
+        sure = np.zeros(len(tag), bool)
+        sure[order] = np.repeat(settled, size)
+        pid = ((tag >> _U(40)) % _U(n)).astype(np.int64)
+        yield from _sent(n, pid, owner, ids, [pos, tag.astype(np.uint32)], sure, order[first[settled]])
 
     def reduce(pid, blobs):
-        tag, count = np.unique(np.frombuffer(b"".join(blobs), _U), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([_filter_of(tag)], pa.binary()), pa.array([_filter_of(tag[count > 1])], pa.binary())], names=["pid", "one", "two"])
-
-    made = staged(packed_exchange(held, pack, reduce, "pid int, one binary, two binary"), "filters")
-    size = made.agg(F.sum(F.length("one") + F.length("two"))).first()[0] or 0
-    if size > opts.filter_bytes:
-        return None
-    n, none = partitions_of(held), bytes(8)
-    parts = {r["pid"]: r for r in made.collect()}
-    pick = lambda c: _Filter([bytes(parts[p][c]) if p in parts else none for p in range(n)])
-    return pick("one"), pick("two")
-
-
-def _hits(held: DataFrame, opts: SpanOptions) -> DataFrame:
-    """(tag, rid, pos): windows of sequences held once that may equal a block of another sequence."""
-    filters = _block_filters(held, opts)
-    known = held.sparkSession.sparkContext.broadcast(filters) if filters else None
-
-    def probe(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            owner, pos, tag = _tags(*flat(batch.column(1)), opts.block)
-            if known is not None:
-                one, two = known.value
-                keep = one.holds(tag)
-                own = np.flatnonzero(keep & (pos % opts.stride == 0))  # a sequence's own block: another must hold it too
-                keep[own] = two.holds(tag[own])
-                owner, pos, tag = owner[keep], pos[keep], tag[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(tag.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(pos.astype(np.int32))], names=["tag", "rid", "pos"])
-
-    windows = held.where("not many").select("rid", "seq").mapInArrow(probe, "tag long, rid long, pos int")
-    if known is None:  # too many blocks for a filter: the windows meet the blocks in a shuffled join
-        windows = windows.join(_blocks(held, opts).select("tag").distinct(), "tag", "left_semi")
-    return windows
-
-
-def _blocks(held: DataFrame, opts: SpanOptions, wanted=None) -> DataFrame:
-    """(tag, rid, pos) of the reference blocks, of those in ``wanted`` (a broadcast sorted array) if given."""
-
-    def cut(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            owner, pos, tag = _tags(*flat(batch.column(1)), opts.block, opts.stride)
-            signed = tag.view(np.int64)
-            if wanted is not None:
-                known = wanted.value
-                keep = known[np.searchsorted(known, signed).clip(0, len(known) - 1)] == signed if len(known) else np.zeros(len(signed), bool)
-                owner, pos, signed = owner[keep], pos[keep], signed[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(signed), batch.column(0).take(pa.array(owner)), pa.array(pos.astype(np.int32))], names=["tag", "rid", "pos"])
-
-    return held.select("rid", "seq").mapInArrow(cut, "tag long, rid long, pos int")
+        all_ids, all_pos, all_tag, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        for blob in blobs:
+            kind, ids, (pos, tag) = _received(blob, (np.int32, np.uint32))
+            if kind == _SURE:
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pos)], names=["at", "pos"])
+            elif kind == _MARK:
+                marks.append(tag)
+            else:
+                for have, one in ((all_ids, ids), (all_pos, pos), (all_tag, tag)):
+                    have.append(one)
+        ids, pos, tag, mark = (np.concatenate(x) for x in (all_ids, all_pos, all_tag, marks))
+        wanted = np.zeros(1 << 24, bool)
+        wanted[tag[pos % opts.stride == 0] >> 8] = True
+        wanted[mark >> 8] = True
+        near = np.flatnonzero(wanted[tag >> 8])
+        if not len(near):
+            return
+        order, first, size, differ = _groups(tag[near], ids[near])
+        settled = np.isin(tag[near][order[first]], mark) | differ & np.logical_or.reduceat((pos[near] % opts.stride == 0)[order], first)
+        got = near[order[np.repeat(settled, size)]]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[got]), pa.array(pos[got])], names=["at", "pos"])
+
+    # about 100 windows a sequence, at 5.5 bytes
+    return packed_exchange(held.select("at", "seq", "many"), pack, reduce, "at long, pos int", partitions_of(held, 550))
 
 
 def _shared_windows(held: DataFrame, opts: SpanOptions) -> DataFrame:
     """(rid, start): windows of ``least`` characters of sequences held once that another sequence holds too."""
-    hits = staged(_hits(held.select("rid", "seq", "many"), opts), "hits")
-    tags = staged(hits.groupBy("tag").agg(F.min("rid").alias("w0"), F.max("rid").alias("w1")), "tags")
-    if small_enough(tags, 8, opts.filter_bytes):
-        blocks = _blocks(held, opts, held.sparkSession.sparkContext.broadcast(_sorted_tags(tags)))
-    else:
-        blocks = _blocks(held, opts).join(tags.select("tag"), "tag", "left_semi")
-    blocks = staged(blocks, "blocks")
-    sides = staged(blocks.groupBy("tag").agg(F.min("rid").alias("b0"), F.max("rid").alias("b1")), "sides")
-    live = join_checked(hits, sides, "tag", "inner", 80).where("b0 <> rid or b1 <> rid").select("rid", "pos")
-    met = join_checked(blocks, tags, "tag", "inner", 80).where("w0 <> rid or w1 <> rid").select("rid", "pos")
-    places = staged(live.unionByName(met).groupBy("rid").agg(F.collect_set("pos").alias("hits")), "places")  # at most one per character of the row
-
-    windows = staged(join_checked(held, places, "rid", "inner", 128).select("rid", "seq", "many", "hits").mapInArrow(_extender(opts), "u long, v long, rid long, start int, many boolean"), "windows")
-    common = staged(windows.groupBy("u", "v").agg(F.min("rid").alias("r0"), F.max("rid").alias("r1")).where("r0 <> r1").select("u", "v"), "common")
-    # about 96 bytes a row in the hash table of a broadcast
-    return join_checked(windows.where("not many"), common, ["u", "v"], "left_semi", 96, 4 * BROADCAST_BYTES).select("rid", "start")
-
-
-def _sorted_tags(tags: DataFrame) -> np.ndarray:
-    """The tags of a table whose size was checked, moved as packed cells."""
-
-    def pack(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy(zero_copy_only=False).tobytes()], pa.binary())], names=["cell"])
-
-    cells = tags.select("tag").mapInArrow(pack, "cell binary").collect()
-    return np.sort(np.frombuffer(b"".join(bytes(r["cell"]) for r in cells), np.int64))
-
-
-def _extender(opts: SpanOptions):
-    """Codes (128 bits) of every window of ``least`` characters around a hit."""
-
-    def extend(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            chars, at = flat(batch.column(1))
-            lists = batch.column(3)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            pos = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            reach = opts.least - opts.block
-            start = (pos[:, None] - np.arange(reach + 1)).ravel()
-            who = np.repeat(owner, reach + 1)
-            ok = (start >= 0) & (start + opts.least <= np.diff(at)[who])
-            both = np.unique((who[ok] << 32) | start[ok])
-            both = both >> 32, both & 0xFFFFFFFF
-            place = at[:-1][both[0]] + both[1]
-            u, v = codes(chars, opts.least, 11)[place], codes(chars, opts.least, 12)[place]
-            rows = pa.array(both[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), batch.column(0).take(rows), pa.array(both[1].astype(np.int32)), batch.column(2).take(rows)], names=["u", "v", "rid", "start", "many"]
-            )
-
-    return extend
+    places = _hits(held, opts).groupBy("at").agg(F.collect_set("pos").alias("hits"))  # at most one per character of the row
+    near = staged(held.join(places, "at").select("rid", "seq", "many", "hits"), "near")
+
+    def pack(batch, n):
+        by_id = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")
+        batch = batch.take(pa.array(by_id))
+        ids, many = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        owner, start, u, v = _around(batch.column(1), batch.column(3), opts)
+        if not len(owner):
+            return
+        order, first, size, differ = _groups(u, owner, v)
+        sure = np.zeros(len(u), bool)
+        sure[order] = np.repeat(differ, size)
+        yield from _sent(n, ((u >> _U(40)) % _U(n)).astype(np.int64), owner, ids, [(2 * start + many[owner]).astype(np.uint32), u, v], sure, order[first[differ]])
+
+    def reduce(pid, blobs):
+        rows, marks = [], []
+        for blob in blobs:
+            kind, ids, (start, u, v) = _received(blob, (np.uint32, _U, _U))
+            if kind == _SURE:
+                yield _starts(ids, start)
+            elif kind == _MARK:
+                marks.append((np.full(len(u), -1), np.ones(len(u), np.uint32), u, v))  # an owner of its own
+            else:
+                rows.append((ids, start, u, v))
+        if not rows:
+            return
+        ids, start, u, v = (np.concatenate(x) for x in zip(*rows, *marks))
+        order, first, size, differ = _groups(u, ids, v)
+        got = order[np.repeat(differ, size)]
+        yield _starts(ids[got], start[got])
+
+    return packed_exchange(near, pack, reduce, "rid long, start int", partitions_of(near, 550))
+
+
+def _starts(ids: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    own = start % 2 == 0
+    return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array((start[own] // 2).astype(np.int32))], names=["rid", "start"])
+
+
+def _around(seqs: pa.Array, hits: pa.Array, opts: SpanOptions):
+    """Owner, start and 128-bit code of every window of ``least`` characters around a hit."""
+    chars, at = flat(seqs)
+    owner = np.repeat(np.arange(len(seqs)), np.diff(hits.offsets.to_numpy()))
+    pos = hits.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    reach = opts.least - opts.block
+    start = (pos[:, None] - np.arange(reach + 1)).ravel()
+    who = np.repeat(owner, reach + 1)
+    ok = (start >= 0) & (start + opts.least <= np.diff(at)[who])
+    both = np.unique((who[ok] << 32) | start[ok])
+    owner, start = both >> 32, both & 0xFFFFFFFF
+    place = at[:-1][owner] + start
+    return owner, start, codes(chars, opts.least, 11)[place], codes(chars, opts.least, 12)[place]
 
 
 def _islands(windows: DataFrame, opts: SpanOptions) -> DataFrame:

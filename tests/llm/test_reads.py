@@ -50,6 +50,75 @@ def test_similar_pairs(spark, seed):
     assert got <= want and len(want - got) <= 0.02 * len(want)
 
 
+def _grams(s, k=8):
+    return {s[i : i + k] for i in range(len(s) - k + 1)}
+
+
+def test_partitions_change_nothing_and_recall_by_similarity(spark):
+    """The same pairs at 1, 2, 8 and 200 partitions, and nearly all there are, whatever their similarity."""
+    rng = random.Random(11)
+    rows = []
+    for family in range(250):
+        base = [rng.choice("ACGT") for _ in range(rng.randrange(60, 150))]
+        for m in range(4):
+            s = list(base)
+            for p in rng.sample(range(len(s) // rng.choice([1, 4, 9])), rng.choice([1, 2, 3, 4, 5, 6])):
+                s[p] = rng.choice("ACGT")
+            rows.append((family * 4 + m, "".join(s)))
+    df = table(spark, rows)
+    grams, first, want = {i: _grams(s) for i, s in rows}, {}, {}
+    for i, s in rows:
+        first.setdefault(s, i)
+    for f in range(250):
+        for a in range(4 * f, 4 * f + 4):
+            for b in range(a + 1, 4 * f + 4):
+                j = len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+                if j >= 0.5 and first[rows[a][1]] == a and first[rows[b][1]] == b:
+                    want[a, b] = j
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    try:
+        for n in (1, 2, 8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got[n] = {(r[0], r[1]) for r in neardup.similar_pairs(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[1] == got[2] == got[8] == got[200]
+    for lo in (0.5, 0.6, 0.7, 0.8, 0.9):
+        inside = {p for p, j in want.items() if lo <= j < lo + 0.1}
+        assert len(inside) > 20 and len(inside & got[1]) >= 0.99 * len(inside), (lo, len(inside), len(inside & got[1]))
+
+
+def test_groups(spark):
+    """Chains of similar reads get the smallest id, copies theirs, and a read like no other its own."""
+    rng = random.Random(12)
+    word = lambda n: [rng.choice("ACGT") for _ in range(n)]
+    chain = [word(100)]
+    for i in range(8):
+        s = list(chain[-1])
+        s[12 * i : 12 * i + 3] = word(3)
+        chain.append(s)
+    rows = [(50 - i, "".join(s)) for i, s in enumerate(chain)] + [(7, "".join(chain[4])), (60, "".join(word(90))), (61, "ACGT"), (62, None)]
+    got = {r["read_id"]: (r["rep_id"], r["group_id"], r["links"]) for r in neardup.groups(table(spark, rows)).collect()}
+    assert set(got) == set(range(42, 51)) | {7, 60} and got[60] == (60, 60, 0)
+    assert {got[i][1] for i in (*range(42, 51), 7)} == {7} and got[46][0] == got[7][0] == 7 and got[50][2] >= 1
+
+
+def test_a_value_held_by_most_rows_moves_as_marks(spark, monkeypatch):
+    """Every sequence shares a long piece: its bands are hot in each batch, and the pairs are still all there."""
+    monkeypatch.setattr(neardup, "HOT", 16)
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    shared, bodies = word(40), [word(80) for _ in range(20)]
+    rows = [(i, shared + bodies[i % 20][: 60 + i % 7]) for i in range(400)]
+    grams, first = {i: _grams(s) for i, s in rows}, {}
+    for i, s in rows:
+        first.setdefault(s, i)
+    ids = sorted(set(first.values()))
+    want = {(a, b) for a in ids for b in ids if a < b and 2 * len(grams[a] & grams[b]) >= len(grams[a] | grams[b])}
+    got = {(r[0], r[1]) for r in neardup.similar_pairs(table(spark, rows)).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want), (len(got), len(want))
+
+
 def test_hot_bands_are_parted_not_dropped(spark, monkeypatch):
     """With the bound at 4 nearly every band is hot; passes and blocks must still give the pairs."""
     monkeypatch.setattr(neardup, "HOT", 4)
@@ -72,8 +141,9 @@ def test_hot_bands_are_parted_not_dropped(spark, monkeypatch):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
-@pytest.mark.parametrize("limit", [10, 32 << 20])
-def test_spans(spark, limit):
+@pytest.mark.parametrize("partitions,hot", [(1, 256), (4, 256), (50, 3)])
+def test_spans(spark, monkeypatch, partitions, hot):
+    monkeypatch.setattr(spans, "HOT", hot)
     rows = clean(some_reads(4))
     where = {}
     for i, s in rows:
@@ -93,7 +163,12 @@ def test_spans(spark, limit):
                 while e in hit:
                     e += 1
                 want.add((i, p, e))
-    got = {tuple(r) for r in spans.shared_spans(table(spark, some_reads(4)), spans.SpanOptions(filter_bytes=limit)).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = {tuple(r) for r in spans.shared_spans(table(spark, some_reads(4))).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == want
 
 
