@@ -54,6 +54,35 @@ def test_gzip_members_and_blocks(tmp_path):
     assert gzip.decompress(p.read_bytes()) == data
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+@pytest.mark.parametrize("kind", ["plain", "bgzf"])
+def test_ranges_read_what_the_whole_file_holds(tmp_path, end, kind):
+    """Blank lines anywhere between records, every kind of line end, a missing last one: the same records for every size of the ranges."""
+    rng = random.Random(3)
+    reads = _reads(150)
+    text = end * 3 + "".join(end.join(r) + end * rng.choice([1, 1, 1, 2, 4, 90 if i == 70 else 3]) for i, r in enumerate(reads))
+    for cut in (text, text.rstrip(end)):
+        data = cut.encode()
+        p = tmp_path / "a.fastq"
+        p.write_bytes(data if kind == "plain" else b"".join(fastq.bgzf_block(data[i : i + 600]) for i in range(0, len(data), 600)) + fastq.BGZF_END)
+        for size in (1, 60, 300, 500, 5000, 10**7) if kind == "plain" else (60, 300, 500, 5000, 10**7):
+            parts = fastq.plan(str(p), size)
+            got = [r[3:] for part in parts for r in fastq.read_part(part)]
+            assert got == reads if reads[-1][1] or cut is text else got[:-1] == reads[:-1], (size, len(got))
+
+
+@pytest.mark.parametrize("size", [50, 400, 10**6])
+def test_a_broken_record_is_never_passed_over(tmp_path, size):
+    reads = _reads(60)
+    for bad in range(0, 60, 7):
+        lines = [list(r) for r in reads]
+        lines[bad][0] = "no_name"
+        p = tmp_path / "a.fastq"
+        p.write_text(_text(lines))
+        with pytest.raises(fastq.FormatError):
+            [r for part in fastq.plan(str(p), size) for r in fastq.read_part(part)]
+
+
 @pytest.mark.parametrize(
     "text",
     ["THIS_IS_NOT_A_FASTQ\nACGT\n+\nIIII\n", "@a\nACGT\n+\nIIII\n@b\nACGT\n", "@a\nACGT\n+\nII\n", "@a\nACGT\n-\nIIII\n", "@a\nACGT\n+\nII\x01I\n"],
