@@ -55,7 +55,7 @@ def shared_spans(df: DataFrame, opts: SpanOptions = SpanOptions()) -> DataFrame:
     """
     held = staged(distinct_sequences(df, opts.least).withColumn("at", F.monotonically_increasing_id()), "distinct")
     found = _islands(_shared_windows(held, opts), opts)
-    whole = df.where(F.length("seq") >= opts.least).distinct().join(held.where("many").select("seq"), "seq", "left_semi")
+    whole = df.where(F.length("seq") >= opts.least).join(held.where("many").select("seq"), "seq", "left_semi").distinct()
     return found.unionByName(whole.select("read_id", F.lit(0).alias("span_start"), F.length("seq").cast("int").alias("span_end")))
 
 
@@ -76,21 +76,22 @@ def _groups(tag: np.ndarray, owner: np.ndarray, more=None) -> tuple[np.ndarray,
 
 
 def _sent(n: int, pid, owner, ids, columns, sure, marks):
-    """Cells of a batch: ``sure`` entries go to partitions dealt out by id, ``marks`` (columns of the values they settle) and the other
+    """Cells of a batch, of entries with an owner, a small number and hashes: ``sure`` entries go to partitions dealt out by id, ``marks`` (entries whose values they settle) and the other
     entries to their value's partition ``pid``. ``ids``: of the owners, in ascending order."""
     salted = (mix(ids.astype(_U), 5) % _U(n)).astype(np.int64)
-    for kind, rows, part in ((_SURE, np.flatnonzero(sure), salted[owner[sure]]), (_ITEMS, np.flatnonzero(~sure), pid[~sure]), (_MARK, marks, pid[marks])):
+    for kind, rows, part in ((_SURE, np.flatnonzero(sure), salted[owner[sure]]), (_ITEMS, np.flatnonzero(~sure), pid[~sure]), (_MARK, np.sort(marks), pid[np.sort(marks)])):
         if not len(rows):
             continue
         order, ends = split_by(part, n)
         rows = rows[order]
         for p in np.unique(part):
             at = rows[ends[p] : ends[p + 1]]
-            uses, first = np.unique(owner[at], return_index=True) if kind == _MARK else _runs_of(owner[at])
-            gaps = np.diff(ids[uses], prepend=0)
-            run = len(gaps) == 0 or bool((gaps[1:] < 1 << 16).all())  # ids of one batch stand near each other where they were numbered in order
-            cell = [np.array([kind, len(at), len(uses), ids[uses[0]], run], np.int64).tobytes(), planes(gaps[1:].astype(np.uint16 if run else np.int64)), planes(np.diff(np.append(first, len(at))).astype(np.uint32)) if kind != _MARK else b""]
-            yield int(p), b"".join([*cell, *(planes(c[at]) for c in columns)])
+            uses, first = _runs_of(owner[at])
+            # ids of one batch stand near each other where they were numbered in order; small numbers are packed, hashes can't be
+            small = planes(np.diff(ids[uses])) + planes(np.diff(np.append(first, len(at))).astype(np.uint32)) + planes(columns[0][at])
+            packed = pa.compress(small, codec="zstd", asbytes=True)
+            head = np.array([kind, len(at), len(uses), ids[uses[0]], len(small), len(packed)], np.int64).tobytes()
+            yield int(p), b"".join([head, packed, *(planes(c[at]) for c in columns[1:])])
 
 
 def _runs_of(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,16 +100,13 @@ def _runs_of(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _received(blob: bytes, dtypes) -> tuple[int, np.ndarray, list[np.ndarray]]:
-    """Kind, ids of the entries (none for marks) and columns of a cell."""
-    kind, n, uses, first, run = np.frombuffer(blob, np.int64, 5)
-    at, size = 40, 2 if run else 8
-    ids = first + np.concatenate([[0], np.cumsum(from_planes(blob[at:], uses - 1, np.uint16 if run else np.int64).astype(np.int64))])
-    at += size * (uses - 1)
-    if kind != _MARK:
-        ids = np.repeat(ids, from_planes(blob[at:], uses, np.uint32))
-        at += 4 * uses
-    columns = []
-    for d in dtypes:
+    """Kind, ids of the entries and columns of a cell."""
+    kind, n, uses, first, size, packed = np.frombuffer(blob, np.int64, 6)
+    small = pa.decompress(blob[48 : 48 + packed], decompressed_size=size, codec="zstd", asbytes=True)
+    ids = first + np.concatenate([[0], np.cumsum(from_planes(small, uses - 1, np.int64))])
+    ids = np.repeat(ids, from_planes(small[8 * (uses - 1) :], uses, np.uint32))
+    columns, at = [from_planes(small[8 * (uses - 1) + 4 * uses :], n, dtypes[0])], 48 + packed
+    for d in dtypes[1:]:
         columns.append(from_planes(blob[at:], n, d))
         at += n * np.dtype(d).itemsize
     return int(kind), ids, columns
@@ -164,7 +162,7 @@ def _hits(held: DataFrame, opts: SpanOptions) -> DataFrame:
 
 def _shared_windows(held: DataFrame, opts: SpanOptions) -> DataFrame:
     """(rid, start): windows of ``least`` characters of sequences held once that another sequence holds too."""
-    places = _hits(held, opts).groupBy("at").agg(F.collect_set("pos").alias("hits"))  # at most one per character of the row
+    places = staged(_hits(held, opts).groupBy("at").agg(F.collect_set("pos").alias("hits")), "places")  # at most one per character of the row
     near = staged(held.join(places, "at").select("rid", "seq", "many", "hits"), "near")
 
     def pack(batch, n):
