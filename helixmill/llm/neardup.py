@@ -27,7 +27,7 @@ from helixmill.operators.staging import staged
 
 _U = np.uint64
 #: Holders of one band value beyond which a pass hands them to the next one. A pass makes at most HOT/2 candidate pairs per band entry.
-HOT = 128
+HOT = 48
 #: Bands in which a pair must agree.
 AGREE = 2
 #: Rows per block in the last resort for groups that no pass could part.
@@ -77,7 +77,7 @@ def _held(df: DataFrame, opts: NearDupOptions) -> DataFrame:
 
 
 def pairs_of_distinct(held: DataFrame, opts: NearDupOptions) -> DataFrame:
-    found, now = [], held
+    found, settled, now = [], None, held
     for turn in range(opts.passes):
         got = staged(_band_pass(now, opts, opts.rows + turn, turn), "bands")
         found.append(got.where("not hot").select("a", "b", "n"))
@@ -87,12 +87,14 @@ def pairs_of_distinct(held: DataFrame, opts: NearDupOptions) -> DataFrame:
         if turn + 1 < opts.passes:
             now = staged(held.join(staged(hot, "hot"), "rid", "left_semi"), "again")
         else:
-            found.append(_block_pairs(got.where("hot").select("key", F.col("a").alias("rid")).distinct(), held, opts).withColumn("n", F.lit(AGREE)))
+            settled = _block_pairs(got.where("hot").select("key", F.col("a").alias("rid")).distinct(), held, opts)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     pairs = staged(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= AGREE).select("a", "b"), "pairs")
-    return _verified(pairs, held, opts)
+    checked = _verified(pairs, held, opts)
+    # a pair may come out of several band values
+    return checked if settled is None else checked.unionByName(settled).groupBy("read_id_a", "read_id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def _band_pass(held: DataFrame, opts: NearDupOptions, rows: int, turn: int) -> DataFrame:
@@ -198,33 +200,23 @@ def _batch(hot: bool, key, a, b, n) -> pa.RecordBatch:
 
 
 def _block_pairs(members: DataFrame, held: DataFrame, opts: NearDupOptions) -> DataFrame:
-    """Pairs within band values that no pass could part: members are dealt into blocks of about BLOCK, every two blocks of a
-    value meet in one task of their own, and only pairs whose sketches agree well enough come out."""
+    """Similar pairs within band values that no pass could part: members are dealt into blocks of about BLOCK, every two blocks of a
+    value meet in one task of their own, and are checked exactly there. Members of such a value share nearly all of their long
+    bands, so that most of what is compared is a pair of the result."""
     sizes = members.groupBy("key").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).select("key", "blocks")
     dealt = members.join(staged(sizes, "sizes"), "key").withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     met = dealt.select("key", "rid", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("key", "rid", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine")
-    groups = 4
 
     def compare(frame):
-        reg, filled = registers(*flat(pa.array(frame["seq"])), opts.k, groups, opts.buckets, 91)
-        n = np.maximum(frame["seq"].str.len().to_numpy() - opts.k + 1, 1)
-        rid, mine = frame["rid"].to_numpy(), frame["mine"].to_numpy()
-        a, b = [], []
-        for i in range(len(frame)):
-            j = np.flatnonzero(rid > rid[i])
-            if frame["x"].iloc[0] != frame["y"].iloc[0]:
-                j = j[mine[j] != mine[i]]
-            if len(j):
-                near = estimate(reg[np.full(len(j), i)], reg[j], filled[np.full(len(j), i)], filled[j], n[np.full(len(j), i)], n[j], opts.buckets)
-                j = j[near >= opts.threshold - opts.slack]
-                a.append(np.full(len(j), rid[i]))
-                b.append(rid[j])
         import pandas as pd
 
-        return pd.DataFrame({"a": np.concatenate(a or [np.zeros(0, np.int64)]), "b": np.concatenate(b or [np.zeros(0, np.int64)])})
+        rid, mine, two = frame["rid"].to_numpy(), frame["mine"].to_numpy(), frame["x"].iloc[0] != frame["y"].iloc[0]
+        near = _all_jaccards(pa.array(frame["seq"]), opts.k)
+        i, j = np.nonzero((near >= opts.threshold) & (rid[:, None] < rid) & ((mine[:, None] != mine) | (not two)))
+        return pd.DataFrame({"read_id_a": rid[i], "read_id_b": rid[j], "jaccard": near[i, j]})
 
-    return met.join(held, "rid").groupBy("key", "x", "y").applyInPandas(compare, "a long, b long")
+    return met.join(held, "rid").groupBy("key", "x", "y").applyInPandas(compare, "read_id_a long, read_id_b long, jaccard double")
 
 
 def _verified(pairs: DataFrame, held: DataFrame, opts: NearDupOptions) -> DataFrame:
@@ -253,6 +245,26 @@ def _verified(pairs: DataFrame, held: DataFrame, opts: NearDupOptions) -> DataFr
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "read_id_a long, read_id_b long, jaccard double")
 
 
+def _all_jaccards(seqs: pa.Array, k: int) -> np.ndarray:
+    """Exact Jaccard similarities of the substring sets of a few texts, as products of their membership matrices."""
+    chars, at = flat(seqs)
+    owner, place = window_starts(at, k)
+    _, gram = np.unique(codes(chars, k)[place] if len(place) else np.zeros(0, _U), return_inverse=True)
+    held = np.unique(gram.astype(np.int64) * len(seqs) + owner)  # in order of the substring
+    gram, owner = held // len(seqs), held % len(seqs)
+    size = np.bincount(owner, minlength=len(seqs)).astype(float)
+    shared = np.bincount(gram) > 1
+    number = np.cumsum(shared) - 1
+    gram, owner = number[gram[shared[gram]]], owner[shared[gram]]
+    common = np.zeros((len(seqs), len(seqs)), np.float32)
+    for lo in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(gram, [lo, lo + 4096])
+        there = np.zeros((len(seqs), 4096), np.float32)
+        there[owner[a:b], gram[a:b] - lo] = 1
+        common += there @ there.T
+    return common / np.maximum(size[:, None] + size - common, 1)
+
+
 def _jaccard(ca, oa, cb, ob, rows: np.ndarray, k: int) -> np.ndarray:
     """Exact Jaccard similarity of the substring sets of the pairs ``rows``."""
     out = np.zeros(len(rows))
