@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,14 +66,37 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
 
 
+def tokenizer() -> str:
+    """The vocabulary file that weighs documents: HELIXMILL_TOKENIZER, else where the public tokenizers are installed."""
+    spec = importlib.util.find_spec("public_tokenizers")
+    root = os.path.dirname(spec.origin) if spec and spec.origin else "/opt/tokenizers"
+    return os.environ.get("HELIXMILL_TOKENIZER") or os.path.join(root, "byte_bpe_50k.tiktoken")
+
+
+def _mix(spark: SparkSession, sf_dir: str, opts: mixing.MixOptions) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"), tokenizer(), opts)
+
+
+#: Tokens of a block in the order of the queries.
+BLOCK = 1 << 12
+#: As large as all targets allow (exponent 1); 0.9 of the tokens there are, at which the repeats bind (exponent under 1); 0.8 of the entropy of equal weights.
+MIXES = {"targets": mixing.MixOptions(block=BLOCK), "budget": mixing.MixOptions(block=BLOCK, of_all=0.9), "entropy": mixing.MixOptions(block=BLOCK, even=0.8)}
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The drawn documents and how often each is used."""
-    return mixing.mix(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))[0]
+    """The uses of the drawn documents and their order, every source at its target."""
+    return _mix(spark, sf_dir, MIXES["targets"])[0]
+
+
+def p7_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a budget that the targets can't fill within the repeats."""
+    return _mix(spark, sf_dir, MIXES["budget"])[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target, weight and share reached of every source."""
-    return mixing.mix(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))[1]
+    """Target, weight, exponent and share reached of every source, for each kind of mix."""
+    parts = [_mix(spark, sf_dir, opts)[1].select(F.lit(kind).alias("mix"), "*") for kind, opts in MIXES.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
     "p7_mix": p7_mix,
+    "p7_budget": p7_budget,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_residue": p8_residue,

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from helixmill.llm import leakage, mixing, residue
+from helixmill.llm import leakage, mixing, queries, residue
 
 DOCS = "doc_id long, text string, source string, item_id long, tokens long, place long, kind string"
 
@@ -86,21 +86,55 @@ def test_mix(spark):
     rng = random.Random(4)
     rows = [(i, " ".join("word" for _ in range(rng.randrange(1, 60))), "abc"[min(2, int(rng.expovariate(1.2)))]) for i in range(3000)] + [(9000, None, "a"), (9001, "", "a"), (9002, "text", None), (9003, "text", "unknown"), (None, "text", "a")]
     t = spark.createDataFrame([("a", 0.4, 1), ("b", 0.4, 2), ("c", 0.15, 3), ("empty", 0.05, 2), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
-    draw, report = mixing.mix(docs(spark, rows), t, mixing.MixOptions(last=16))
+    path, opts = queries.tokenizer(), mixing.MixOptions(last=16, block=2000)
+    draw, report = mixing.mix(docs(spark, rows), t, path, opts)
     got = {r["source"]: r for r in report.collect()}
     used = draw.toPandas()
-    assert used.doc_id.is_unique and set(used.source) <= {"a", "b", "c"}
+    assert set(used.source) <= {"a", "b", "c"} and not used.duplicated(["doc_id", "round"]).any()
     for s, aim in (("a", 0.4 / 0.95), ("b", 0.4 / 0.95), ("c", 0.15 / 0.95)):
         assert abs(got[s]["share"] - aim) < 0.01
         mine = used[used.source == s]
-        assert (mine.tokens * mine.repeats).sum() == got[s]["drawn"] and mine.repeats.max() <= {"a": 1, "b": 2, "c": 3}[s]
-    assert got["empty"]["drawn"] == 0
-    again, _ = mixing.mix(docs(spark, rows), t, mixing.MixOptions(last=16))
-    assert again.toPandas().sort_values("doc_id").doc_id.tolist() == used.sort_values("doc_id").doc_id.tolist()
-    nothing, report = mixing.mix(docs(spark, []), t)
+        assert mine.tokens.sum() == got[s]["drawn"] and mine.groupby("doc_id").size().max() == got[s]["most_repeats"] <= {"a": 1, "b": 2, "c": 3}[s]
+        for _, one in mine.groupby("round"):
+            assert set(one.block) == set(range(one.block.max() + 1))
+        # any half of the mix has about the share too
+        half = used[used.turn < 0.5]
+        assert abs(half[half.source == s].tokens.sum() / half.tokens.sum() - aim) < 0.05
+    assert got["empty"]["drawn"] == 0 and used.turn.between(0, 1).all() and used.block.nunique() > 4
+    again, _ = mixing.mix(docs(spark, rows), t, path, opts)
+    assert again.toPandas().sort_values("turn").doc_id.tolist() == used.sort_values("turn").doc_id.tolist()
+    nothing, report = mixing.mix(docs(spark, []), t, path)
     assert nothing.count() == 0 and report.count() == 4
 
 
+@pytest.mark.parametrize("kind", queries.MIXES)
+def test_shares_reach_the_weights(spark, kind):
+    """On the test tables: every source within one document of its weight, no document too often, the exponent bisected where it binds."""
+    from tests.oracle import DATA
+
+    table = spark.read.parquet(f"{DATA}/mix_targets.parquet")
+    draw, report = mixing.mix(spark.read.parquet(f"{DATA}/documents.parquet"), table, queries.tokenizer(), queries.MIXES[kind])
+    limit = {r["source"]: r["max_repeats"] for r in table.collect()}
+    rows, used = report.collect(), draw.toPandas()
+    total = sum(r["drawn"] for r in rows)
+    longest = used.groupby("source").tokens.max()
+    for r in rows:
+        assert r["most_repeats"] <= limit[r["source"]] and r["drawn"] == used[used.source == r["source"]].tokens.sum()
+        if r["drawn"]:
+            assert abs(r["drawn"] - r["weight"] * total) <= longest[r["source"]] + longest.sum() * r["weight"]
+    t = rows[0]["exponent"]
+    shares = np.array([r["tokens"] for r in rows]) / sum(r["tokens"] for r in rows)
+    weights = np.array([r["weight"] for r in rows])
+    if kind == "targets":
+        aim = np.array([r["target_share"] * (r["tokens"] > 0) for r in rows])
+        assert t == 1 and np.allclose(weights, aim / aim.sum())
+    elif kind == "budget":
+        assert 0 < t < 1 and any(r["drawn"] >= 0.99 * limit[r["source"]] * r["tokens"] for r in rows if r["tokens"])
+    else:
+        there = shares > 0
+        assert t < 1 and np.allclose(weights[there], shares[there] ** t / (shares[there] ** t).sum(), atol=1e-6) and mixing.entropy(weights) == pytest.approx(0.8 * np.log(there.sum()), abs=1e-6)
+
+
 def test_residue(spark):
     rng = random.Random(3)
     words = _vocabulary(rng, 400)
