@@ -6,7 +6,7 @@ bands are candidates: one agreement alone is mostly a shared adapter or tail. A
 through another pass with new hash functions and longer bands, which parts those that only share common
 pieces. What is still together after the last pass is alike, and is compared in salted block pairs.
 
-No join here is broadcast by this module, as every side grows with the data; the exchange has as many partitions as the
+No join here is broadcast, as every side grows with the data; the exchange has as many partitions as the
 number of sequences asks for, so that a task reads about as much whatever the input.
 """
 
@@ -85,7 +85,7 @@ def pairs_of_distinct(held: DataFrame, opts: NearDupOptions) -> DataFrame:
         if not got.where("hot").limit(1).count():
             break
         if turn + 1 < opts.passes:
-            now = staged(held.join(staged(hot, "hot"), "rid", "left_semi"), "again")
+            now = staged(held.join(staged(hot, "hot").hint("merge"), "rid", "left_semi"), "again")
         else:
             settled = _block_pairs(got.where("hot").select("key", F.col("a").alias("rid")).distinct(), held, opts)
     pairs = found[0]
@@ -204,7 +204,7 @@ def _block_pairs(members: DataFrame, held: DataFrame, opts: NearDupOptions) -> D
     value meet in one task of their own, and are checked exactly there. Members of such a value share nearly all of their long
     bands, so that most of what is compared is a pair of the result."""
     sizes = members.groupBy("key").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).select("key", "blocks")
-    dealt = members.join(staged(sizes, "sizes"), "key").withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    dealt = members.join(staged(sizes, "sizes").hint("merge"), "key").withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     met = dealt.select("key", "rid", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("key", "rid", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine")
 
@@ -216,16 +216,16 @@ def _block_pairs(members: DataFrame, held: DataFrame, opts: NearDupOptions) -> D
         i, j = np.nonzero((near >= opts.threshold) & (rid[:, None] < rid) & ((mine[:, None] != mine) | (not two)))
         return pd.DataFrame({"read_id_a": rid[i], "read_id_b": rid[j], "jaccard": near[i, j]})
 
-    return met.join(held, "rid").groupBy("key", "x", "y").applyInPandas(compare, "read_id_a long, read_id_b long, jaccard double")
+    return met.join(held.hint("merge"), "rid").groupBy("key", "x", "y").applyInPandas(compare, "read_id_a long, read_id_b long, jaccard double")
 
 
 def _verified(pairs: DataFrame, held: DataFrame, opts: NearDupOptions) -> DataFrame:
     """Pairs whose whole substring sets are similar enough; the corrected estimate spares the exact count for most others."""
     ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ids")
     # the sides grow with the data: shuffled, whatever their size
-    texts = staged(held.join(ids, "rid"), "texts")
-    left = pairs.join(texts.select(F.col("rid").alias("a"), F.col("seq").alias("sa")), "a")
-    both = left.join(texts.select(F.col("rid").alias("b"), F.col("seq").alias("sb")), "b")
+    texts = staged(held.join(ids.hint("merge"), "rid"), "texts")
+    left = pairs.join(texts.select(F.col("rid").alias("a"), F.col("seq").alias("sa")).hint("merge"), "a")
+    both = left.join(texts.select(F.col("rid").alias("b"), F.col("seq").alias("sb")).hint("merge"), "b")
 
     def check(batches):
         for batch in batches:
