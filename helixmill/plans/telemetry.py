@@ -22,9 +22,9 @@ def p1_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every reading that the filter flags, with its standardised innovation."""
+    """Every reading that the filter flags, with its source's model and the standardised innovation."""
     got = telemetry.judged(telemetry.readings(telemetry.samples(_log(spark, sf_dir)), list(telemetry.POSSIBLE)))
-    return got.where("spike or impossible or stuck").withColumn("z", F.round("z", 6))
+    return got.withColumn("z", F.round("z", 6))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
