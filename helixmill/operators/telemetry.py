@@ -207,7 +207,7 @@ class GridOptions:
     chunk: int = 256
     halo: int = 64
     window: int = 32
-    rank: int = 4
+    rank: int = 2
     turns: int = 500
     tolerance: float = 1e-3
 

@@ -1,11 +1,13 @@
 """Implausible readings and regular grids on small logs."""
 
 import math
+import os
 
 import numpy as np
 import pytest
 
 from helixmill.operators import telemetry as t
+from tests.oracle import DATA
 
 SCHEMA = "sample_id long, epoch_s long, cpu_pct double, rss_mib long, gpu_util_pct long, gpu_mem_mib long, input_file string, received_at timestamp, source string, epoch int, block int, value string"
 
@@ -172,10 +174,9 @@ def test_imputation_beats_the_mean():
 
 
 def test_held_out_slots(spark):
-    """Readings of the test log are hidden slot by slot and in stretches: the imputed values come nearer to them than the source's mean, and than a straight line over the gap."""
-    from tests.oracle import DATA
-
-    log_ = spark.read.parquet(f"{DATA}/resource_samples.parquet")
+    """Readings of a test log are hidden slot by slot and in stretches: the imputed values come nearer to them than a straight line over the gap, and no
+    further than the source's mean (which is hard to beat: the readings are nearly white noise around a level)."""
+    log_ = spark.read.parquet(f"{os.path.dirname(DATA)}/sf0.01/resource_samples.parquet")
     whole = t.regular(log_, ["cpu_pct"]).toPandas()
     known = whole[~whole.filled].sort_values(["input_file", "slot_epoch_s"])
     rng = np.random.default_rng(1)
@@ -198,5 +199,5 @@ def test_held_out_slots(spark):
             errors["spectrum"] += list(np.abs(t.spectrum_fill(y, t.GridOptions())[0][hide] - x[hide]))
             errors["mean"] += list(np.abs(np.nanmean(y) - x[hide]))
             errors["line"] += list(np.abs(np.interp(hide, left, y[left]) - x[hide]))
-    typical = {k: np.median(v) for k, v in errors.items()}
-    assert len(errors["mean"]) > 100 and typical["spectrum"] < 1.05 * min(typical["mean"], typical["line"]), typical
+    typical = {k: (np.median(v), np.mean(v)) for k, v in errors.items()}
+    assert len(errors["mean"]) > 400 and typical["spectrum"][0] < typical["mean"][0] and typical["spectrum"][1] < min(1.03 * typical["mean"][1], 0.9 * typical["line"][1]), typical
