@@ -200,14 +200,15 @@ def implausible(df: DataFrame, opts: SpikeOptions = SpikeOptions(), factor: floa
 @dataclass(frozen=True)
 class GridOptions:
     """slot: seconds. chunk, halo: slots a task imputes at once, and context on either side.
-    window: rows of the Hankel matrix; rank: singular vectors kept; it has settled when no value moves by more than ``tolerance`` of the
+    window: rows of the Hankel matrix; rank: most singular vectors kept, of those with over ``floor`` times the median energy; noise alone stays under 3; it has settled when no value moves by more than ``tolerance`` of the
     observed range, and stops unsettled, and marked so, after ``turns``."""
 
     slot: int = 30
     chunk: int = 256
     halo: int = 64
     window: int = 32
-    rank: int = 2
+    rank: int = 4
+    floor: float = 3.0
     turns: int = 500
     tolerance: float = 1e-3
 
@@ -273,7 +274,11 @@ def spectrum_fill(series: np.ndarray, opts: GridOptions) -> tuple[np.ndarray, bo
         mean = x.mean()
         paths = np.lib.stride_tricks.sliding_window_view(x - mean, columns)
         square = paths @ paths.T
-        lead = np.linalg.eigh(square)[1][:, -min(opts.rank, rows) :] if lead is None else np.linalg.qr(square @ lead)[0]
+        if lead is None:
+            energy, vectors = np.linalg.eigh(square)
+            lead = vectors[:, -max(1, min(opts.rank, int((energy > opts.floor * np.median(energy)).sum()))) :]
+        else:
+            lead = np.linalg.qr(square @ lead)[0]
         scores = lead.T @ paths
         back = sum(np.convolve(v, c) for v, c in zip(lead.T, scores))  # the antidiagonal sums of v c'
         new = (back / counts + mean).clip(low, high)
