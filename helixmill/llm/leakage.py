@@ -1,14 +1,18 @@
 """Evaluation texts leaking into training text, by latent semantic retrieval.
 
-Items are cut into passages of ``run`` words; their TF-IDF vectors (document frequencies over all documents) span a
-latent space found by a distributed randomised SVD. Documents are cut into overlapping passages twice as long, so
-that every run of ``run`` words lies whole in one of them, and folded into that space. Passages with a high cosine to
-an item's passage make the (document, item) candidates for paraphrases: a long common subsequence together with the
-item's answer. A common run of ``run`` words (the whole item, if shorter) is a verbatim leak whatever its cosine, as the
-words around a short run can turn its passage away from the item: runs are looked up in every document, word by word.
-
-The items are a stated query set: they are taken in blocks of a bounded number of passages, and each block is broadcast to
-one pass over the documents, which stay where they are. Nothing of the documents is shuffled or collected.
+Items are cut into passages of ``run`` words, one at every word (a shorter item is one passage). TF-IDF vectors of these and of
+passages of a bounded sample of documents span a latent space, found by a distributed randomised SVD; document frequencies
+are counted over all documents. Every window of every document that is as long as some passage is folded into that space
+and looked up in an index of the item passages: cells around centroids, of which the ``probes`` nearest are searched.
+What has a cosine of at least ``cosine`` to an item passage is a candidate. A candidate with the passage's very words is a verbatim
+leak; its window has the passage's own vector, so that the index can't miss it. For the others a long common
+subsequence with the whole item, around the window, and the item's answer tell paraphrases.
+
+Windows that can't reach the cosine are left out before they are folded in, by a bound: words that no item has lie outside the space,
+and a window's cosine is at most the root of the share that the items' words have in its squared weight.
+
+The items are a stated query set: they are taken in blocks of bounded size, each broadcast to one pass over the documents, which stay
+where they are. Nothing of the documents is shuffled; of the sample the words' numbers reach the SVD as a distributed table.
 """
 
 from __future__ import annotations
@@ -21,24 +25,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.operators.staging import BROADCAST_BYTES, staged
+
 _WORD = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
 class LeakOptions:
-    """run: successive words that make a leak. cosine: least similarity of a candidate for a paraphrase. factors: kept singular vectors.
-    passages: most item passages in a block. paraphrase: least share of an item's words in a common subsequence.
-    near: least cosine from which a paraphrase is looked for."""
+    """run: successive words that make a leak. cosine: least similarity of a candidate. factors: kept singular vectors.
+    apart: random directions beside them, which keep words apart that the factors don't hold.
+    sample: documents whose passages the space is fitted on, beside the items'; chosen by a hash of their id.
+    passages: most item passages in a block. probes: cells searched, of about one per ``cell`` passages.
+    paraphrase: least share of an item's words in a common subsequence."""
 
     run: int = 12
-    step: int = 4
-    cosine: float = 0.45
-    factors: int = 384
-    extra: int = 16
+    cosine: float = 0.7
+    factors: int = 80
+    apart: int = 16
+    extra: int = 8
     rounds: int = 2
-    passages: int = 8192
-    near: float = 0.8
-    paraphrase: float = 0.6
+    sample: int = 1000
+    passages: int = 40_000
+    probes: int = 6
+    cell: int = 64
+    paraphrase: float = 0.55
     seed: int = 7
 
 
@@ -56,7 +66,7 @@ def item_blocks(items: DataFrame, opts: LeakOptions):
         if not w or r["item_id"] in seen:
             continue
         seen.add(r["item_id"])
-        n = max(1, -(-(len(w) - opts.run) // opts.step) + 1)
+        n = max(1, len(w) - opts.run + 1)
         if block and size + n > opts.passages:
             yield block
             block, size = [], 0
@@ -66,17 +76,6 @@ def item_blocks(items: DataFrame, opts: LeakOptions):
         yield block
 
 
-def item_passages(block, opts: LeakOptions) -> tuple[list[list[str]], np.ndarray]:
-    """Passages of ``run`` words every ``step`` words, and the place in the block of the item of each."""
-    out, own = [], []
-    for n, (_, w, _) in enumerate(block):
-        starts = [*range(0, max(1, len(w) - opts.run), opts.step), max(0, len(w) - opts.run)]
-        for s in dict.fromkeys(starts):
-            out.append(w[s : s + opts.run])
-            own.append(n)
-    return out, np.array(own)
-
-
 def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
     """In how many of all documents each word of the vocabulary stands, and how many documents have text. One row a task reaches the driver."""
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -102,6 +101,33 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
     return total, n
 
 
+def sampled_passages(docs: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, opts: LeakOptions) -> DataFrame:
+    """Rows (ids, weights) of length 1: passages of ``run`` words of ``sample`` documents, as far as their words are in the vocabulary."""
+    known = docs.sparkSession.sparkContext.broadcast((vocabulary, idf))
+
+    def cut(batches):
+        vocab, weight = known.value
+        for batch in batches:
+            ids, weights = [], []
+            for text in batch.column(0).to_pylist():
+                w = [vocab.get(x, -1) for x in words(text)]
+                for lo in range(0, len(w), opts.run):
+                    i = np.array([x for x in w[lo : lo + opts.run] if x >= 0], np.int32)
+                    if len(i):
+                        ids.append(i)
+                        weights.append(weight[i] / np.sqrt((weight[i].astype(float) ** 2).sum()))
+            yield _rows(ids, weights)
+
+    some = docs.where("doc_id is not null and text is not null").select("text", F.xxhash64(F.lit(opts.seed), "doc_id").alias("h")).orderBy("h").limit(opts.sample)
+    return some.select("text").mapInArrow(cut, "ids array<int>, weights array<float>")
+
+
+def _rows(ids: list, weights: list) -> pa.RecordBatch:
+    ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x) if x else np.zeros(0), t)) for x, t in ((ids, pa.int32()), (weights, pa.float32()))]
+    return pa.RecordBatch.from_arrays(lists, names=["ids", "weights"])
+
+
 def randomised_svd(rows: DataFrame, dim: int, factors: int, extra: int, rounds: int, seed: int) -> np.ndarray:
     """Leading right singular vectors (dim x factors) of the sparse rows (ids array<int>, weights array<float>).
 
@@ -117,10 +143,20 @@ def randomised_svd(rows: DataFrame, dim: int, factors: int, extra: int, rounds:
         def times(batches, basis=basis):
             total = np.zeros((dim, width), np.float32)
             for batch in batches:
-                for ids, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if ids:
-                        w = np.array(weights, np.float32)[:, None]
-                        np.add.at(total, ids, w * (w * basis.value[ids]).sum(axis=0))
+                own = np.diff(batch.column(0).offsets.to_numpy())
+                for lo in range(0, len(own), 2048):
+                    piece = batch.slice(lo, 2048)
+                    n = np.diff(piece.column(0).offsets.to_numpy())
+                    ids, w = piece.column(0).flatten().to_numpy(), piece.column(1).flatten().to_numpy()[:, None]
+                    if not len(ids):
+                        continue
+                    there = np.flatnonzero(n)
+                    begin = np.concatenate([[0], np.cumsum(n[there])])[:-1]
+                    along = np.add.reduceat(w * basis.value[ids], begin, axis=0)
+                    part = w * np.repeat(along, n[there], axis=0)
+                    order = np.argsort(ids, kind="stable")
+                    head = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) > 0]))
+                    total[ids[order][head]] += np.add.reduceat(part[order], head, axis=0)
             cells = [total[i : i + stripe].tobytes() for i in range(0, dim, stripe)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int32()), pa.array(cells, pa.binary())], names=["stripe", "part"])
 
@@ -146,93 +182,97 @@ class Model:
     """What a pass over the documents needs of a block of items."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
-    vectors: np.ndarray  # vocabulary x factors, times idf
-    queries: np.ndarray  # factors x passages, of length 1
-    own: np.ndarray
-    floor: float
+    energy: np.ndarray  # squared weight of each word; the last is that of any other word
+    vectors: np.ndarray  # vocabulary x dimensions, times weight
+    passages: list  # of each length: ids (passages x length), item of each, vectors of length 1, centroids, passages by cell, where each cell begins
     items: list
-    grams: dict
-    sizes: list
 
 
 def fit(docs: DataFrame, block, opts: LeakOptions) -> Model:
-    passages, own = item_passages(block, opts)
-    vocabulary = {w: n for n, w in enumerate(sorted({w for p in passages for w in p}))}
+    vocabulary = {w: n for n, w in enumerate(sorted({x for _, w, _ in block for x in w}))}
     df, n = document_frequencies(docs, vocabulary)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.1)
-    ids = [[vocabulary[w] for w in p] for p in passages]
-    unit = [float(np.sqrt((idf[i] ** 2).sum())) for i in ids]
-    rows = docs.sparkSession.createDataFrame([(i, [float(x) / u for x in idf[i]]) for i, u in zip(ids, unit)], "ids array<int>, weights array<float>")
-    vectors = randomised_svd(rows, len(vocabulary), min(opts.factors, len(vocabulary)), opts.extra, opts.rounds, opts.seed) * idf[:, None]
-    queries = np.stack([vectors[i].sum(axis=0) for i in ids])
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
-    grams: dict = {}
+    by_size: dict[int, list] = {}
     for k, (_, w, _) in enumerate(block):
         size = min(opts.run, len(w))
-        for s in range(len(w) - size + 1):
-            grams.setdefault(tuple(w[s : s + size]), set()).add(k)
-    # a document passage that holds a whole item passage weighs at least as much
-    return Model(vocabulary, idf, vectors, queries.T.copy(), own, 0.999 * min(float((idf[i] ** 2).sum()) for i in ids), block, grams, sorted({len(g) for g in grams}))
-
-
-def held_items(w: list[str], m: Model) -> set[int]:
-    """The items of which the document holds a whole run; exact."""
-    held: set[int] = set()
-    for size in m.sizes:
-        for gram in zip(*(w[i:] for i in range(size))):
-            if gram in m.grams:
-                held |= m.grams[gram]
-    return held
-
-
-def candidates(texts: list[list[str]], held: list[set[int]], m: Model, opts: LeakOptions) -> list[dict[int, float]]:
-    """For each document the items it holds and those with a passage at least ``cosine`` alike, with the best cosine."""
-    out: list[dict[int, float]] = [{} for _ in texts]
-    get, half = m.vocabulary.get, opts.run
-    ids = np.array([get(w, -1) for t in texts for w in t], np.int64)
-    halves = np.array([-(-len(t) // half) for t in texts])
-    owner = np.repeat(np.arange(len(texts)), halves)
-    if not len(owner):
-        return out
-    begin_doc = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    first = np.cumsum(halves) - halves
-    begin = begin_doc[:-1][owner] + (np.arange(len(owner)) - first[owner]) * half
-    known = ids >= 0
-    place = np.searchsorted(np.flatnonzero(known), np.append(begin, len(ids)))
-    inside = ids[known]
-    energy_words = np.concatenate([[0], np.cumsum(m.idf[inside].astype(np.float64) ** 2)])
-    energy = np.diff(energy_words[place])
-    more = np.append(owner[1:] == owner[:-1], False)  # the next half belongs to the same document
-    weight = energy + np.where(more, np.append(energy[1:], 0), 0)
-    alone = np.concatenate([[True], owner[1:] != owner[:-1]])
-    holds = np.array([bool(h) for h in held])[owner]  # their cosines are wanted whatever the weight
-    keep = np.flatnonzero(((weight >= m.floor) | holds) & (more | alone))
-    need = np.unique(np.concatenate([keep, keep[more[keep]] + 1]))
-    for lo in range(0, len(need), 2048):  # bounded memory whatever the length of the texts
-        some = need[lo : lo + 2049]  # one more, so that every pair of halves meets
-        sums = np.zeros((len(some), m.vectors.shape[1]), np.float32)
-        for n, h in enumerate(some):
-            w = inside[place[h] : place[h + 1]]
-            if len(w):
-                sums[n] = m.vectors[w].sum(axis=0)
-        mine = keep[np.isin(keep, some)]
-        mine = mine[~more[mine] | np.isin(mine + 1, some)]
-        at = np.searchsorted(some, mine)
-        both = sums[at]
-        joined = more[mine]
-        both[joined] += sums[at[joined] + 1]
-        both /= np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-9)
-        cosine = both @ m.queries
-        for i, j in zip(*np.nonzero(cosine >= opts.cosine)):
-            d, item = out[owner[mine[i]]], int(m.own[j])
-            d[item] = max(d.get(item, 0.0), float(cosine[i, j]))
-        for i in np.flatnonzero(holds[mine]):
-            d = out[owner[mine[i]]]
-            for item in held[owner[mine[i]]]:
-                a, b = np.searchsorted(m.own, [item, item + 1])
-                d[item] = max(d.get(item, -1.0), float(cosine[i, a:b].max()))
-    return out
+        ids = [vocabulary[x] for x in w]
+        by_size.setdefault(size, []).extend((ids[i : i + size], k) for i in range(len(w) - size + 1))
+    own = [np.array(i, np.int32) for parts in by_size.values() for i, _ in parts]
+    own_rows = _rows(own, [idf[i] / np.linalg.norm(idf[i]) for i in own])
+    fitted = staged(docs.sparkSession.createDataFrame(pa.Table.from_batches([own_rows])).select(F.col("ids").cast("array<int>"), F.col("weights").cast("array<float>")).unionByName(sampled_passages(docs, vocabulary, idf, opts)), "passages")
+    factors = randomised_svd(fitted, len(vocabulary), min(opts.factors, len(vocabulary)), opts.extra, opts.rounds, opts.seed)
+    rng = np.random.default_rng(opts.seed)
+    typical = float(np.median(np.linalg.norm(factors, axis=1)))
+    apart = rng.standard_normal((len(vocabulary), opts.apart)) * max(1e-3, 0.3 * typical) / np.sqrt(max(1, opts.apart))
+    vectors = np.concatenate([factors, apart], axis=1) * idf[:, None]
+    passages = []
+    for size, parts in sorted(by_size.items()):
+        ids, item = np.array([i for i, _ in parts], np.int32).reshape(len(parts), size), np.array([k for _, k in parts])
+        _, first = np.unique(np.concatenate([ids, item[:, None].astype(np.int32)], axis=1), axis=0, return_index=True)
+        ids, item = ids[np.sort(first)], item[np.sort(first)]
+        unit = vectors[ids].sum(axis=1)
+        unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+        centroids, cell = _cells(unit, max(1, len(unit) // opts.cell), rng)
+        order = np.argsort(cell, kind="stable")
+        passages.append((ids[order], item[order], unit[order], centroids, np.searchsorted(cell[order], np.arange(len(centroids) + 1))))
+    return Model(vocabulary, np.append(idf.astype(np.float64) ** 2, (np.log(n + 1) + 0.1) ** 2), vectors, passages, block)
+
+
+def _cells(unit: np.ndarray, n: int, rng) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of length 1 and the nearest of each vector, by a few rounds of spherical k-means."""
+    centroids = unit[rng.choice(len(unit), n, replace=False)]
+    for _ in range(8):
+        cell = (unit @ centroids.T).argmax(axis=1)
+        total = np.zeros_like(centroids)
+        np.add.at(total, cell, unit)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        centroids = np.where(size > 1e-6, total / np.maximum(size, 1e-6), centroids).astype(np.float32)
+    return centroids, (unit @ centroids.T).argmax(axis=1)
+
+
+def candidates(texts: list[list[str]], m: Model, opts: LeakOptions) -> tuple[np.ndarray, ...]:
+    """Text, first word, item, cosine and whether the words are the same, of every window with a cosine of at least ``cosine`` to
+    an item passage in the cells probed."""
+    get, other = m.vocabulary.get, len(m.vocabulary)
+    ids = np.array([get(w, other) for t in texts for w in t], np.int64)
+    sizes = np.array([len(t) for t in texts])
+    begin = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    out = []
+    weight = m.energy[ids]
+    total, inside = np.concatenate([[0], np.cumsum(weight)]), np.concatenate([[0], np.cumsum(np.where(ids < other, weight, 0))])
+    for length, (known, item, unit, centroids, cells) in zip((k.shape[1] for k, *_ in m.passages), m.passages):
+        n = len(ids) - length + 1
+        if n <= 0:
+            continue
+        share = (inside[length:] - inside[:n]) >= opts.cosine**2 * (total[length:] - total[:n]) * (1 - 1e-9)
+        at = np.flatnonzero(share & (owner[:n] == owner[length - 1 :]))
+        for lo in range(0, len(at), 8192):  # bounded memory whatever the length of the texts
+            some = at[lo : lo + 8192]
+            w = ids[some[:, None] + np.arange(length)]
+            vector = np.zeros((len(some), m.vectors.shape[1]), np.float32)
+            for k in range(length):
+                there = w[:, k] < other
+                vector[there] += m.vectors[w[there, k]]
+            # what lies outside the space lengthens the window's vector; random directions don't
+            norm = np.linalg.norm(vector, axis=1, keepdims=True)
+            vector /= np.maximum(norm, 1e-9)
+            near = vector @ centroids.T
+            probes = min(opts.probes, len(centroids))
+            best = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
+            who, cell = np.repeat(np.arange(len(some)), probes), best.ravel()
+            order = np.argsort(cell, kind="stable")
+            who, cell = who[order], cell[order]
+            edges = np.searchsorted(cell, np.arange(len(centroids) + 1))
+            for c in np.unique(cell):
+                mine = who[edges[c] : edges[c + 1]]
+                like = vector[mine] @ unit[cells[c] : cells[c + 1]].T
+                i, j = np.nonzero(like >= opts.cosine)
+                if len(i):
+                    j_all = j + cells[c]
+                    same = (w[mine[i]] == known[j_all]).all(axis=1)
+                    out.append((owner[some[mine[i]]], some[mine[i]] - begin[owner[some[mine[i]]]], item[j_all], like[i, j], same))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.float32, bool))
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -250,7 +290,7 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 
 
 def leaks(docs: DataFrame, items: DataFrame, opts: LeakOptions = LeakOptions()) -> DataFrame:
-    """(doc_id, item_id, cosine, kind): kind is ``verbatim`` or ``paraphrase``.
+    """(doc_id, item_id, cosine, kind): kind is ``verbatim`` or ``paraphrase``, cosine the best of the pair's candidates.
 
     ``docs``: doc_id, text; ``items``: item_id, text, answer; other columns are ignored. Documents without an id are
     left out; null or empty texts and items hold nothing; a null answer isn't looked for; repeated rows of one doc_id
@@ -269,6 +309,10 @@ def leaks(docs: DataFrame, items: DataFrame, opts: LeakOptions = LeakOptions())
 
 
 def _scan(docs: DataFrame, model: Model, opts: LeakOptions, schema: str) -> DataFrame:
+    size = model.vectors.nbytes + sum(x.nbytes for p in model.passages for x in p) + sum(len(w) + 60 for w in model.vocabulary)
+    if size > 4 * BROADCAST_BYTES:
+        raise ValueError(f"a block of items takes {size >> 20} MB: lower LeakOptions.passages")
+    model.vectors = model.vectors.astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):
@@ -278,23 +322,25 @@ def _scan(docs: DataFrame, model: Model, opts: LeakOptions, schema: str) -> Data
             rows = []
             for lo in range(0, len(ids), 128):
                 some = [words(t) for t in texts[lo : lo + 128]]
-                held = [held_items(w, m) for w in some]
-                for doc, w, mine, found in zip(ids[lo : lo + 128], some, held, candidates(some, held, m, opts)):
-                    if found:
-                        rows += [(doc, m.items[k][0], found[k], kind) for k, kind in _compare(w, mine, found, m, opts)]
+                rows += [(ids[lo + d], m.items[k][0], cosine, kind) for d, k, cosine, kind in _compare(some, m, opts)]
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.string()))], names=["doc_id", "item_id", "cosine", "kind"])
 
     return docs.where("doc_id is not null and text is not null and text <> ''").mapInArrow(scan, schema)
 
 
-def _compare(w: list[str], held: set[int], found: dict[int, float], m: Model, opts: LeakOptions):
+def _compare(texts: list[list[str]], m: Model, opts: LeakOptions):
     """Which candidates are held verbatim, and which are paraphrased with their answer."""
-    for k, cosine in found.items():
-        if k in held:
-            yield k, "verbatim"
-        elif cosine >= opts.near:
-            item, answer = m.items[k][1], m.items[k][2]
-            told = not answer or any(w[i : i + len(answer)] == answer for i in range(len(w) - len(answer) + 1))
-            if told and common_subsequence(item, w) >= opts.paraphrase * len(item):
-                yield k, "paraphrase"
+    text, at, item, cosine, same = candidates(texts, m, opts)
+    order = np.lexsort((-cosine, ~same, item, text))  # the same words first, then the nearest
+    text, at, item, cosine, same = (x[order] for x in (text, at, item, cosine, same))
+    for n in np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])[: len(text)]):
+        d, k = int(text[n]), int(item[n])
+        if same[n]:
+            yield d, k, float(cosine[n]), "verbatim"
+            continue
+        w, (_, own, answer) = texts[d], m.items[k]
+        told = not answer or any(w[i : i + len(answer)] == answer for i in range(len(w) - len(answer) + 1))
+        around = w[max(0, int(at[n]) - 2 * len(own)) : int(at[n]) + 2 * len(own) + opts.run]  # the item may begin up to its length before the window
+        if told and len(own) >= opts.run and common_subsequence(own, around) >= opts.paraphrase * len(own):
+            yield d, k, float(cosine[n]), "paraphrase"

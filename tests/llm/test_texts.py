@@ -1,12 +1,14 @@
 """Leaks, mixtures and residue on small collections."""
 
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 
 from helixmill.llm import leakage, mixing, queries, residue
+from tests.oracle import DATA
 
 DOCS = "doc_id long, text string, source string, item_id long, tokens long, place long, kind string"
 
@@ -59,10 +61,48 @@ def test_leaks_of_nothing(spark):
 def test_blocks_of_items_agree(spark):
     items = spark.createDataFrame([(i, f"w{i} v{i} u{i} same words here w{i + 1} and more {i}", None) for i in range(30)], "item_id long, text string, answer string")
     d = docs(spark, [(i, f"xx w{i} v{i} u{i} same words here w{i + 1} and more {i} yy", "s") for i in range(0, 30, 2)])
-    one, many = leakage.leaks(d, items), leakage.leaks(d, items, leakage.LeakOptions(passages=4))
+    one, many = leakage.leaks(d, items), leakage.leaks(d, items, leakage.LeakOptions(passages=40))
     assert set(map(tuple, one.select("doc_id", "item_id").collect())) == set(map(tuple, many.select("doc_id", "item_id").collect())) == {(i, i) for i in range(0, 30, 2)}
 
 
+def test_disguised_items_are_found(spark):
+    """Items with words replaced, swapped and dropped, planted in documents that hold their answer. cosine and paraphrase were chosen on the
+    items with even ids of another draw; here those with odd ids are looked for."""
+    rng = random.Random(6)
+    folder = f"{os.path.dirname(DATA)}/sf0.01"
+    items = [(r.item_id, r.text, r.answer) for r in spark.read.parquet(f"{folder}/eval_items.parquet").where("text is not null").collect()]
+    hosts = [(r.doc_id, leakage.words(r.text)) for r in spark.read.parquet(f"{folder}/documents.parquet").where("text is not null").limit(400).collect()]  # a small fixture
+    vocabulary = [w for _, t in hosts for w in t]
+    rows, want = [], set()
+    for n, (i, text, answer) in enumerate(x for x in items if x[0] % 2 and len(leakage.words(x[1])) >= 20):
+        w = [rng.choice(vocabulary) if rng.random() < 0.18 else x for x in leakage.words(text) if rng.random() > 0.05]
+        for k in range(0, len(w) - 1, 7):
+            w[k], w[k + 1] = w[k + 1], w[k]
+        h = hosts[n][1] + ([answer.lower()] if answer else [])
+        rows.append((n, " ".join(h[: len(h) // 2] + w + h[len(h) // 2 :]), "s"))
+        want.add((n, i))
+    rows += [(10_000 + d, " ".join(w), "s") for d, w in hosts]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in leakage.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string, answer string")).collect()}
+    hidden = {p for p in want if got.get(p) != "verbatim"}
+    assert len(hidden) > 60 and sum(got.get(p) == "paraphrase" for p in hidden) >= 0.9 * len(hidden), (len(hidden), sum(got.get(p) == "paraphrase" for p in hidden))
+    assert sum(k == "paraphrase" for p, k in got.items() if p not in want and p[0] < 10_000) <= 0.05 * len(want)
+
+
+def test_the_index_against_brute_force(spark):
+    """Of all windows and passages with a cosine over the threshold the cells probed hold nearly all, and every one with the same words."""
+    folder = f"{os.path.dirname(DATA)}/sf0.01"
+    table, opts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), leakage.LeakOptions()
+    block = next(leakage.item_blocks(spark.read.parquet(f"{folder}/eval_items.parquet"), opts))
+    m = leakage.fit(table, block, opts)
+    m.vectors = m.vectors.astype(np.float32)
+    texts = [leakage.words(r.text) for r in table.where("text is not null").collect()]
+    found, whole = leakage.candidates(texts, m, opts), leakage.candidates(texts, m, leakage.LeakOptions(probes=10**6))
+    pairs = [{x for x in zip(*(a.tolist() for a in c[:3]))} for c in (found, whole)]
+    same = [{x for x, s in zip(zip(*(a.tolist() for a in c[:3])), c[4]) if s} for c in (found, whole)]
+    assert len(same[1]) > 100 and same[0] == same[1]
+    assert len(pairs[1]) > 1000 and pairs[0] <= pairs[1] and len(pairs[0]) >= 0.9 * len(pairs[1]), (len(pairs[0]), len(pairs[1]))
+
+
 def test_subsequence_and_svd(spark):
     assert leakage.common_subsequence("a b c d e".split(), "x a c y d z e".split()) == 4
     rng = np.random.default_rng(0)
@@ -110,8 +150,6 @@ def test_mix(spark):
 @pytest.mark.parametrize("kind", queries.MIXES)
 def test_shares_reach_the_weights(spark, kind):
     """On the test tables: every source within one document of its weight, no document too often, the exponent bisected where it binds."""
-    from tests.oracle import DATA
-
     table = spark.read.parquet(f"{DATA}/mix_targets.parquet")
     draw, report = mixing.mix(spark.read.parquet(f"{DATA}/documents.parquet"), table, queries.tokenizer(), queries.MIXES[kind])
     limit = {r["source"]: r["max_repeats"] for r in table.collect()}
