@@ -16,10 +16,10 @@ from helixmill.functions.kernels import Reads, adapter_at, correct, overlap, ove
 from helixmill.operators.staging import spread
 from helixmill.plans.options import Options
 
-SINGLE = "read_id long, name string, seq string, strand string, qual string, verdict int, adapter string, poly_base string, poly_len int"
+SINGLE = "read_id long, name string, seq string, strand string, qual string, verdict int, adapter string, poly_base string, poly_len int, dup boolean"
 PAIR = (
     "read_id long, name1 string, seq1 string, qual1 string, name2 string, seq2 string, qual2 string, verdict1 int, verdict2 int, overlapped boolean, offset int, overlap_len int, diff int, has_gap boolean, "
-    "insert_size int, adapter1 string, adapter2 string, poly_base1 string, poly_len1 int, poly_base2 string, poly_len2 int, corrected1 int, corrected2 int, merged_seq string, merged_qual string, merged_name string, merged_verdict int, overlapped_seq string, overlapped_qual string"
+    "insert_size int, adapter1 string, adapter2 string, poly_base1 string, poly_len1 int, poly_base2 string, poly_len2 int, corrected1 int, corrected2 int, merged_seq string, merged_qual string, merged_name string, merged_verdict int, overlapped_seq string, overlapped_qual string, corrections array<string>, dup boolean"
 )
 
 
@@ -154,11 +154,11 @@ def clean_single(df: DataFrame, o: Options) -> DataFrame:
             v = np.where(dimer, E.ADAPTER_DIMER, verdicts(m.seq, m.qual, m.there, o))
             seq, qual = m.text()
             yield pa.RecordBatch.from_arrays(
-                [b.column("read_id"), b.column("name"), seq, b.column("strand"), qual, pa.array(v.astype(np.int32)), pa.array(m.adapter.tolist(), pa.string()), pa.array(m.poly_base.tolist(), pa.string()), pa.array(m.poly_len.astype(np.int32))],
+                [b.column("read_id"), b.column("name"), seq, b.column("strand"), qual, pa.array(v.astype(np.int32)), pa.array(m.adapter.tolist(), pa.string()), pa.array(m.poly_base.tolist(), pa.string()), pa.array(m.poly_len.astype(np.int32)), b.column("dup")],
                 names=[c.split()[0] for c in SINGLE.split(", ")],
             )
 
-    return spread(df.select("read_id", "name", "seq", "strand", "qual")).mapInArrow(run, SINGLE)
+    return spread(_with_dup(df, "read_id", "name", "seq", "strand", "qual")).mapInArrow(run, SINGLE)
 
 
 def clean_pairs(df: DataFrame, o: Options) -> DataFrame:
@@ -192,9 +192,12 @@ def clean_pairs(df: DataFrame, o: Options) -> DataFrame:
             l1, l2 = x.seq.size.copy(), y.seq.size.copy()
             insert = np.where(found, np.where(offset > 0, l1 + l2 - length, length) + x.front + y.front, 512).clip(0, 512)
             insert[~both] = -1
-            fixed = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
+            fixed, changes, ends = [np.zeros(n, np.int64), np.zeros(n, np.int64)], [], np.zeros(n + 1, np.int64)
             if o.correction:
-                row, mate, _, _ = correct(x.seq, x.qual, y.seq, y.qual, found & ~gap, offset, length, diff)
+                row, mate, old, new = correct(x.seq, x.qual, y.seq, y.qual, found & ~gap, offset, length, diff)
+                by_row = np.argsort(row, kind="stable")
+                changes = [chr(old[i]) + chr(new[i]) for i in by_row]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
                 for k in (1, 2):
                     fixed[k - 1] += np.bincount(row[mate == k], minlength=n)
             if o.adapter_trimming:
@@ -230,9 +233,21 @@ def clean_pairs(df: DataFrame, o: Options) -> DataFrame:
             cols = [b.column("read_id"), b.column("name1"), s1, q1, b.column("name2"), s2, q2, i32(v1), i32(v2), pa.array(found), i32(offset), i32(length), i32(diff), pa.array(gap), i32(insert)]
             cols += [pa.array(x.adapter.tolist(), pa.string()), pa.array(y.adapter.tolist(), pa.string()), pa.array(x.poly_base.tolist(), pa.string()), i32(x.poly_len), pa.array(y.poly_base.tolist(), pa.string()), i32(y.poly_len)]
             cols += [i32(fixed[0]), i32(fixed[1]), ms, mq, mn, mv, _blank(common[0], blank), _blank(common[1], blank)]
+            cols += [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(changes, pa.string())), b.column("dup")]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return spread(df.select("read_id", "name1", "seq1", "qual1", "name2", "seq2", "qual2")).mapInArrow(run, PAIR)
+    return spread(_with_dup(df, "read_id", "name1", "seq1", "qual1", "name2", "seq2", "qual2")).mapInArrow(run, PAIR)
+
+
+def _with_dup(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns a kernel reads, with ``dup`` carried along where there is one."""
+    return df.select(*columns, "dup" if "dup" in df.columns else F.lit(False).alias("dup"))
+
+
+def correction_matrix(judged: DataFrame) -> DataFrame:
+    """(old_base, new_base, n): how often a base was corrected into another one, of pairs as ``clean_pairs`` gives them."""
+    one = judged.select(F.explode("corrections").alias("c"))
+    return one.groupBy(F.substring("c", 1, 1).alias("old_base"), F.substring("c", 2, 1).alias("new_base")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _blank(column: pa.Array, where: pa.Array) -> pa.Array:

@@ -30,6 +30,20 @@ def query(sql: str | None = None):
 BARE = Options(paired=True, adapter_trimming=False, poly_g=False).resolved()
 
 _RC2 = "reverse(translate(regexp_replace(seq2, '[^ACGTacgt]', 'N', 'g'), 'ACGTacgt', 'TGCATGCA'))"
+_COMPLEMENT = "CASE WHEN contains('ACGT', {0}) THEN translate({0}, 'ACGT', 'TGCA') ELSE 'N' END"
+
+
+def _overlaps(of: str, to: str, limit: int = 5) -> str:
+    """SQL of the first overlap of each pair of the table ``of``, as the table ``to``."""
+    return f"""{to}_rc AS (SELECT *, {_RC2} AS m2, length(seq1) AS l1, length(seq2) AS l2 FROM {of}),
+{to}_o AS (SELECT read_id, k AS rank, k AS off FROM (SELECT read_id, unnest(range(0, l1 - 30)) AS k FROM {to}_rc) UNION ALL SELECT read_id, 1000000 + k, -k FROM (SELECT read_id, unnest(range(0, l2 - 30)) AS k FROM {to}_rc)),
+{to}_c AS (SELECT read_id, rank, off, CASE WHEN rank < 1000000 THEN least(l1 - off, l2) ELSE least(l1, l2 + off) END AS ol, seq1, m2 FROM {to}_o JOIN {to}_rc USING (read_id)),
+{to}_h AS (SELECT *, substr(seq1, CAST(greatest(off, 0) + 1 AS INTEGER), CAST(ol AS INTEGER)) AS a, substr(m2, CAST(greatest(-off, 0) + 1 AS INTEGER), CAST(ol AS INTEGER)) AS b FROM {to}_c),
+{to}_g AS (SELECT read_id, rank, off, ol, hamming(a, b) AS diff FROM {to}_h WHERE hamming(substr(a, 1, 50), substr(b, 1, 50)) <= {limit}),
+{to}_f AS (SELECT read_id, arg_min(off, rank) AS off, arg_min(ol, rank) AS ol, arg_min(diff, rank) AS diff FROM {to}_g GROUP BY read_id),
+{to} AS (SELECT {to}_rc.*, {to}_f.read_id IS NOT NULL AS overlapped, coalesce(off, 0) AS off, coalesce(ol, 0) AS ol, coalesce(diff, 0) AS diff FROM {to}_rc LEFT JOIN {to}_f USING (read_id))"""
+
+
 _CANDIDATES = f"""WITH {PAIRS}, rc AS (SELECT *, {_RC2} AS m2, length(seq1) AS l1, length(seq2) AS l2 FROM pairs),
 o AS (SELECT read_id, k AS rank, k AS off FROM (SELECT read_id, unnest(range(0, l1 - 30)) AS k FROM rc) UNION ALL SELECT read_id, 1000000 + k, -k FROM (SELECT read_id, unnest(range(0, l2 - 30)) AS k FROM rc)),
 c AS (SELECT o.read_id, rank, off, CASE WHEN off >= 0 AND rank < 1000000 THEN least(l1 - off, l2) ELSE least(l1, l2 + off) END AS ol, seq1, m2 FROM o JOIN rc USING (read_id)),
@@ -49,7 +63,19 @@ def overlap(spark: SparkSession, d: str) -> DataFrame:
     return _bare(spark, d).select("read_id", "overlapped", F.col("offset").alias("offset_"), "overlap_len", "diff")
 
 
-@query()
+_LOST = f"""{PAIRS}, lost AS (SELECT * REPLACE (CASE WHEN read_id % 7 = 0 THEN substr(seq2, 1, 49) || substr(seq2, 51) ELSE seq2 END AS seq2) FROM pairs)"""
+
+
+@query(
+    f"""WITH {_LOST}, {_overlaps("lost", "s", 2)}, c AS (SELECT *, ol - 1 AS n FROM s_h SEMI JOIN (SELECT read_id FROM s WHERE NOT overlapped) USING (read_id) WHERE ol > 2),
+e AS (SELECT read_id, rank, off, ol, n, substr(m2, CAST(greatest(-off, 0) + 1 AS INTEGER)) AS b, substr(seq1, CAST(greatest(off, 0) + 1 AS INTEGER)) AS a FROM c WHERE hamming(substr(a, 1, CAST(n - 1 AS INTEGER)), substr(b, 1, CAST(n - 1 AS INTEGER))) <= 2),
+w AS (SELECT read_id, rank, off, ol, n, turn, CASE WHEN turn = 1 THEN a ELSE b END AS ins, CASE WHEN turn = 1 THEN b ELSE a END AS norm FROM e, (VALUES (1), (2)) t(turn)),
+x AS (SELECT *, hamming(substr(ins, 1, CAST(n - 1 AS INTEGER)), substr(norm, 1, CAST(n - 1 AS INTEGER))) + (substr(ins, CAST(n + 1 AS INTEGER), 1) <> substr(norm, CAST(n AS INTEGER), 1))::INTEGER AS spent,
+ list_min(list_transform(range(1, n), lambda k: hamming(substr(ins, 1, CAST(k AS INTEGER)), substr(norm, 1, CAST(k AS INTEGER))) + len(list_filter(range(k, n), lambda j: substr(ins, CAST(j + 2 AS INTEGER), 1) <> substr(norm, CAST(j + 1 AS INTEGER), 1))))) AS total FROM w),
+y AS (SELECT * FROM x WHERE total <= 2 AND spent <= 2),
+f AS (SELECT read_id, arg_min(off, rank * 2 + turn) AS off, arg_min(ol, rank * 2 + turn) AS ol, arg_min(total, rank * 2 + turn) AS diff FROM y GROUP BY read_id)
+SELECT s.read_id, s.overlapped OR f.read_id IS NOT NULL AS overlapped, CAST(coalesce(f.off, s.off) AS INTEGER) AS offset_, CAST(coalesce(f.ol, s.ol) AS INTEGER) AS overlap_len, CAST(coalesce(f.diff, s.diff) AS INTEGER) AS diff, f.read_id IS NOT NULL AS has_gap FROM s LEFT JOIN f USING (read_id)"""
+)
 def overlap_one_gap(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps where one base may be inserted in a mate; every seventh pair loses a base first."""
     lost = pairs(spark, d).withColumn("seq2", F.when(F.col("read_id") % 7 == 0, F.expr("concat(substring(seq2, 1, 49), substring(seq2, 51))")).otherwise(F.col("seq2")))
@@ -58,7 +84,17 @@ def overlap_one_gap(spark: SparkSession, d: str) -> DataFrame:
     return got.select("read_id", "overlapped", F.col("offset").alias("offset_"), "overlap_len", "diff", "has_gap")
 
 
-@query()
+@query(
+    f"""WITH {PAIRS}, r AS (SELECT read_id, name, seq1, qual1, {_RC2} AS m2, reverse(qual2) AS r2, length(seq1) AS l1, length(seq2) AS l2 FROM pairs),
+o AS (SELECT *, unnest(range(30, least(l1, l2) + 1)) AS ol FROM r),
+h AS (SELECT *, substr(seq1, CAST(l1 - ol + 1 AS INTEGER)) AS a, substr(m2, 1, CAST(ol AS INTEGER)) AS b, substr(qual1, CAST(l1 - ol + 1 AS INTEGER)) AS u FROM o WHERE hamming(substr(seq1, CAST(l1 - ol + 1 AS INTEGER)), substr(m2, 1, CAST(ol AS INTEGER))) <= 2),
+g AS (SELECT *, hamming(a, b) AS wrong, len(list_filter(range(1, ol + 1), lambda i: substr(a, CAST(i AS INTEGER), 1) <> substr(b, CAST(i AS INTEGER), 1) AND ((ascii(substr(u, CAST(i AS INTEGER), 1)) >= 63 AND ascii(substr(r2, CAST(i AS INTEGER), 1)) <= 48) OR (ascii(substr(u, CAST(i AS INTEGER), 1)) <= 48 AND ascii(substr(r2, CAST(i AS INTEGER), 1)) >= 63)))) AS low FROM h),
+f AS (SELECT * FROM g WHERE wrong = low QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY ol) = 1)
+SELECT read_id, name || ' merged offset:' || (l1 - ol) || ' overlap:' || ol AS name,
+ substr(seq1, 1, CAST(l1 - ol AS INTEGER)) || array_to_string(list_transform(range(1, ol + 1), lambda i: CASE WHEN substr(a, CAST(i AS INTEGER), 1) <> substr(b, CAST(i AS INTEGER), 1) AND ascii(substr(u, CAST(i AS INTEGER), 1)) >= 63 THEN substr(a, CAST(i AS INTEGER), 1) ELSE substr(b, CAST(i AS INTEGER), 1) END), '') || substr(m2, CAST(ol + 1 AS INTEGER)) AS seq,
+ substr(qual1, 1, CAST(l1 - ol AS INTEGER)) || array_to_string(list_transform(range(1, ol + 1), lambda i: CASE WHEN substr(a, CAST(i AS INTEGER), 1) = substr(b, CAST(i AS INTEGER), 1) THEN chr(CAST(ascii(substr(u, CAST(i AS INTEGER), 1)) + ascii(substr(r2, CAST(i AS INTEGER), 1)) - 33 AS INTEGER))
+  WHEN ascii(substr(u, CAST(i AS INTEGER), 1)) >= 63 THEN substr(u, CAST(i AS INTEGER), 1) ELSE substr(r2, CAST(i AS INTEGER), 1) END), '') || substr(r2, CAST(ol + 1 AS INTEGER)) AS qual FROM f"""
+)
 def merge_simple(spark: SparkSession, d: str) -> DataFrame:
     """The simple merge of pairs whose ends overlap."""
     from helixmill.operators.cleaning import merge_ends
@@ -98,21 +134,63 @@ def base_correction(spark: SparkSession, d: str) -> DataFrame:
     return got.where("corrected1 + corrected2 > 0").select("read_id", F.col("corrected1").cast("long").alias("corrected1"), F.col("corrected2").cast("long").alias("corrected2"))
 
 
+@query(
+    f"""{_CANDIDATES}, k AS (SELECT unnest(range(0, ol)) AS k, off, l2, seq1, qual1, seq2, qual2 FROM q WHERE overlapped AND diff > 0),
+p AS (SELECT CAST(k + greatest(off, 0) + 1 AS INTEGER) AS i, CAST(l2 - k - greatest(-off, 0) AS INTEGER) AS j, * FROM k),
+b AS (SELECT substr(seq1, i, 1) AS x, substr(seq2, j, 1) AS z, {_COMPLEMENT.format("substr(seq1, i, 1)")} AS cx, {_COMPLEMENT.format("substr(seq2, j, 1)")} AS cz, ascii(substr(qual1, i, 1)) - 33 AS u, ascii(substr(qual2, j, 1)) - 33 AS v FROM p),
+m AS (SELECT x AS old_base, cz AS new_base FROM b WHERE x <> cz AND v >= 30 AND u <= 14 UNION ALL SELECT z, cx FROM b WHERE x <> cz AND u >= 30 AND v <= 14)
+SELECT old_base, new_base, count(*) AS n FROM m GROUP BY 1, 2"""
+)
+def correction_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """How often each base was corrected into each."""
+    named = pairs(spark, d).withColumn("name1", F.col("name")).withColumn("name2", F.col("name"))
+    return cleaning.correction_matrix(cleaning.clean_pairs(named, replace(BARE, correction=True)))
+
+
+def _fixed(m: int) -> str:
+    """SQL of mate m's bases and qualities after correction."""
+    k = "(i - 1 - greatest(off, 0))" if m == 1 else "(l2 - i - greatest(-off, 0))"
+    other = f"CAST(l2 - {k} - greatest(-off, 0) AS INTEGER)" if m == 1 else f"CAST({k} + greatest(off, 0) + 1 AS INTEGER)"
+    own, theirs, quality, sure = f"substr(seq{m}, CAST(i AS INTEGER), 1)", f"substr(seq{3 - m}, {other}, 1)", f"substr(qual{m}, CAST(i AS INTEGER), 1)", f"substr(qual{3 - m}, {other}, 1)"
+    base = _COMPLEMENT.format(theirs)
+    # mates differ where mate 1 isn't the complement of mate 2
+    differ = f"{own} <> {base}" if m == 1 else f"{theirs} <> {_COMPLEMENT.format(own)}"
+    when = f"overlapped AND diff > 0 AND {k} >= 0 AND {k} < ol AND {differ} AND ascii({sure}) >= 63 AND ascii({quality}) <= 47"
+    join = lambda new, old: f"array_to_string(list_transform(range(1, l{m} + 1), lambda i: CASE WHEN {when} THEN {new} ELSE {old} END), '')"
+    return f"{join(base, own)} AS seq{m}, {join(sure, quality)} AS qual{m}"
+
+
+_PASSES = lambda s, q: f"CASE WHEN length({s}) = 0 THEN 16 WHEN length(regexp_replace({q}, '[^!-/]', '', 'g')) * 100 > 40 * length({s}) THEN 20 WHEN length(regexp_replace({s}, '[^N]', '', 'g')) > 5 THEN 12 WHEN length({s}) < 15 THEN 16 ELSE 0 END"
+_MERGED = f"""WITH {PAIRS}, {_overlaps("pairs", "s")}, fixed AS (SELECT read_id, name, {_fixed(1)}, {_fixed(2)} FROM s), {_overlaps("fixed", "t")},
+n AS (SELECT *, ol + greatest(off, 0) AS n1, CASE WHEN off > 0 THEN l2 - ol ELSE 0 END AS n2 FROM t),
+m AS (SELECT *, CASE WHEN overlapped THEN name || ' merged_' || n1 || '_' || n2 END AS merged_name, CASE WHEN overlapped THEN substr(seq1, 1, CAST(n1 AS INTEGER)) || substr(m2, CAST(ol + 1 AS INTEGER), CAST(n2 AS INTEGER)) END AS merged_seq,
+ CASE WHEN overlapped THEN substr(qual1, 1, CAST(n1 AS INTEGER)) || substr(reverse(qual2), CAST(ol + 1 AS INTEGER), CAST(n2 AS INTEGER)) END AS merged_qual FROM n),
+v AS (SELECT *, {_PASSES("seq1", "qual1")} AS v1, {_PASSES("seq2", "qual2")} AS v2, overlapped AND {_PASSES("merged_seq", "merged_qual")} = 0 AS ok FROM m)"""
+
+
 def _merge(spark: SparkSession, d: str) -> pipeline.Result:
     return pipeline.paired(pairs(spark, d), Options(merge=True, adapter_trimming=False, poly_g=False, include_unmerged=True))
 
 
-@query()
+@query(f"{_MERGED} SELECT count(*) FILTER (overlapped) AS merged, count(*) FILTER (ok) AS passed FROM v")
+def merged_count(spark: SparkSession, d: str) -> DataFrame:
+    return _merge(spark, d).judged.agg(F.count("merged_seq").alias("merged"), F.count_if(F.coalesce(F.col("merged_verdict") == E.PASS, F.lit(False))).alias("passed"))
+
+
+@query(f"{_MERGED} SELECT read_id, merged_name, merged_seq, merged_qual FROM v WHERE overlapped")
 def merge_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _merge(spark, d).judged.where("merged_seq is not null").select("read_id", "merged_name", "merged_seq", "merged_qual")
 
 
-@query()
+@query(
+    f"""{_MERGED} SELECT 'merged' AS route, read_id, 0 AS mate, merged_name AS name, merged_seq AS seq, '+' AS strand, merged_qual AS qual FROM v WHERE ok
+UNION ALL SELECT 'merged', read_id, 1, name, seq1, '+', qual1 FROM v WHERE NOT coalesce(ok, false) AND v1 = 0 UNION ALL SELECT 'merged', read_id, 2, name, seq2, '+', qual2 FROM v WHERE NOT coalesce(ok, false) AND v2 = 0"""
+)
 def merged_unmerged_union(spark: SparkSession, d: str) -> DataFrame:
     return _merge(spark, d).routed.where("route = 'merged'")
 
 
-@query()
+@query(f"WITH {PAIRS}, {_overlaps('pairs', 's', 0)} SELECT read_id, name, substr(seq1, CAST(greatest(off, 0) + 1 AS INTEGER), CAST(ol AS INTEGER)) AS seq, substr(qual1, CAST(greatest(off, 0) + 1 AS INTEGER), CAST(ol AS INTEGER)) AS qual FROM s WHERE overlapped")
 def overlapped_out(spark: SparkSession, d: str) -> DataFrame:
     o = Options(adapter_trimming=False, poly_g=False, overlapped_out="o", out1="a", out2="b")
     return pipeline.paired(pairs(spark, d), o).routed.where("route = 'overlapped'").select("read_id", "name", "seq", "qual")
@@ -172,7 +250,11 @@ def full_pe_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.paired(pairs(spark, d), o).routed
 
 
-@query()
+_SUMS = """count(*) AS total_reads, CAST(sum(length(seq)) AS BIGINT) AS total_bases, CAST(sum(length(regexp_replace(qual, '[!-4]', '', 'g'))) AS BIGINT) AS q20_bases, CAST(sum(length(regexp_replace(qual, '[!->]', '', 'g'))) AS BIGINT) AS q30_bases,
+ CAST(sum(length(regexp_replace(seq, '[^GCgc]', '', 'g'))) AS BIGINT) AS gc_bases, CAST(sum(length(seq)) // count(*) AS BIGINT) AS mean_length"""
+
+
+@query(f"{_JUDGED}, m AS (SELECT seq1 AS seq, qual1 AS qual, v1 = 0 AND v2 = 0 AS ok FROM j UNION ALL SELECT seq2, qual2, v1 = 0 AND v2 = 0 FROM j) SELECT 'before' AS stage, {_SUMS} FROM m UNION ALL SELECT 'after', {_SUMS} FROM m WHERE ok")
 def report_totals(spark: SparkSession, d: str) -> DataFrame:
     """Before and after totals of the pair pipeline, as in the report."""
     r = pipeline.paired(pairs(spark, d), replace(BARE, out1="a", out2="b"))

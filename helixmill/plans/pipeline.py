@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,14 +50,11 @@ def single(df: DataFrame, options: Options) -> Result:
         df = df.withColumn("name", E.mgi_fix("name"))
     if o.umi:
         df = cleaning.move_umi(df, *_umi(o.umi))
-    dup = df.select("read_id", "dup").where("dup").distinct() if o.dedup else None
-    judged = cleaning.clean_single(df, o)
-    judged = judged.join(dup, "read_id", "left").withColumn("dup", F.coalesce("dup", F.lit(False))) if dup is not None else judged.withColumn("dup", F.lit(False))
-    judged = staged(judged, "judged")
-    good = (F.col("verdict") == E.PASS) & ~F.col("dup")
-    out = judged.where(good).select(F.lit("out1").alias("route"), "read_id", F.lit(1).alias("mate"), "name", "seq", "strand", "qual")
-    bad = judged.where(F.col("verdict") != E.PASS).select(F.lit("failed").alias("route"), "read_id", F.lit(1).alias("mate"), F.concat_ws(" ", "name", E.tag("verdict")).alias("name"), "seq", "strand", "qual")
-    return Result(o, df, judged, out.unionByName(bad))
+    judged = staged(cleaning.clean_single(df, o), "judged")
+    good = F.col("verdict") == E.PASS
+    name = F.when(good, F.col("name")).otherwise(F.concat_ws(" ", "name", E.tag("verdict")))
+    routed = judged.where(~good | ~F.col("dup")).select(F.when(good, "out1").otherwise("failed").alias("route"), "read_id", F.lit(1).alias("mate"), name.alias("name"), "seq", "strand", "qual")
+    return Result(o, df, judged, routed)
 
 
 def paired(df: DataFrame, options: Options) -> Result:
@@ -80,10 +76,7 @@ def paired(df: DataFrame, options: Options) -> Result:
         df = df.withColumn("name1", E.mgi_fix("name1")).withColumn("name2", E.mgi_fix("name2"))
     if o.umi:
         df = cleaning.move_umi_pairs(df, *_umi(o.umi))
-    judged = cleaning.clean_pairs(df, o)
-    dup = df.select("read_id", "dup").where("dup").distinct() if o.dedup else None
-    judged = judged.join(dup, "read_id", "left").withColumn("dup", F.coalesce("dup", F.lit(False))) if dup is not None else judged.withColumn("dup", F.lit(False))
-    judged = staged(judged, "judged")
+    judged = staged(cleaning.clean_pairs(df, o), "judged")
     return Result(o, df, judged, route_pairs(judged, o))
 
 
@@ -100,24 +93,24 @@ def route_pairs(judged: DataFrame, o: Options) -> DataFrame:
     to2 = "unpaired2" if o.unpaired2 and o.unpaired2 != o.unpaired1 else "unpaired1"
     both = ok1 & ok2
     merged = F.col("merged_seq").isNotNull() & (F.col("merged_verdict") == E.PASS) if o.merge else F.lit(False)
-    mate = lambda m, route, name: (F.lit(route).alias("route"), "read_id", F.lit(m).alias("mate"), name.alias("name"), F.col(f"seq{m}").alias("seq"), F.lit("+").alias("strand"), F.col(f"qual{m}").alias("qual"))
-    plain = lambda m, route, cond: judged.where(live & cond).select(*mate(m, route, F.col(f"name{m}")))
-    tagged = lambda m, cond, t: judged.where(live & cond).select(*mate(m, "failed", F.concat_ws(" ", f"name{m}", t)))
-    rest = live & ~merged
+    row = lambda route, mate, name, seq, qual: F.struct(F.lit(route).alias("route"), F.lit(mate).alias("mate"), name.alias("name"), F.col(seq).alias("seq"), F.col(qual).alias("qual"))
+    plain = lambda m, route, cond: F.when(cond, row(route, m, F.col(f"name{m}"), f"seq{m}", f"qual{m}"))
+    tagged = lambda m, cond, t: F.when(cond, row("failed", m, F.concat_ws(" ", f"name{m}", t), f"seq{m}", f"qual{m}"))
+    rest = ~merged
     partner = F.lit("paired_read_is_failing")
-    parts = []
-    if o.merge:
-        parts.append(judged.where(live & merged).select(F.lit("merged").alias("route"), "read_id", F.lit(0).alias("mate"), F.col("merged_name").alias("name"), F.col("merged_seq").alias("seq"), F.lit("+").alias("strand"), F.col("merged_qual").alias("qual")))
+    rows = [F.when(merged, row("merged", 0, F.col("merged_name"), "merged_seq", "merged_qual"))] if o.merge else []
     if o.merge and o.include_unmerged:
-        parts += [plain(1, "merged", rest & ok1), plain(2, "merged", rest & ok2)]
+        rows += [plain(1, "merged", rest & ok1), plain(2, "merged", rest & ok2)]
     else:
-        parts += [plain(1, "out1", rest & both), plain(2, "out2", rest & both)]
-        parts += [plain(1, "unpaired1", rest & ok1 & ~ok2) if lone1 else tagged(1, rest & ok1 & ~ok2, partner)]
-        parts += [plain(2, to2, rest & ok2 & ~ok1) if lone2 else tagged(2, rest & ok2 & ~ok1, partner)]
-    parts += [tagged(1, rest & ~ok1, E.tag("verdict1")), tagged(2, rest & ~ok2, E.tag("verdict2"))]
+        rows += [plain(1, "out1", rest & both), plain(2, "out2", rest & both)]
+        rows += [plain(1, "unpaired1", rest & ok1 & ~ok2) if lone1 else tagged(1, rest & ok1 & ~ok2, partner)]
+        rows += [plain(2, to2, rest & ok2 & ~ok1) if lone2 else tagged(2, rest & ok2 & ~ok1, partner)]
+    rows += [tagged(1, rest & ~ok1, E.tag("verdict1")), tagged(2, rest & ~ok2, E.tag("verdict2"))]
     if o.overlapped_out:
-        parts.append(judged.where(live & F.col("overlapped_seq").isNotNull()).select(F.lit("overlapped").alias("route"), "read_id", F.lit(0).alias("mate"), F.col("name1").alias("name"), F.col("overlapped_seq").alias("seq"), F.lit("+").alias("strand"), F.col("overlapped_qual").alias("qual")))
-    return reduce(DataFrame.unionByName, parts)
+        rows.append(F.when(F.col("overlapped_seq").isNotNull(), row("overlapped", 0, F.col("name1"), "overlapped_seq", "overlapped_qual")))
+    # one pass: every pair gives the rows it has
+    out = judged.where(live).select("read_id", F.explode(F.array_compact(F.array(*rows))).alias("r"))
+    return out.select("r.route", "read_id", "r.mate", "r.name", "r.seq", F.lit("+").alias("strand"), "r.qual")
 
 
 def buckets(result: Result) -> DataFrame:
@@ -139,11 +132,11 @@ def check_conservation(result: Result) -> int:
     return came
 
 
-def pair_up(r1: DataFrame, r2: DataFrame) -> DataFrame:
-    """Mates joined by position; ``paired`` is false where one file has no partner. Use ``require_pairs`` to fail on those."""
-    a = r1.select("read_id", F.col("name").alias("name1"), F.col("seq").alias("seq1"), F.col("qual").alias("qual1"))
-    b = r2.select("read_id", F.col("name").alias("name2"), F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
-    return a.join(b, "read_id", "full").withColumn("paired", F.col("seq1").isNotNull() & F.col("seq2").isNotNull())
+def pair_up(r1: DataFrame, r2: DataFrame, by: str = "read_id") -> DataFrame:
+    """Mates joined by position, or by the column ``by``; ``paired`` is false where one file has no partner. Use ``require_pairs`` to fail on those."""
+    a = r1.select(by, F.col("name").alias("name1"), F.col("seq").alias("seq1"), F.col("qual").alias("qual1"))
+    b = r2.select(by, F.col("name").alias("name2"), F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
+    return a.join(b, by, "full").withColumn("paired", F.col("seq1").isNotNull() & F.col("seq2").isNotNull())
 
 
 def require_pairs(joined: DataFrame) -> DataFrame:
