@@ -18,6 +18,7 @@ where they are. Nothing of the documents is shuffled; of the sample the words' n
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +40,7 @@ class LeakOptions:
     paraphrase: least share of an item's words in a common subsequence."""
 
     run: int = 12
-    cosine: float = 0.7
+    cosine: float = 0.8
     factors: int = 80
     apart: int = 16
     extra: int = 8
@@ -240,12 +241,16 @@ def candidates(texts: list[list[str]], m: Model, opts: LeakOptions) -> tuple[np.
     owner = np.repeat(np.arange(len(texts)), sizes)
     out = []
     weight = m.energy[ids]
-    total, inside = np.concatenate([[0], np.cumsum(weight)]), np.concatenate([[0], np.cumsum(np.where(ids < other, weight, 0))])
+    total = np.concatenate([[0], np.cumsum(weight)])
     for length, (known, item, unit, centroids, cells) in zip((k.shape[1] for k, *_ in m.passages), m.passages):
         n = len(ids) - length + 1
         if n <= 0:
             continue
-        share = (inside[length:] - inside[:n]) >= opts.cosine**2 * (total[length:] - total[:n]) * (1 - 1e-9)
+        used = np.zeros(other + 1, bool)
+        used[known.ravel()] = True  # no other word adds to a cosine with these passages
+        inside = np.concatenate([[0], np.cumsum(np.where(used[ids], weight, 0))])
+        least = opts.cosine**2 if length == opts.run else 1.0  # shorter items are looked for verbatim only
+        share = (inside[length:] - inside[:n]) >= least * (total[length:] - total[:n]) * (1 - 1e-9)
         at = np.flatnonzero(share & (owner[:n] == owner[length - 1 :]))
         for lo in range(0, len(at), 8192):  # bounded memory whatever the length of the texts
             some = at[lo : lo + 8192]
@@ -267,7 +272,7 @@ def candidates(texts: list[list[str]], m: Model, opts: LeakOptions) -> tuple[np.
             for c in np.unique(cell):
                 mine = who[edges[c] : edges[c + 1]]
                 like = vector[mine] @ unit[cells[c] : cells[c + 1]].T
-                i, j = np.nonzero(like >= opts.cosine)
+                i, j = np.nonzero(like >= (opts.cosine if length == opts.run else 0.999))
                 if len(i):
                     j_all = j + cells[c]
                     same = (w[mine[i]] == known[j_all]).all(axis=1)
@@ -276,17 +281,22 @@ def candidates(texts: list[list[str]], m: Model, opts: LeakOptions) -> tuple[np.
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence of words, row by row over the shorter one."""
-    if len(a) > len(b):
-        a, b = b, a
-    codes = {w: n for n, w in enumerate(dict.fromkeys(a))}
-    x = np.array([codes[w] for w in a])
-    best = np.zeros(len(a) + 1, np.int64)
+    """Length of the longest common subsequence of words: a row of the table is one integer, whose zeros mark where it steps up."""
+    at: dict[str, int] = {}
+    for n, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << n
+    whole = (1 << len(a)) - 1
+    row = whole
     for w in b:
-        if w in codes:
-            grown = np.concatenate([[0], np.where(x == codes[w], best[:-1] + 1, best[1:])])
-            best = np.maximum.accumulate(np.maximum(grown, best))
-    return int(best[-1])
+        if w in at:
+            step = row & at[w]
+            row = (row + step | row - step) & whole
+    return len(a) - row.bit_count()
+
+
+def in_common(a: list[str], b: list[str]) -> int:
+    """How many words of ``a`` can be paired with equal ones of ``b``: no common subsequence is longer."""
+    return (Counter(a) & Counter(b)).total()
 
 
 def leaks(docs: DataFrame, items: DataFrame, opts: LeakOptions = LeakOptions()) -> DataFrame:
@@ -329,18 +339,32 @@ def _scan(docs: DataFrame, model: Model, opts: LeakOptions, schema: str) -> Data
     return docs.where("doc_id is not null and text is not null and text <> ''").mapInArrow(scan, schema)
 
 
+def _counts(m: Model, k: int) -> dict[str, int]:
+    """How often each word stands in an item, counted once."""
+    known = m.__dict__.setdefault("counts", {})
+    if k not in known:
+        known[k] = Counter(m.items[k][1])
+    return known[k]
+
+
 def _compare(texts: list[list[str]], m: Model, opts: LeakOptions):
     """Which candidates are held verbatim, and which are paraphrased with their answer."""
     text, at, item, cosine, same = candidates(texts, m, opts)
     order = np.lexsort((-cosine, ~same, item, text))  # the same words first, then the nearest
     text, at, item, cosine, same = (x[order] for x in (text, at, item, cosine, same))
+    last, there = -1, set()
     for n in np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])[: len(text)]):
         d, k = int(text[n]), int(item[n])
         if same[n]:
             yield d, k, float(cosine[n]), "verbatim"
             continue
         w, (_, own, answer) = texts[d], m.items[k]
-        told = not answer or any(w[i : i + len(answer)] == answer for i in range(len(w) - len(answer) + 1))
+        least = opts.paraphrase * len(own)
+        if d != last:
+            last, there = d, set(w)
+        counts = _counts(m, k)
+        if len(own) < opts.run or sum(map(counts.__getitem__, there & counts.keys())) < least:
+            continue
         around = w[max(0, int(at[n]) - 2 * len(own)) : int(at[n]) + 2 * len(own) + opts.run]  # the item may begin up to its length before the window
-        if told and len(own) >= opts.run and common_subsequence(own, around) >= opts.paraphrase * len(own):
+        if in_common(own, around) >= least and common_subsequence(own, around) >= least and (not answer or f" {' '.join(answer)} " in f" {' '.join(w)} "):
             yield d, k, float(cosine[n]), "paraphrase"
