@@ -107,7 +107,8 @@ def register(spark: SparkSession) -> None:
     """SQL functions of the engine: expressions as SQL functions, kernels as Arrow functions, and a table function for FASTQ text."""
     from pyspark.sql.functions import pandas_udf, udtf
 
-    from helixmill.functions.kernels import Reads, adapter_at, poly_g_end, poly_x_end, quality_cut
+    from helixmill.functions import kernels
+    from helixmill.functions.kernels import Reads, adapter_at, poly_g_end, poly_x_end
 
     sql = {
         "revcomp": ("(s STRING) RETURNS STRING", "reverse(translate(regexp_replace(s, '[^ACGTacgt]', 'N'), 'ACGTacgt', 'TGCATGCA'))"),
@@ -119,16 +120,40 @@ def register(spark: SparkSession) -> None:
 
     spark.udf.register("poly_g_len", pandas_udf(lambda s: pd.Series(poly_g_end(Reads(s.fillna("").tolist()))).astype("int32"), "int"))
     spark.udf.register("poly_x_len", pandas_udf(lambda s: pd.Series(poly_x_end(Reads(s.fillna("").tolist()))[0]).astype("int32"), "int"))
-    spark.udf.register("adapter_pos", pandas_udf(lambda s, a: pd.Series(adapter_at(Reads(s.fillna("").tolist()), a.iloc[0])).astype("int32") if len(s) else pd.Series([], dtype="int32"), "int"))
+    def by_value(columns: list[pd.Series], run) -> dict:
+        """``run`` on the rows of each combination of the values of ``columns``: arguments may differ from row to row."""
+        out: dict = {}
+        for key, rows in pd.DataFrame(dict(enumerate(columns))).groupby(list(range(len(columns))), dropna=False).indices.items():
+            for i, v in zip(rows, run(rows, *(key if isinstance(key, tuple) else (key,)))):
+                out[i] = v
+        return out
+
+    def place(s: pd.Series, a: pd.Series) -> pd.Series:
+        texts = s.fillna("")
+        got = by_value([a], lambda rows, adapter: adapter_at(Reads(texts.iloc[rows].tolist()), adapter) if adapter == adapter and adapter else texts.iloc[rows].str.len())
+        return pd.Series([int(got[i]) for i in range(len(s))], dtype="int32")
+
+    def trim(s: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else t[: max(0, at)] for t, at in zip(s.astype(object).where(s.notna(), None), place(s, a))], dtype="object")
 
     def cut(s: pd.Series, q: pd.Series, w: pd.Series, m: pd.Series) -> pd.Series:
-        if not len(s):
-            return pd.Series([], dtype="object")
-        seqs = s.fillna("")
-        kept, a, b = quality_cut(Reads(seqs.tolist()), Reads(q.fillna("").tolist()), 0, 0, cut_tail=(int(w.iloc[0]), int(m.iloc[0])))
-        return pd.Series([x[i:j] if k else None for x, k, i, j in zip(seqs, kept, a, b)])
+        seqs, quals = s.fillna(""), q.fillna("")
 
+        def run(rows, window, mean):
+            kept, a, b = kernels.quality_cut(Reads(seqs.iloc[rows].tolist()), Reads(quals.iloc[rows].tolist()), 0, 0, cut_tail=(int(window), int(mean)))
+            return [x[i:j] if k else None for x, k, i, j in zip(seqs.iloc[rows], kept, a, b)]
+
+        got = by_value([w, m], run)
+        return pd.Series([got[i] for i in range(len(s))], dtype="object")
+
+    def overlaps(s1: pd.Series, s2: pd.Series) -> pd.DataFrame:
+        found, offset, length, diff = kernels.overlap(Reads(s1.fillna("").tolist()), Reads(s2.fillna("").tolist()))
+        return pd.DataFrame({"overlapped": found, "offset": offset.astype("int32"), "overlap_len": length.astype("int32"), "diff": diff.astype("int32")})
+
+    spark.udf.register("adapter_pos", pandas_udf(place, "int"))
+    spark.udf.register("trim_adapter", pandas_udf(trim, "string"))
     spark.udf.register("quality_cut", pandas_udf(cut, "string"))
+    spark.udf.register("overlap", pandas_udf(overlaps, "overlapped boolean, offset int, overlap_len int, diff int"))
 
     @udtf(returnType="name string, seq string, strand string, qual string")
     class FastqParse:

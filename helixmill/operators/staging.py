@@ -46,6 +46,13 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for files other than tables; ``release`` deletes it too."""
+    path = f"{shared_root(spark)}/{name}"
+    _written.append((spark, path))
+    return path
+
+
 @contextmanager
 def _shuffles_dropped(spark: SparkSession):
     """Shuffle files of what runs inside go when it ends: its result stands in the shared folder, nothing reads them again."""

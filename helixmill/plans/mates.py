@@ -168,6 +168,16 @@ m AS (SELECT *, CASE WHEN overlapped THEN name || ' merged_' || n1 || '_' || n2
 v AS (SELECT *, {_PASSES("seq1", "qual1")} AS v1, {_PASSES("seq2", "qual2")} AS v2, overlapped AND {_PASSES("merged_seq", "merged_qual")} = 0 AS ok FROM m)"""
 
 
+@query(
+    f"""{_CANDIDATES} SELECT read_id FROM q WHERE overlapped AND off < 0 AND (l1 > ol OR l2 > ol) AND least(l1, ol) <= 60 AND least(l2, ol) <= 60"""
+)
+def pair_dimers(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of which next to nothing is left once the adapter behind the insert is cut."""
+    named = pairs(spark, d).withColumn("name1", F.col("name")).withColumn("name2", F.col("name"))
+    got = cleaning.clean_pairs(named, replace(BARE, adapter_trimming=True, adapter1="", adapter2="", dimer_max_len=60))
+    return got.where(f"verdict1 = {E.ADAPTER_DIMER} and verdict2 = {E.ADAPTER_DIMER}").select("read_id")
+
+
 def _merge(spark: SparkSession, d: str) -> pipeline.Result:
     return pipeline.paired(pairs(spark, d), Options(merge=True, adapter_trimming=False, poly_g=False, include_unmerged=True))
 

@@ -144,12 +144,12 @@ def require_pairs(joined: DataFrame) -> DataFrame:
     return joined.withColumn("paired", F.when(F.col("paired"), True).otherwise(F.raise_error(F.lit("the files hold different numbers of reads")).cast("boolean"))).where("paired")
 
 
-def deinterleave(df: DataFrame) -> DataFrame:
-    """Alternate reads of one file as pairs; a last read without a partner is dropped."""
+def deinterleave(df: DataFrame, *within: str) -> DataFrame:
+    """Alternate reads of one file as pairs; a last read without a partner is dropped. ``within``: columns that tell several files apart."""
     half = df.withColumn("pair", F.floor(F.col("read_id") / 2))
-    first = half.where("read_id % 2 = 0").select(F.col("pair").alias("read_id"), "name", "seq", "qual")
-    second = half.where("read_id % 2 = 1").select(F.col("pair").alias("read_id"), "name", "seq", "qual")
-    return pair_up(first, second).where("paired")
+    key = F.concat_ws(":", *within, "pair") if within else F.col("pair")
+    side = lambda odd: half.where(F.col("read_id") % 2 == odd).select(key.alias("read_id"), "name", "seq", "qual")
+    return pair_up(side(0), side(1)).where("paired")
 
 
 def split_routes(routed: DataFrame, o: Options) -> DataFrame:

@@ -288,6 +288,8 @@ def _adapter_sql(adapter: str) -> str:
     return f"""a AS (SELECT *, length(seq) AS n, list_filter(range(-4, length(seq) - 4), lambda p: len(list_filter(range(greatest(0, -p), least(length(seq) - p, {n})), lambda i: substr(seq, CAST(p + i + 1 AS INTEGER), 1) <> substr('{adapter}', CAST(i + 1 AS INTEGER), 1))) <= least(length(seq) - p, {n}) // 8)[1] AS hit_at FROM reads)"""
 
 
+_RC = "reverse(translate(regexp_replace(seq, '[^ACGTacgt]', 'N', 'g'), 'ACGTacgt', 'TGCATGCA'))"
+_FUNCTIONS = f"""{_RC} AS rc, CASE WHEN seq = '' THEN 0 ELSE CAST(hamming(seq, reverse(seq)) AS INTEGER) END AS apart, CASE WHEN n > 30 THEN CAST(n AS INTEGER) ELSE 0 END AS own_overlap, CAST(CASE WHEN read_id % 2 = 0 THEN 8 ELSE 2 END AS INTEGER) AS by_row"""
 _TRIMMED = f"WITH {READS}, {_adapter_sql(ADAPTER1)}"
 
 
@@ -296,7 +298,19 @@ def adapter_trim(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.trimmed(reads(spark, d), _keep_to(lambda s: adapter_at(s, ADAPTER1, gaps=False).clip(0)))
 
 
-@query()
+def _gapped_sql(adapter: str, reads: str = "a") -> str:
+    """CTEs behind ``_adapter_sql`` up to ``trimmed``: where the adapter begins, straight or with one inserted or lost base."""
+    n, cut = len(adapter), lambda x, b, e="": f"substr({x}, CAST({b} AS INTEGER){f', CAST({e} AS INTEGER)' if e else ''})"
+    return f"""g0 AS (SELECT row_number() OVER () AS k, seq, qual, read_id, n, hit_at FROM {reads}), g1 AS (SELECT k, seq, n, unnest(range(0, n)) AS p FROM g0 WHERE hit_at IS NULL),
+g2 AS (SELECT k, 1 AS turn, p, least(n - p - 1, {n}) AS c, {n - 1} AS most, {cut("seq", "p + 1", f"least(n - p - 1, {n})")} AS x, {cut("seq", "p + 2", f"least(n - p - 1, {n})")} AS y, {cut(f"'{adapter}'", 1, f"least(n - p - 1, {n})")} AS u, {cut(f"'{adapter}'", 1, f"least(n - p - 1, {n})")} AS v FROM g1 WHERE p < n - 5
+ UNION ALL SELECT k, 2, p, least(n - p, {n - 1}), {n - 2}, {cut("seq", "p + 1", f"least(n - p, {n - 1})")}, {cut("seq", "p + 1", f"least(n - p, {n - 1})")}, {cut(f"'{adapter}'", 1, f"least(n - p, {n - 1})")}, {cut(f"'{adapter}'", 2, f"least(n - p, {n - 1})")} FROM g1 WHERE p < n - 4),
+g3 AS (SELECT *, c // 8 - 1 AS most_wrong FROM g2 WHERE c >= 8),
+g4 AS (SELECT * FROM g3 WHERE hamming({cut("x", 1, "c // 2")}, {cut("u", 1, "c // 2")}) <= most_wrong OR hamming({cut("y", "c // 2 + 1")}, {cut("v", "c // 2 + 1")}) <= most_wrong),
+g5 AS (SELECT k, turn, p FROM g4 WHERE list_min(list_transform(range(1, least(c, most) + 1), lambda i: hamming({cut("x", 1, "i")}, {cut("u", 1, "i")}) + CASE WHEN i < c THEN hamming({cut("y", "i + 1")}, {cut("v", "i + 1")}) ELSE 0 END)) <= most_wrong),
+g6 AS (SELECT k, min(turn * 1000000 + p) AS best FROM g5 GROUP BY k), trimmed AS (SELECT g0.*, coalesce(hit_at, best % 1000000) AS cut_at FROM g0 LEFT JOIN g6 USING (k))"""
+
+
+@query(f"{_TRIMMED}, {_gapped_sql(ADAPTER1)} SELECT read_id, CASE WHEN cut_at IS NULL THEN seq ELSE substr(seq, 1, CAST(greatest(cut_at, 0) AS INTEGER)) END AS seq, CASE WHEN cut_at IS NULL THEN qual ELSE substr(qual, 1, CAST(greatest(cut_at, 0) AS INTEGER)) END AS qual FROM trimmed")
 def adapter_trim_gapped(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.trimmed(reads(spark, d), _keep_to(lambda s: adapter_at(s, ADAPTER1).clip(0)))
 
@@ -307,12 +321,23 @@ def adapter_counts(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.clean_single(reads(spark, d), o).where("adapter is not null").groupBy("adapter").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{_TRIMMED} SELECT read_id FROM a WHERE greatest(hit_at, 0) <= 20 AND hit_at IS NOT NULL")
+@query(f"{_TRIMMED} SELECT read_id FROM a WHERE greatest(hit_at, 0) <= 70 AND hit_at IS NOT NULL")
 def adapter_dimer(spark: SparkSession, d: str) -> DataFrame:
-    o = Options(adapter1=ADAPTER1, gapped_adapters=False, poly_g=False, dimer_max_len=20).resolved()
+    o = Options(adapter1=ADAPTER1, gapped_adapters=False, poly_g=False, dimer_max_len=70).resolved()
     return cleaning.clean_single(reads(spark, d), o).where(F.col("verdict") == E.ADAPTER_DIMER).select("read_id")
 
 
+@query(f"{_TRIMMED}, {_gapped_sql(ADAPTER1)} SELECT read_id, CAST(coalesce(cut_at, n) AS INTEGER) AS place, CASE WHEN cut_at IS NULL THEN seq ELSE substr(seq, 1, CAST(greatest(cut_at, 0) AS INTEGER)) END AS trimmed, {_FUNCTIONS} FROM trimmed")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The functions registered for SQL, the adapter and the windows differing from row to row."""
+    E.register(spark)
+    reads(spark, d).createOrReplaceTempView("helixmill_reads")
+    return spark.sql(
+        f"""SELECT read_id, adapter_pos(seq, '{ADAPTER1}') AS place, trim_adapter(seq, '{ADAPTER1}') AS trimmed, revcomp(seq) AS rc, hamming(seq, reverse(seq)) AS apart,
+overlap(revcomp(seq), seq).overlap_len AS own_overlap, adapter_pos('GGGGTTTTACGTACGT', CASE WHEN read_id % 2 = 0 THEN 'ACGTACGT' ELSE 'GGTTTTAC' END) AS by_row FROM helixmill_reads"""
+    )
+
+
 @query()
 def adapter_list_trim(spark: SparkSession, d: str) -> DataFrame:
     known = spark.read.parquet(f"{d}/known_adapters.parquet").select(F.upper("seq").alias("s")).where("s rlike '^[ACGT]{6,}$'").distinct()
