@@ -48,7 +48,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, for files other than tables; ``release`` deletes it too."""
-    path = f"{shared_root(spark)}/{name}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +38,7 @@ def _placed(df: DataFrame) -> DataFrame:
 def _written(df: DataFrame, compression: str = "none") -> str:
     """A folder of FASTQ files of the reads."""
     fastq.register(df.sparkSession)
-    folder = shared_folder(df.sparkSession, f"fastq-{uuid.uuid4().hex}")
+    folder = shared_folder(df.sparkSession, "fastq")
     df.select(*_RECORD).write.format("fastq").mode("append").option("compression", compression).save(folder)
     return folder
 
@@ -68,7 +66,7 @@ def fastq_bgzf(spark: SparkSession, d: str) -> DataFrame:
 @query(_ALL)
 def fastq_gzip(spark: SparkSession, d: str) -> DataFrame:
     """Ordinary gzip, a file a task."""
-    folder = shared_folder(spark, f"gzip-{uuid.uuid4().hex}")
+    folder = shared_folder(spark, "gzip")
     reads(spark, d).select(F.concat_ws("\n", *_RECORD)).write.option("compression", "gzip").text(folder)
     return _read(spark, folder + "/part-*").select(*_RECORD)
 
@@ -97,7 +95,7 @@ def interleaved_scan(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT upper(seq) AS seq FROM known_adapters WHERE length(seq) >= 6")
 def fasta_scan(spark: SparkSession, d: str) -> DataFrame:
     """An adapter list as FASTA, its sequences over two lines."""
-    folder = shared_folder(spark, f"fasta-{uuid.uuid4().hex}")
+    folder = shared_folder(spark, "fasta")
     known = spark.read.parquet(f"{d}/known_adapters.parquet").where("seq is not null")
     known.select(F.concat(F.lit(">"), F.coalesce("descr", F.lit("unnamed")), F.lit(" "), F.md5("seq"), F.lit("\n"), F.substring("seq", 1, 10), F.lit("\n"), F.expr("substring(seq, 11)"))).write.text(folder)
     return lists.fasta(spark, folder).select("seq")
@@ -105,7 +103,7 @@ def fasta_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT barcode FROM barcodes WHERE regexp_matches(barcode, '^[ACGT]+$')")
 def barcode_scan(spark: SparkSession, d: str) -> DataFrame:
-    folder = shared_folder(spark, f"barcodes-{uuid.uuid4().hex}")
+    folder = shared_folder(spark, "barcodes")
     spark.read.parquet(f"{d}/barcodes.parquet").where("barcode rlike '^[ACGT]+$'").select("barcode").write.text(folder)
     return spark.createDataFrame([(b,) for b in lists.barcodes(spark, folder)], "barcode string")
 
@@ -119,7 +117,7 @@ def ordered_sink(spark: SparkSession, d: str) -> DataFrame:
     o = Options(paired=True, adapter_trimming=False, poly_g=False, quality_filter=False, length_filter=False, out1="a", out2="b")
     r = pipeline.paired(pairs(spark, d), o)
     everything = r.judged.select(F.explode(F.array(*[F.struct(F.lit(f"out{m}").alias("route"), "read_id", F.lit(m).alias("mate"), F.col(f"name{m}").alias("name"), F.col(f"seq{m}").alias("seq"), F.lit("+").alias("strand"), F.col(f"qual{m}").alias("qual")) for m in (1, 2)])).alias("m")).select("m.*")
-    folder = shared_folder(spark, f"routes-{uuid.uuid4().hex}")
+    folder = shared_folder(spark, "routes")
     out = None
     for route in lists.write_routes(everything, folder):
         part = fastq.ordinals(_read(spark, f"{folder}/{route}/part-*"))

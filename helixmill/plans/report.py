@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from helixmill import __version__
 from helixmill.functions import expressions as E
+from helixmill.operators.cleaning import correction_matrix
 from helixmill.operators import evaluate, stats
 from helixmill.plans.pipeline import Result, buckets, check_conservation
 
@@ -73,6 +74,7 @@ def build(result: Result, command: str = "", top_share: float = 0.01) -> dict:
     if paired and o.correction:
         c = j.agg(F.coalesce(F.sum(F.col("corrected1") + F.col("corrected2")), F.lit(0)).alias("bases"), F.coalesce(F.sum((F.col("corrected1") > 0).cast("int") + (F.col("corrected2") > 0).cast("int")), F.lit(0)).alias("reads")).first()
         report["filtering_result"] |= {"corrected_reads": c["reads"], "corrected_bases": c["bases"]}
+        report["corrections"] = {f"{r['old_base']}>{r['new_base']}": r["n"] for r in correction_matrix(j).orderBy("old_base", "new_base").collect()}  # at most 8 x 8
     report["duplication"] = {"rate": stats.duplication(result.before, *(("seq1", "seq2") if paired else ("seq",))).first()["rate"]}
     if paired:
         sizes = {r["insert_size"]: r["n"] for r in j.where("insert_size >= 0").groupBy("insert_size").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -102,8 +104,11 @@ def build(result: Result, command: str = "", top_share: float = 0.01) -> dict:
     for i, df in enumerate(after):
         report["merged_and_filtered" if o.merge else f"read{i + 1}_after_filtering"] = profile(df, True, hot[i], o.overrepresentation_sampling)
     if o.long_repeat_length:
-        top = evaluate.long_repeats(before[0], o.long_repeat_length).orderBy(F.desc("repeat_len"), "read_id").limit(20).collect()
-        report["long_repeats"] = [{"read_id": r["read_id"], "length": r["repeat_len"]} for r in top]
+        report["long_repeats"] = []
+        for i, df in enumerate(before):
+            found = evaluate.long_repeats(df, o.long_repeat_length, complexity=o.complexity / 100 if o.complexity_filter else None)
+            top = found.orderBy(F.desc("repeat_len"), "read_id", "pos1", "pos2").limit(20).collect()
+            report["long_repeats"] += [{"mate": i + 1, "read_id": r["read_id"], "length": r["repeat_len"], "pos1": r["pos1"], "pos2": r["pos2"], "seq": r["repeat_seq"]} for r in top]
     report["command"] = command
     return report
 
@@ -162,5 +167,5 @@ def to_html(report: dict, title: str = "read report") -> str:
             if p["overrepresented_sequences"]:
                 out.append("<h3>over-represented sequences</h3>" + _table(p["overrepresented_sequences"]))
     if report.get("long_repeats"):
-        out.append("<h2>long repeats</h2>" + _table({f"read {r['read_id']}": r["length"] for r in report["long_repeats"]}))
+        out.append("<h2>long repeats</h2>" + _table({f"mate {r['mate']}, read {r['read_id']}, {r['pos1']} and {r['pos2']}": f"{r['length']}: {r['seq']}" for r in report["long_repeats"]}))
     return "\n".join(out)

@@ -32,15 +32,14 @@ def barcodes(spark: SparkSession, path: str) -> list[str]:
 
 def write_routes(routed: DataFrame, folder: str, compression: str = "none", level: int = 4, overwrite: bool = True) -> list[str]:
     """One folder of FASTQ files per route, in order of the reads. Returns the routes written. With ``overwrite`` false an existing folder is an error."""
-    import os
-
-    from helixmill.sources.fastq import register
+    from helixmill.sources.fastq import on, register
 
     register(routed.sparkSession)
     names = sorted(r["route"] for r in routed.select("route").distinct().collect())  # a handful
     for route in names:
-        target = os.path.join(folder, route)
-        if not overwrite and os.path.exists(target):
+        target = f"{folder.rstrip('/')}/{route}"
+        system, path = on(target)
+        if not overwrite and system.get_file_info(path).type.name != "NotFound":
             raise FileExistsError(target)
         part = routed.where(F.col("route") == route).repartitionByRange("read_id").sortWithinPartitions("read_id", "mate")
         out = part.select("name", "seq", "strand", "qual").write.format("fastq").mode("overwrite" if overwrite else "append")
@@ -48,6 +47,30 @@ def write_routes(routed: DataFrame, folder: str, compression: str = "none", leve
     return names
 
 
+def to_stream(routed: DataFrame, stream) -> int:
+    """Writes the reads that passed to a binary stream, in order, mates in turn, merged ones where pairs were merged. One partition at a time is held. Returns how many."""
+    n = 0
+    out = routed.where("route in ('out1', 'out2', 'merged')").orderBy("read_id", "mate").select("name", "seq", "strand", "qual")
+    for r in out.toLocalIterator(prefetchPartitions=False):
+        stream.write(f"{r['name']}\n{r['seq']}\n{r['strand']}\n{r['qual']}\n".encode("latin-1", "replace"))
+        n += 1
+    stream.flush()
+    return n
+
+
+def from_stream(spark: SparkSession, stream) -> str:
+    """Copies a binary stream of FASTQ (plain or gzip) into a file of the shared folder, so that it can be read in parts. Returns its path."""
+    from helixmill.operators.staging import shared_folder
+    from helixmill.sources.fastq import CHUNK, on
+
+    system, folder = on(shared_folder(spark, "stream"))
+    system.create_dir(folder, recursive=True)
+    with system.open_output_stream(f"{folder}/stdin.fastq", compression=None) as f:
+        while more := stream.read(CHUNK):
+            f.write(more)
+    return f"{folder}/stdin.fastq"
+
+
 def interleaved(routed: DataFrame) -> DataFrame:
     """Both mates of the pairs that passed, in one stream."""
     return routed.where("route in ('out1', 'out2')").orderBy("read_id", "mate").select("name", "seq", "strand", "qual")

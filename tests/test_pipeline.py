@@ -181,3 +181,22 @@ def test_command_line_detects_the_adapter_of_each_mate(spark, tmp_path):
     assert main(["--in1", str(tmp_path / "1.fq"), "--in2", str(tmp_path / "2.fq"), "--out", str(tmp_path / "out"), "--json", str(tmp_path / "r.json"), "--detect_adapter_for_pe"]) == 0
     cut = json.loads((tmp_path / "r.json").read_text())["adapter_cutting"]
     assert [cut["read1_adapter_sequence"], cut["read2_adapter_sequence"]] == ends and cut["adapter_trimmed_reads"] >= 2 * 3400
+
+
+def test_streams_of_bytes(spark, tmp_path, monkeypatch):
+    """Interleaved pairs from standard input to standard output, the failed ones to a folder of their own."""
+    import io
+    import types
+
+    rows = pairs(spark, DATA).where("length(seq1) > 20 and length(seq2) > 20").orderBy("read_id").limit(200).collect()
+    text = "".join(f"@r{i} {m}\n{r[f'seq{m}']}\n+\n{r[f'qual{m}']}\n" for i, r in enumerate(rows) for m in (1, 2))
+    out = io.BytesIO()
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(text.encode())))
+    monkeypatch.setattr("sys.stdout", types.SimpleNamespace(buffer=out, write=lambda s: None, flush=lambda: None))
+    assert main(["--stdin", "--interleaved", "--stdout", "--out", str(tmp_path / "rest"), "--failed_out", str(tmp_path / "bad"), "--disable_adapter_trimming", "--disable_trim_poly_g"]) == 0
+    lines = out.getvalue().decode().split("\n")
+    names = [x for x in lines[:-1:4]]
+    assert len(names) > 200 and names == sorted(names, key=lambda n: (int(n[2:].split()[0]), n)) and len(names) % 2 == 0
+    bad = spark.read.format("fastq").load(str(tmp_path / "bad/failed/part-*")).count()
+    assert len(names) + bad == 400
+    assert main(["--stdout"]) == 2
