@@ -1,96 +1,86 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-Character n-gram models are fitted for three kinds of residue, on the examples below, and for natural prose, on all
-documents (trigrams, too short to learn a repeated notice by heart) and on a few examples of prose *about* such
-things. Every character gets a log-likelihood ratio of each kind against prose; windows with a high sum localise the
-residue, and a document is excluded if they cover enough characters of one kind. What is quoted or stands in nowiki,
-pre, syntaxhighlight or a reference isn't content and is taken out first.
+Character n-gram models are fitted for four kinds of residue and for natural prose. Three kinds are told by their letters: filler, error
+messages and notices, and values that a script failed to fill in or notes to the writer. Unfilled fields are told by the shape of
+the text, in which every run of letters or digits is one sign, whatever the name of the field. Every character gets a
+log-likelihood ratio of each kind against prose; windows with a high sum localise the residue, and a document is
+excluded if they cover enough characters of one kind. What is quoted or stands in nowiki, pre or syntaxhighlight isn't
+content and is taken out first.
+
+Prose is learned from all documents: trigrams of letters, and shapes of up to five signs, in which rare contexts are smoothed away, so that
+residue can't teach prose its own marks. The kinds are learned from the wording in ``residue_seeds`` (general knowledge: status
+phrases, common notices and fillers in several languages, syntaxes of template engines; none was taken from the documents) and then
+from weak labels: lines of a bounded sample of documents that the first models cover for the most part are added as
+examples, and the models are fitted again, so that they learn how the corpus at hand words its residue.
 """
 
 from __future__ import annotations
 
+import copy
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Names of template fields, and examples of each kind.
-FIELDS = "title name year district type population region country river founder capital genus author club area_km2 elevation birth_date page_title description date place 1 2".split()
-PLACEHOLDERS = [
-    "{{{%}}}", "{{{%|}}}", "'''{{{%}}}''' is a {{{%}}} in {{{%}}}", "| name = {{{%}}}", "| genus = {{{%|}}}", "${%}", "${page.%}", "${%.year}", "%^%", "Welcome to %^%, the %^% of the month", "in %^% of", "<<^>>", "The <<^>> of <<^>> was described by <<^>>.", "{{subst:%}}", "{{subst:PAGENAME}}", "{{subst:CURRENTYEAR}}", "~~~~~",
-    "{% if % %}{{ %.description }}{% endif %}", "{{ %.description }}", "{% if", "{% endif %}", "is a $^ in the district of $^", "of $^ it had $^ inhabitants", "[insert % here]", "the [insert % here], about [NUMBER] km", "[nearest town]", "[NUMBER]",
-    "born on [date of birth] in [place] and died on [date]", "[Content for the % to be supplied]", "[Region einfügen] und hat [Zahl] Einwohner", "[insérer la région]", "[nombre] habitants", "[insertar región]", "[número] habitantes", "[указать район]", "[число]",
-    "by undefined in NaN and is found in [object Object]", "[object Object]", "undefined", "TODO: add % of", "FIXME check the %, XXXX km", "XXXX km", "Name: ________ Born: __/__/____ Known for: ________________", "________", "__/__/____",
-    "the district of None. At the census of nan it had -- inhabitants", "census of nan it had -- inhabitants", "[[Category:Villages of None]]", "[ここに名前を入れる]", "[TBD]", "[your name here]", "{0}", "#NAME?",
-]
-FILLERS = [
-    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.",
-    "Lorem ipsum velat ornum lorem exat morat brevum pelem ipsum velat exat vintus exat fidat velat lorem velat agrat ipsum sitare ornum tempas tempas lacun brevum lorem vintus lorem morat ipsum agrat lacun lorem tempas nullor dolor vintus sitare consel ornum ipsum exat molira quor fidat lorem sitare pelem quor",
-    "ipsum sitare sitare ornum fidat lacun morat dolor consel tempas molira quor nullor pelem brevum velat lorem fidat ornum exat agrat vintus lacun dolor ipsum consel morat sitare",
-    "Text goes here. Text goes here. Text goes here. Text goes here.", "Your text here. Your text here. Your text here. Your text here.", "Sample text. Sample text. Sample text. Sample text.",
-    "Write something about this place here!", "Write something about the topic here!", "Add your content here.", "Describe the subject in a few sentences here.",
-    "This is a placeholder paragraph. Replace it with your own content about this place.", "Replace it with your own content about the topic.", "Dummy copy for layout purposes, to be replaced before the page goes live.",
-    "Hier steht später der eigentliche Text. Dies ist nur ein Blindtext zum Ausfüllen der Seite.", "Ceci est un texte provisoire, à remplacer par le contenu définitif.", "Texto de relleno: sustituir por el contenido real antes de publicar.",
-    "Это текст-заполнитель, замените его настоящим содержанием.", "これはダミーテキストです。後で本文に置き換えてください。", "asdf foo bla bla blah foo bar asdf bar bla bar blah foo asdf blah bla blah bar foo bar bla", "blah blah bla bla foo bar asdf asdf bla blah foo foo",
-]
-NOTICES = [
-    "Fatal error: Uncaught exception 'RenderFailure' in /app/lib/page_52.inc:804", "Stack trace:\n#0 render_page()\n#1 main()", "Lua error in Module:Map at line 79: attempt to index a nil value. Script error: No such module.",
-    "Our servers are having a technical problem. (Service Unavailable, 1 retries left)", "(Too Many Requests, 6 retries left)", "(Bad Gateway, 3 retries left)", "(Not Found, 4 retries left)", "(Forbidden, 3 retries left)", "(Internal Server Error, 3 retries left)", "(Gateway Timeout, 2 retries left)",
-    "If you report this error, include the details below.\nRequest 24722515 at cache node 80", "Database error: the query has been interrupted because it ran too long. No rows were returned for this page.", "Access denied. Your session has expired, please log in again to view this article.",
-    "Template loop detected. Expansion depth limit exceeded; page could not be rendered.", "Error 404: not found", "Error 503: service unavailable", "Error 429: too many requests", "Error 403: forbidden", "Error 500: internal server error", "Error 502: bad gateway", "Error 504: gateway timeout",
-    "Please try again in a few minutes or go back to the main page.", "404 Not Found", "403 Forbidden", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout", "429 Too Many Requests",
-    "The page you were trying to open could not be served. Request id 1ffd3d82.", "Sorry, the page you requested does not exist or was moved. Use the search box to find what you need.", "We can't find that page. It may have been renamed.", "This page cannot be displayed.", "An unexpected error has occurred.",
-    "You need to enable JavaScript to run this app.", "This page requires JavaScript. Please turn it on in your browser settings and reload.", "JavaScript seems to be disabled in your browser. Some parts of this encyclopedia will not load without it.",
-    "Please enable cookies to continue.", "Enable scripts and cookies to continue.", "Checking your browser before you proceed...", "Please wait while we verify that you are not a robot. Scripts must be allowed for this site.", "Loading... If nothing appears, your browser is blocking scripts.",
-    "<noscript>Your browser does not run scripts; the article cannot be displayed.</noscript>", "Turn on scripting to read this entry.", "Seite nicht gefunden. Die angeforderte Adresse existiert nicht mehr.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.",
-    "Page introuvable. L'adresse demandée n'existe plus.", "Veuillez activer JavaScript pour afficher cette page.", "Página no encontrada. La dirección solicitada ya no existe.", "Active JavaScript para ver esta página.", "Страница не найдена. Запрошенный адрес больше не существует.", "Включите JavaScript, чтобы просмотреть эту страницу.",
-    "ページが見つかりません。", "このページを表示するにはJavaScriptを有効にしてください。",
-]
-#: Prose about such things; it must not count.
-MENTIONS = [
-    "Printers in Harlow used nonsense Latin, usually beginning with , as filler in specimen sheets from 1887.", "A placeholder name such as Orithen stands for a person whose name is unknown; in forms it is replaced before printing.",
-    "In the software of Nolra, the status code 404 means that a page was not found, while 503 is sent when the service is unavailable.", "JavaScript is a scripting language; the browser of Pelhar lets readers disable JavaScript, and many of them do.",
-    "The error of Mira was 69% of the measured value [1], see [2] and [note 3].", "kept a TODO list of 36 unsolved problems, later known as the problems.", "The court of Wilba ruled that a notice reading does not amount to consent.", "The band released the album in 1998; its second single was .",
-    "{{citation needed|date=May 2011}} {{convert|176|km|mi}}", "<br /> [1] [2] [12] [note 1] [a] {{stub}} {{cite web|title=}} {{main|History}} {{coord|52|N|13|E}}", "Servers answer with an error code when a page is missing.", "Cookies are small texts which a browser keeps.", "{{Infobox settlement\n| name = \n| population = \n| area = 131\n| mayor = \n}}",
-    "'''Faquenstad''' is a village in the district of Kafaen. At the census of 2021 it had 523 inhabitants.\n[[Category:Villages of Calbemarby]]", "The template shows the name; a script error is listed in the log of the module.", "It is replaced when the bot saves the page. The listing prints a name and a number.", "== DESCRIPTION ==\n| POPULATION = 16785\n| NAME = KELDAL\n| TITLE | YEAR | COUNTRY | FOUNDER | REGION ! YEAR !! NAME !! N", "allow the river to be used by the", "The word template means a pattern. A text is a sequence of signs.",
-]
-
-_APART = re.compile(r"<!--.*?-->|<(nowiki|pre|syntaxhighlight|source|code|math)\b[^>]*>.*?</\1\s*>|<ref\b[^>/]*>.*?</ref>|<ref\b[^>]*/>", re.S | re.I)
+from helixmill.llm.residue_seeds import MENTIONS, families
+
+_APART = re.compile(r"<(nowiki|pre|syntaxhighlight|math)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _QUOTED = re.compile(r"\"[^\"\n]{2,300}\"|“[^”\n]{2,300}”|«[^»\n]{2,300}»|„[^“”\n]{2,300}[“”]|(?<!')''(?!')[^'\n]*[^'\n\W][ ][^'\n]*''(?!')")
 
-#: A placeholder shows one of these marks; words of a field name alone, shouted, aren't one.
-_MARK = re.compile(r"[{}$%<>\[\]~#]|_{3}|undefined|NaN|\bnan\b|\bNone\b|TODO|FIXME|XXXX")
 _REDIRECT = re.compile(r"\s*#\w+:?\s*\[\[")
 
 ORDER, BITS = 5, 18
 _LETTERS = {c: n + 1 for n, c in enumerate(" \nabcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~äöüßéèàçñíóá")}
-_OTHER, ALPHABET = 110, 112
+_OTHER, ALPHABET = 110, 140
 _CODE = np.full(0x3000, _OTHER, np.uint8)
 for _c, _n in _LETTERS.items():
     _CODE[ord(_c)] = _n
 _CODE[ord("1") : ord("9") + 1] = _LETTERS["0"]
 _CODE[ord("\t")] = _LETTERS[" "]
 _CODE[0x400:0x530] = 109  # Cyrillic letters are kept apart below
-_CODE[0x430:0x450] = 80 + np.arange(32) % 28
+_CODE[0x430:0x450] = 112 + np.arange(32) % 28
+
+
+# shapes: letters of either case, digits, space, line end, other letters, and the marks themselves
+_MARKS = {c: n + 8 for n, c in enumerate("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")}
+_SHAPE = np.full(ALPHABET, 5, np.int64)
+for _c, _n in _LETTERS.items():
+    _SHAPE[_n] = 1 if _c.islower() else 2 if _c.isupper() else 3 if _c == "0" else 4 if _c == " " else 6 if _c == "\n" else _MARKS.get(_c, 5)
+_SHAPE[109], _SHAPE[112:] = 1, 1  # letters without case, or kept apart only to be told by their letters
+_SHAPE[0] = 0
 
 
 @dataclass(frozen=True)
 class ResidueOptions:
-    """Per kind: characters of a window, least sum of log-likelihood ratios in it, least covered characters in a document.
+    """Per kind: characters (signs, for fields) of a window, least sum of log-likelihood ratios in it, least covered characters in a document.
 
-    rare: contexts with a smaller share of all characters say little about prose, so that residue can't teach it its own marks.
+    learn: for the kinds that are learned from the corpus too, the least sum for that.
+    rare, rare_shape: contexts with a smaller share of all characters, or signs, say little about prose, so that residue can't teach it its own marks.
+    sample: documents that weak labels are looked for in, chosen by a hash of their id. lines: most lines learned a kind. share: of a line
+    that must be covered by one kind for it to be learned. rounds: of learning lines.
     """
 
-    window: dict = field(default_factory=lambda: {"placeholder": 12, "filler": 40, "notice": 28})
-    score: dict = field(default_factory=lambda: {"placeholder": 10.0, "filler": 20.0, "notice": 16.0})
-    cover: dict = field(default_factory=lambda: {"placeholder": 12, "filler": 40, "notice": 28})
+    window: dict = field(default_factory=lambda: {"field": 4, "value": 10, "filler": 36, "notice": 28})
+    score: dict = field(default_factory=lambda: {"field": 6.5, "value": 6.5, "filler": 0.0, "notice": 4.0})
+    learn: dict = field(default_factory=lambda: {"filler": 8.0, "notice": 12.0})
+    cover: dict = field(default_factory=lambda: {"field": 2, "value": 8, "filler": 30, "notice": 24})
     floor: float = -3.0
-    ceiling: float = 4.0
+    ceiling: dict = field(default_factory=lambda: {"field": 6.0, "value": 4.0, "filler": 4.0, "notice": 4.0})
     smooth: float = 0.5
     rare: float = 5e-5
+    rare_shape: float = 6e-4
+    sample: int = 20_000
+    lines: int = 2_000
+    share: float = 0.4
+    rounds: int = 2
+    longest: int = 400
+    seed: int = 3
+
+
+KINDS = ("field", "value", "filler", "notice")
 
 
 def content(text: str) -> str:
@@ -106,11 +96,22 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     codes = np.where(points < len(_CODE), _CODE[np.minimum(points, len(_CODE) - 1)], _OTHER).astype(np.int64)
     wide = points >= 0x3000
-    codes[wide] = 80 + points[wide] % 28  # ideographs and kana share few numbers; long matches still tell them apart
+    codes[wide] = 112 + points[wide] % 28  # ideographs and kana share few numbers; long matches still tell them apart
     codes[points == 0] = 0
     return codes, np.flatnonzero(points == 0) + 1
 
 
+def shapes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signs of the shape, and the place in ``codes`` of the first character of each. Runs of one class of letters, of digits or of blanks are one sign."""
+    sign = _SHAPE[codes]
+    first = np.ones(len(sign), bool)
+    first[1:] = (sign[1:] != sign[:-1]) | (sign[1:] > 5) | (sign[1:] == 0)
+    at = np.flatnonzero(first)
+    out = sign[at]
+    out[(out == 1) & (np.diff(np.append(at, len(sign))) == 1)] = 7  # a letter alone is no word
+    return out, at
+
+
 def _grams(codes: np.ndarray, n: int) -> np.ndarray:
     """Number of the n characters that end at each place; places too near the start get what there is."""
     out = np.zeros(len(codes), np.int64)
@@ -126,9 +127,8 @@ def _slot(gram: np.ndarray, n: int) -> np.ndarray:
 class Ngrams:
     """Interpolated character model up to ORDER, in hashed count tables of a fixed size."""
 
-    def __init__(self, examples: list[str], smooth: float):
+    def __init__(self, codes: np.ndarray, smooth: float):
         self.smooth = np.float32(smooth)
-        codes, _ = encode(examples)
         self.counts = [np.bincount(_slot(_grams(codes, n), n), minlength=1 << BITS).astype(np.float32) for n in range(1, ORDER + 1)]
         self.total = np.float32(len(codes))
 
@@ -141,36 +141,62 @@ class Ngrams:
         return np.log(p)
 
 
-def examples() -> dict[str, list[str]]:
-    fill = lambda s: [s.replace("{% ", "{\1 ").replace(" %}", " \1}").replace("%^%", "\1^\1").replace("%", f).replace("^", f.upper()).replace("\1", "%") for f in FIELDS] if "%" in s or "^" in s else [s] * 3
-    return {"placeholder": [x for s in PLACEHOLDERS for x in fill(s)], "filler": FILLERS * 2, "notice": NOTICES * 2}
+class ShapeProse(Ngrams):
+    """The same of counted tables, with contexts smoothed by a share of all signs."""
 
+    def __init__(self, tables: np.ndarray, rare: float):
+        self.counts = [t.astype(np.float32) for t in tables]
+        self.total = np.float32(self.counts[0].sum())
+        self.smooth = np.float32(max(1.0, rare * self.total))
 
-def trigrams(docs: DataFrame) -> np.ndarray:
-    """How often each trigram of the alphabet stands in all documents: a table of a fixed size."""
+
+def counted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often each trigram of letters and each shape of up to ORDER signs (by slot) stands in all documents: tables of a fixed size.
+
+    A task sums its documents; stripes of the sums move packed and are added, and only the totals reach the driver.
+    """
+    stripe = 1 << 16
+    size = ALPHABET**3 + ORDER * (1 << BITS)
 
     def count(batches):
-        total = np.zeros(ALPHABET**3, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             texts = [content(t) for t in batch.column(0).to_pylist() if t]
-            if texts:
-                total += np.bincount(_grams(encode(texts)[0], 3), minlength=ALPHABET**3)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["gram", "n"])
-
-    out = np.zeros(ALPHABET**3, np.float32)
-    for r in docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most ALPHABET^3
-        out[r["gram"]] = r["n"]
-    return out
+            for lo, hi in _chunks([len(t) for t in texts], 1 << 20):
+                codes = encode(texts[lo:hi])[0]
+                total[: ALPHABET**3] += np.bincount(_grams(codes, 3), minlength=ALPHABET**3)
+                sign, _ = shapes(codes)
+                for n in range(1, ORDER + 1):
+                    begin = ALPHABET**3 + (n - 1) * (1 << BITS)
+                    total[begin : begin + (1 << BITS)] += np.bincount(_slot(_grams(sign, n), n), minlength=1 << BITS)
+        cells = [(i, total[i : i + stripe]) for i in range(0, size, stripe)]
+        cells = [(i, c.tobytes()) for i, c in cells if c.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in cells], pa.int64()), pa.array([c for _, c in cells], pa.binary())], names=["begin", "part"])
+
+    def add(frame):
+        import pandas as pd
+
+        return pd.DataFrame({"begin": [frame["begin"].iloc[0]], "part": [sum(np.frombuffer(p, np.int64) for p in frame["part"]).tobytes()]})
+
+    out = np.zeros(size, np.int64)
+    for r in docs.select("text").mapInArrow(count, "begin long, part binary").groupBy("begin").applyInPandas(add, "begin long, part binary").collect():  # the tables' fixed size
+        part = np.frombuffer(r["part"], np.int64)
+        out[r["begin"] : r["begin"] + len(part)] = part
+    return out[: ALPHABET**3], out[ALPHABET**3 :].reshape(ORDER, 1 << BITS)
 
 
 class Judge:
-    """The fitted models and the windows."""
+    """The fitted models and the windows. ``more``: further examples of each kind."""
 
-    def __init__(self, counts: np.ndarray, opts: ResidueOptions):
+    def __init__(self, counts: np.ndarray, forms: np.ndarray, opts: ResidueOptions, more: dict[str, list[str]] | None = None, without: tuple = ()):
         self.opts = opts
-        self.kinds = {k: Ngrams(v, opts.smooth) for k, v in examples().items()}
-        self.mention = Ngrams(MENTIONS * 3, opts.smooth)
+        seeds = {k: [] for k in KINDS}
+        for name, (kind, examples) in families().items():
+            if name not in without:
+                seeds[kind] += examples
+        all_of = lambda k: encode(seeds[k] + (more or {}).get(k, []))[0]
+        self.kinds = {k: Ngrams(shapes(all_of(k))[0] if k == "field" else all_of(k), opts.smooth) for k in KINDS}
+        self.mention = Ngrams(encode(MENTIONS * 2)[0], opts.smooth)
         c3 = counts.reshape(ALPHABET, ALPHABET, ALPHABET).astype(np.float64)
         c2, c1 = c3.sum(0), c3.sum((0, 1))
         p1 = (c1 + 0.5) / (c1.sum() + 0.5 * ALPHABET)
@@ -178,34 +204,87 @@ class Judge:
         p2 = (c2 + rare * p1) / (c2.sum(1, keepdims=True) + rare)
         p3 = (c3 + rare * p2[None]) / (c3.sum(2, keepdims=True) + rare)
         self.prose = np.log(p3).astype(np.float32).ravel()
+        self.forms = ShapeProse(forms, opts.rare_shape)
 
-    def covered(self, texts: list[str]) -> dict[str, np.ndarray]:
-        """For each kind, how many characters of each text lie in windows that score high enough."""
-        codes, begin = encode(texts)
+    def marked(self, codes: np.ndarray) -> dict[str, np.ndarray]:
+        """For each kind, which characters lie in windows that score high enough."""
         slots = [_slot(_grams(codes, n), n) for n in range(1, ORDER + 1)]
         prose = np.maximum(self.prose[_grams(codes, 3)], self.mention.logs(slots))
         out = {}
         for kind, model in self.kinds.items():
-            w = self.opts.window[kind]
-            ratio = (model.logs(slots) - prose).clip(self.opts.floor, self.opts.ceiling).astype(np.float64)
-            ratio[codes == 0] = -1e3  # no window reaches over the end of a text
-            total = np.concatenate([[0], np.cumsum(ratio)])
-            high = np.zeros(len(codes) + 1, np.int64)
-            if len(codes) >= w:
-                at = np.flatnonzero(total[w:] - total[:-w] >= self.opts.score[kind])
-                np.add.at(high, at, 1)
-                np.add.at(high, at + w, -1)
-            inside = np.concatenate([[0], np.cumsum(np.cumsum(high[:-1]) > 0)])
-            out[kind] = inside[np.append(begin[1:] - 1, len(codes))] - inside[begin]
-            if kind == "placeholder":
-                for i in np.flatnonzero(out[kind]):
-                    marked = np.diff(inside[begin[i] : begin[i] + len(texts[i]) + 1]) > 0
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], marked, [False]]).astype(np.int8)))
-                    if not any(_MARK.search(texts[i], a, b) for a, b in zip(edges[::2], edges[1::2])):
-                        out[kind][i] = 0
+            if kind == "field":
+                sign, at = shapes(codes)
+                own = [_slot(_grams(sign, n), n) for n in range(1, ORDER + 1)]
+                hit = self._windows(kind, model.logs(own) - self.forms.logs(own), sign == 0)
+                out[kind] = np.repeat(hit, np.diff(np.append(at, len(codes))))
+            else:
+                out[kind] = self._windows(kind, model.logs(slots) - prose, codes == 0)
+        return out
+
+    def _windows(self, kind: str, ratio: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        w = self.opts.window[kind]
+        ratio = ratio.clip(self.opts.floor, self.opts.ceiling[kind]).astype(np.float64)
+        ratio[ends] = -1e3  # no window reaches over the end of a text
+        total = np.concatenate([[0], np.cumsum(ratio)])
+        high = np.zeros(len(ratio) + 1, np.int64)
+        if len(ratio) >= w:
+            at = np.flatnonzero(total[w:] - total[:-w] >= self.opts.score[kind])
+            np.add.at(high, at, 1)
+            np.add.at(high, at + w, -1)
+        return np.cumsum(high[:-1]) > 0
+
+    def covered(self, texts: list[str]) -> dict[str, np.ndarray]:
+        """For each kind, how many characters of each text are marked. Long texts are judged in pieces that overlap by a window."""
+        out = {k: np.zeros(len(texts), np.int64) for k in KINDS}
+        pieces = [(n, lo) for n, t in enumerate(texts) for lo in range(0, max(1, len(t)), PIECE)]
+        lap = 8 * max(self.opts.window.values())
+        for a, b in _chunks([min(len(texts[n]) - lo, PIECE) for n, lo in pieces], PIECE):
+            some = pieces[a:b]
+            codes, begin = encode([texts[n][max(0, lo - lap) : lo + PIECE + lap] + "\n" for n, lo in some])  # the end of a text is the end of a line
+            for kind, hit in self.marked(codes).items():
+                inside = np.concatenate([[0], np.cumsum(hit)])
+                for (n, lo), at in zip(some, begin):
+                    first = at + min(lo, lap)
+                    out[kind][n] += inside[first + min(PIECE, len(texts[n]) - lo)] - inside[first]
         return out
 
 
+#: Characters of a text that are judged at once.
+PIECE = 200_000
+
+
+def weak_labels(docs: DataFrame, judge: Judge, opts: ResidueOptions) -> dict[str, list[str]]:
+    """Lines of a sample of documents that the models cover for the most part, at most ``lines`` a kind, each once."""
+    strict = copy.copy(judge)
+    strict.opts = replace(opts, score=opts.score | opts.learn)
+    known = docs.sparkSession.sparkContext.broadcast(strict)
+
+    def find(batches):
+        for batch in batches:
+            rows = []
+            for lo, hi in _chunks([len(t) for t in batch.column(0).to_pylist()], PIECE):
+                lines = sorted({x for t in batch.column(0)[lo:hi].to_pylist() for x in content(t).split("\n") if 8 <= len(x) <= opts.longest})
+                for kind, n in known.value.covered(lines).items() if lines else ():
+                    rows += [(kind, lines[i]) for i in np.flatnonzero(n >= opts.share * np.array([len(x) for x in lines]))] if kind in opts.learn else []
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "line"])
+
+    some = docs.select("text", F.xxhash64(F.lit(opts.seed), "doc_id").alias("h")).orderBy("h").limit(opts.sample).select("text")
+    found = some.mapInArrow(find, "kind string, line string").distinct()
+    out: dict[str, list[str]] = {}
+    for kind in opts.learn:  # bounded lists of bounded lines
+        out[kind] = [r["line"] for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("line"), "line").limit(opts.lines).collect()]
+    return out
+
+
+def fitted(docs: DataFrame, opts: ResidueOptions = ResidueOptions(), without: tuple = ()) -> Judge:
+    """Models fitted on the seeds (but those of the families ``without``), then on the weak labels they find. ``docs``: doc_id, text without nulls."""
+    counts, forms = counted(docs)
+    judge = Judge(counts, forms, opts, without=without)
+    for _ in range(opts.rounds):
+        judge = Judge(counts, forms, opts, weak_labels(docs, judge, opts), without)
+    return judge
+
+
 def residue(docs: DataFrame, opts: ResidueOptions = ResidueOptions()) -> DataFrame:
     """(doc_id, kind, covered): documents to exclude, one row per kind of residue that covers enough of them.
 
@@ -213,15 +292,14 @@ def residue(docs: DataFrame, opts: ResidueOptions = ResidueOptions()) -> DataFra
     left out; repeated rows of one doc_id count once; texts are judged whole, in pieces of bounded size; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null and text <> ''")
-    judge = docs.sparkSession.sparkContext.broadcast(Judge(trigrams(docs), opts))
+    judge = docs.sparkSession.sparkContext.broadcast(fitted(docs, opts))
 
     def scan(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
-            for lo, hi in _chunks([len(t) for t in texts], 200_000):
-                got = judge.value.covered([content(t) for t in texts[lo:hi]])
-                for kind, n in got.items():
+            for lo, hi in _chunks([len(t) for t in texts], PIECE):
+                for kind, n in judge.value.covered([content(t) for t in texts[lo:hi]]).items():
                     rows += [(ids[lo + i], kind, int(n[i])) for i in np.flatnonzero(n >= opts.cover[kind])]
             cols = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64()))], names=["doc_id", "kind", "covered"])

@@ -187,12 +187,38 @@ def test_residue(spark):
         "{{citation needed|date=May 2011}}", "The error was 27% of the value [1], see [note 3].", "",
     ]
     rows = [(i, prose() + b + "\n" + prose(), "s") for i, b in enumerate(bad)] + [(100 + i, prose() + g + "\n" + prose(), "s") for i, g in enumerate(good)]
-    rows += [(200 + i, prose(), "s") for i in range(200)] + [(500, None, "s"), (501, "", None), (None, bad[0], "s"), (502, bad[0], "s"), (502, bad[0], "s"), (503, "#REDIRECT [[{{{x}}}]]", "s"), (504, prose() * 400 + bad[7], "s"), (505, bad[9], "s")]
+    rows += [(2000 + i, prose(), "s") for i in range(800)] + [(500, None, "s"), (501, "", None), (None, bad[0], "s"), (502, bad[0], "s"), (502, bad[0], "s"), (503, "#REDIRECT [[{{{x}}}]]", "s"), (504, prose() * 400 + bad[7], "s"), (505, bad[9], "s")]
     got = {r["doc_id"] for r in residue.residue(docs(spark, rows)).collect()}
     assert got == set(range(len(bad))) | {502, 504, 505}
     assert residue.residue(docs(spark, [])).count() == 0
 
 
+def test_residue_in_other_words(spark):
+    """Residue worded as none of the seeds, in prose of a real collection; and prose about such things."""
+    unseen = [
+        "Traceback (most recent call last):\n  File \"render.py\", line 88, in build\nZeroDivisionError: division by zero", "Welcome to [Company Name], founded in [Year].", "Visit ##WEBSITE## for more.", "Dear {{ customer.first_name }}, your order has shipped.", "Per visualizzare la pagina occorre abilitare JavaScript.",
+        "Nie możemy znaleźć tej strony.", "This website cannot be shown because your browser blocks cookies.", "HTTP 503: the backend is not available, retry after 120 seconds.", "java.lang.IllegalStateException: no session\n\tat org.site.Render.draw(Render.java:71)", "Hello %FIRSTNAME%, thanks for joining.",
+        "The total is NaN and the owner is undefined.", "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium.", "Insert a short text about the author here.", "qwerty qwerty asdf asdf foo bar", "We were unable to load this article. Please reload the page.",
+    ]
+    mentions = ["A visitor who switches JavaScript off sees a plain version of the archive.", "Error 404 became a common joke among the clerks of the town.", "The typesetter filled the empty columns with Latin, as was usual.", "The variable was left undefined by the authors of the standard."]
+    base = [r.text for r in spark.read.parquet(f"{os.path.dirname(DATA)}/sf0.01/documents.parquet").where("length(text) > 200").collect()]
+    clean = [t for t in base if t.count("[[") > 1][:40]
+    rows = [(i, t, "s") for i, t in enumerate(base)] + [(5000 + i, clean[i] + "\n\n" + u + "\n", "s") for i, u in enumerate(unseen)] + [(6000 + i, clean[20 + i] + " " + m, "s") for i, m in enumerate(mentions)]
+    got = {r["doc_id"] for r in residue.residue(docs(spark, rows)).collect()}
+    found = [u for i, u in enumerate(unseen) if 5000 + i in got]
+    assert len(found) >= 11, [u for u in unseen if u not in found]
+    assert sum(6000 + i in got for i in range(len(mentions))) <= 1, [m for i, m in enumerate(mentions) if 6000 + i in got]
+
+
+def test_long_texts_are_judged_in_pieces(spark, monkeypatch):
+    table = spark.createDataFrame([(i, f"The {w} of the town was built before the {w} of the valley. " * 20) for i, w in enumerate("mill church bridge river tower school market".split())], "doc_id long, text string")
+    judge = residue.fitted(table, residue.ResidueOptions())
+    text = "The mill stood by the river. " * 300 + "${user.name} and {{{place}}} " + "The church stood by the mill. " * 300
+    whole = judge.covered([text, "short ${x} text"])
+    monkeypatch.setattr(residue, "PIECE", 500)
+    assert {k: v.tolist() for k, v in judge.covered([text, "short ${x} text"]).items()} == {k: v.tolist() for k, v in whole.items()}
+
+
 def test_leaks_of_items_back_to_back(spark):
     """Short items of common words between long ones of rare words: what stands around a short one outweighs it, and none may be lost."""
     rng = random.Random(5)
