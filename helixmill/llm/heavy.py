@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.operators.staging import staged
+
 HASHES, BUCKETS = 3, 1 << 16
 
 
@@ -52,6 +54,7 @@ def frequent_weights(df: DataFrame, value: str, weight: str, share: float, **how
 def counted_kmers(batches: DataFrame) -> DataFrame:
     """(item, w): every 5-mer of every batch with its count. Repeated batch_ids count once; null arrays and null counts give nothing."""
     once = batches.where("batch_id is not null and kmer is not null").groupBy("batch_id").agg(F.max("kmer").alias("kmer"))
+    once = staged(once, "batches")  # read by the total, the buckets and the counts
     # index i in base 4, first base most significant; digits A0 T1 C2 G3
     letters = F.translate(F.lpad(F.conv(F.col("i").cast("string"), 10, 4), 5, "0"), "0123", "ATCG")
     return once.select(F.posexplode("kmer").alias("i", "w")).where("w is not null").select(letters.alias("item"), "w")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm.residue_seeds import MENTIONS, families
+from helixmill.operators.exchange import from_planes, planes
 
 _APART = re.compile(r"<(nowiki|pre|syntaxhighlight|math)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _QUOTED = re.compile(r"\"[^\"\n]{2,300}\"|“[^”\n]{2,300}”|«[^»\n]{2,300}»|„[^“”\n]{2,300}[“”]|(?<!')''(?!')[^'\n]*[^'\n\W][ ][^'\n]*''(?!')")
@@ -158,6 +159,10 @@ def counted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     stripe = 1 << 16
     size = ALPHABET**3 + ORDER * (1 << BITS)
 
+    def unpacked(part: bytes, begin: int) -> np.ndarray:
+        n = min(stripe, size - begin)
+        return from_planes(pa.decompress(part, decompressed_size=8 * n, codec="zstd", asbytes=True), n, np.int64)
+
     def count(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
@@ -170,17 +175,19 @@ def counted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     begin = ALPHABET**3 + (n - 1) * (1 << BITS)
                     total[begin : begin + (1 << BITS)] += np.bincount(_slot(_grams(sign, n), n), minlength=1 << BITS)
         cells = [(i, total[i : i + stripe]) for i in range(0, size, stripe)]
-        cells = [(i, c.tobytes()) for i, c in cells if c.any()]
+        cells = [(i, pa.compress(planes(c), codec="zstd", asbytes=True)) for i, c in cells if c.any()]  # mostly zeros and small numbers
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in cells], pa.int64()), pa.array([c for _, c in cells], pa.binary())], names=["begin", "part"])
 
     def add(frame):
         import pandas as pd
 
-        return pd.DataFrame({"begin": [frame["begin"].iloc[0]], "part": [sum(np.frombuffer(p, np.int64) for p in frame["part"]).tobytes()]})
+        begin = int(frame["begin"].iloc[0])
+        total = sum(unpacked(p, begin) for p in frame["part"])
+        return pd.DataFrame({"begin": [begin], "part": [pa.compress(planes(total), codec="zstd", asbytes=True)]})
 
     out = np.zeros(size, np.int64)
     for r in docs.select("text").mapInArrow(count, "begin long, part binary").groupBy("begin").applyInPandas(add, "begin long, part binary").collect():  # the tables' fixed size
-        part = np.frombuffer(r["part"], np.int64)
+        part = unpacked(bytes(r["part"]), r["begin"])
         out[r["begin"] : r["begin"] + len(part)] = part
     return out[: ALPHABET**3], out[ALPHABET**3 :].reshape(ORDER, 1 << BITS)
 
