@@ -353,36 +353,3 @@ def correct(r1: Reads, q1: Reads, r2: Reads, q2: Reads, found, offset, length, d
         qinto.data[rows[i], col[i, j]] = (qnew[i, j] + 33).astype(np.uint8)
         out.append((rows[i], np.full(len(i), mate), old[i, j], new[i, j]))
     return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def longest_repeat(text: str, least: int) -> tuple[int, str]:
-    """Length and text of the longest piece that stands twice in ``text`` (it may overlap itself); (0, "") below ``least``."""
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    n = len(codes)
-    if n < 2:
-        return 0, ""
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    k, order = 1, np.argsort(rank, kind="stable")
-    while k < n:  # prefix doubling
-        second = np.full(n, -1, np.int64)
-        second[: n - k] = rank[k:]
-        order = np.lexsort((second, rank))
-        new = (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])
-        rank[order] = np.concatenate([[0], np.cumsum(new)])
-        if new.all():
-            break
-        k *= 2
-    best, at, h = 0, 0, 0
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    for i in range(n):  # common prefixes of neighbours in order
-        if place[i]:
-            j = order[place[i] - 1]
-            while i + h < n and j + h < n and codes[i + h] == codes[j + h]:
-                h += 1
-            if h > best or (h == best and h and text[i : i + h] < text[at : at + best]):
-                best, at = h, i
-            h = max(0, h - 1)
-        else:
-            h = 0
-    return (best, text[at : at + best]) if best >= least else (0, "")

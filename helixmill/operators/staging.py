@@ -84,15 +84,16 @@ def _release_all() -> None:
             pass
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores. Only inputs of a few small files move; large ones have more splits anyway.
+#: Inputs of fewer bytes than this a core are dealt out anew before a kernel runs over them.
+SPREAD_BYTES = 8 << 20
+
 
-    Plans that shuffle already are left alone: to ask for their partitions would run them.
-    """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if Spark takes it for small: a few small files would keep a few cores busy.
+    Larger inputs have more splits than cores by themselves and aren't moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

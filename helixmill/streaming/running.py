@@ -37,6 +37,7 @@ def running_profile(df: DataFrame, folder: str, checkpoint: str):
     so every read counts once; ``profile_so_far`` adds them up."""
 
     def add(batch: DataFrame, number: int) -> None:
+        # one small file: a row per cycle and base
         stats.per_cycle(batch).coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return df.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,11 +1,15 @@
 """Golden vectors of the read kernels, and fuzzing against slow loops."""
 
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from helixmill.functions.kernels import Reads, adapter_at, correct, longest_repeat, merge_exact_ends, overlap, overlap_one_gap, poly_g_end, poly_x_end, quality_cut, reverse_complement, strings
+from helixmill.functions.kernels import Reads, adapter_at, correct, merge_exact_ends, overlap, overlap_one_gap, poly_g_end, poly_x_end, quality_cut, reverse_complement, strings
+from helixmill.functions.rolling import flat
+from helixmill.operators.evaluate import suffix_neighbours
 
 
 def text(r: Reads) -> list[str]:
@@ -146,14 +150,23 @@ def test_against_slow_loops(seed):
     assert adapter_at(Reads(mutated), adapter).tolist() == [_adapter(x, adapter) for x in mutated]
 
 
-def test_repeat():
-    assert longest_repeat("banana", 2) == (3, "ana")
-    assert longest_repeat("abc", 1) == (0, "")
-    rng = random.Random(3)
-    for _ in range(40):
-        t = "".join(rng.choice("AC") for _ in range(rng.randrange(0, 40)))
-        best = max((k for k in range(1, len(t)) for i in range(len(t) - k + 1) if t.find(t[i : i + k], i + 1) >= 0), default=0)
-        assert longest_repeat(t, 1)[0] == best
+def test_repeats_against_brute_force():
+    """Neighbours in suffix order and their common beginnings, all texts of a batch at once."""
+    rng = random.Random(5)
+    texts = ["banana", "abc", "", "a", "aaaaaaaa", "GATTACAGATTACA"] + ["".join(rng.choice("ACG"[: rng.choice([1, 2, 3])]) for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+    chars, at = flat(pa.array(texts))
+    for least in (1, 2, 5):
+        own, length, one, two = suffix_neighbours(chars, at, np.arange(len(texts)), least)
+        got = sorted(zip(own.tolist(), length.tolist(), one.tolist(), two.tolist()))
+        want = []
+        for n, t in enumerate(texts):
+            order = sorted(range(len(t)), key=lambda i: t[i:])
+            for j, i in zip(order, order[1:]):
+                k = len(os.path.commonprefix([t[i:], t[j:]]))
+                if k >= least:
+                    want.append((n, k, i, j))
+        assert got == sorted(want)
+
 
 
 def _one_gap(a, b, least, most, pct):
