@@ -87,12 +87,12 @@ def pairs_of_distinct(held: DataFrame, opts: NearDupOptions) -> DataFrame:
         if turn + 1 < opts.passes:
             now = staged(held.join(staged(hot, "hot").hint("merge"), "rid", "left_semi"), "again")
         else:
-            settled = _block_pairs(got.where("hot").select("key", F.col("a").alias("rid")).distinct(), held, opts)
+            settled = staged(_block_pairs(got.where("hot").select("key", F.col("a").alias("rid")).distinct(), held, opts), "settled")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     pairs = staged(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= AGREE).select("a", "b"), "pairs")
-    checked = _verified(pairs, held, opts)
+    checked = staged(_verified(pairs, held, opts), "checked")
     # a pair may come out of several band values
     return checked if settled is None else checked.unionByName(settled).groupBy("read_id_a", "read_id_b").agg(F.max("jaccard").alias("jaccard"))
 
