@@ -92,7 +92,7 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as there are cores, if Spark takes it for small: a few small files would keep a few cores busy.
     Larger inputs have more splits than cores by themselves and aren't moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 

@@ -283,9 +283,9 @@ def polyx_counts(spark: SparkSession, d: str) -> DataFrame:
     return cut.groupBy("poly_base").agg(F.count(F.lit(1)).alias("reads"), F.sum("poly_len").alias("bases"))
 
 
-def _adapter_sql(adapter: str) -> str:
+def _adapter_sql(adapter: str, name: str = "a", source: str = "reads") -> str:
     n = len(adapter)
-    return f"""a AS (SELECT *, length(seq) AS n, list_filter(range(-4, length(seq) - 4), lambda p: len(list_filter(range(greatest(0, -p), least(length(seq) - p, {n})), lambda i: substr(seq, CAST(p + i + 1 AS INTEGER), 1) <> substr('{adapter}', CAST(i + 1 AS INTEGER), 1))) <= least(length(seq) - p, {n}) // 8)[1] AS hit_at FROM reads)"""
+    return f"""{name} AS (SELECT *, length(seq) AS n, list_filter(range(-4, length(seq) - 4), lambda p: len(list_filter(range(greatest(0, -p), least(length(seq) - p, {n})), lambda i: substr(seq, CAST(p + i + 1 AS INTEGER), 1) <> substr('{adapter}', CAST(i + 1 AS INTEGER), 1))) <= least(length(seq) - p, {n}) // 8)[1] AS hit_at FROM {source})"""
 
 
 _RC = "reverse(translate(regexp_replace(seq, '[^ACGTacgt]', 'N', 'g'), 'ACGTacgt', 'TGCATGCA'))"
@@ -298,16 +298,16 @@ def adapter_trim(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.trimmed(reads(spark, d), _keep_to(lambda s: adapter_at(s, ADAPTER1, gaps=False).clip(0)))
 
 
-def _gapped_sql(adapter: str, reads: str = "a") -> str:
+def _gapped_sql(adapter: str, reads: str = "a", t: str = "") -> str:
     """CTEs behind ``_adapter_sql`` up to ``trimmed``: where the adapter begins, straight or with one inserted or lost base."""
     n, cut = len(adapter), lambda x, b, e="": f"substr({x}, CAST({b} AS INTEGER){f', CAST({e} AS INTEGER)' if e else ''})"
-    return f"""g0 AS (SELECT row_number() OVER () AS k, seq, qual, read_id, n, hit_at FROM {reads}), g1 AS (SELECT k, seq, n, unnest(range(0, n)) AS p FROM g0 WHERE hit_at IS NULL),
-g2 AS (SELECT k, 1 AS turn, p, least(n - p - 1, {n}) AS c, {n - 1} AS most, {cut("seq", "p + 1", f"least(n - p - 1, {n})")} AS x, {cut("seq", "p + 2", f"least(n - p - 1, {n})")} AS y, {cut(f"'{adapter}'", 1, f"least(n - p - 1, {n})")} AS u, {cut(f"'{adapter}'", 1, f"least(n - p - 1, {n})")} AS v FROM g1 WHERE p < n - 5
- UNION ALL SELECT k, 2, p, least(n - p, {n - 1}), {n - 2}, {cut("seq", "p + 1", f"least(n - p, {n - 1})")}, {cut("seq", "p + 1", f"least(n - p, {n - 1})")}, {cut(f"'{adapter}'", 1, f"least(n - p, {n - 1})")}, {cut(f"'{adapter}'", 2, f"least(n - p, {n - 1})")} FROM g1 WHERE p < n - 4),
-g3 AS (SELECT *, c // 8 - 1 AS most_wrong FROM g2 WHERE c >= 8),
-g4 AS (SELECT * FROM g3 WHERE hamming({cut("x", 1, "c // 2")}, {cut("u", 1, "c // 2")}) <= most_wrong OR hamming({cut("y", "c // 2 + 1")}, {cut("v", "c // 2 + 1")}) <= most_wrong),
-g5 AS (SELECT k, turn, p FROM g4 WHERE list_min(list_transform(range(1, least(c, most) + 1), lambda i: hamming({cut("x", 1, "i")}, {cut("u", 1, "i")}) + CASE WHEN i < c THEN hamming({cut("y", "i + 1")}, {cut("v", "i + 1")}) ELSE 0 END)) <= most_wrong),
-g6 AS (SELECT k, min(turn * 1000000 + p) AS best FROM g5 GROUP BY k), trimmed AS (SELECT g0.*, coalesce(hit_at, best % 1000000) AS cut_at FROM g0 LEFT JOIN g6 USING (k))"""
+    return f"""g0{t} AS (SELECT row_number() OVER () AS k, seq, qual, read_id, n, hit_at FROM {reads}), g1{t} AS (SELECT k, seq, n, unnest(range(0, n)) AS p FROM g0{t} WHERE hit_at IS NULL),
+g2{t} AS (SELECT k, 1 AS turn, p, least(n - p - 1, {n}) AS c, {n - 1} AS most, {cut("seq", "p + 1", f"least(n - p - 1, {n})")} AS x, {cut("seq", "p + 2", f"least(n - p - 1, {n})")} AS y, {cut(f"'{adapter}'", 1, f"least(n - p - 1, {n})")} AS u, {cut(f"'{adapter}'", 1, f"least(n - p - 1, {n})")} AS v FROM g1{t} WHERE p < n - 5
+ UNION ALL SELECT k, 2, p, least(n - p, {n - 1}), {n - 2}, {cut("seq", "p + 1", f"least(n - p, {n - 1})")}, {cut("seq", "p + 1", f"least(n - p, {n - 1})")}, {cut(f"'{adapter}'", 1, f"least(n - p, {n - 1})")}, {cut(f"'{adapter}'", 2, f"least(n - p, {n - 1})")} FROM g1{t} WHERE p < n - 4),
+g3{t} AS (SELECT *, c // 8 - 1 AS most_wrong FROM g2{t} WHERE c >= 8),
+g4{t} AS (SELECT * FROM g3{t} WHERE hamming({cut("x", 1, "c // 2")}, {cut("u", 1, "c // 2")}) <= most_wrong OR hamming({cut("y", "c // 2 + 1")}, {cut("v", "c // 2 + 1")}) <= most_wrong),
+g5{t} AS (SELECT k, turn, p FROM g4{t} WHERE list_min(list_transform(range(1, least(c, most) + 1), lambda i: hamming({cut("x", 1, "i")}, {cut("u", 1, "i")}) + CASE WHEN i < c THEN hamming({cut("y", "i + 1")}, {cut("v", "i + 1")}) ELSE 0 END)) <= most_wrong),
+g6{t} AS (SELECT k, min(turn * 1000000 + p) AS best FROM g5{t} GROUP BY k), trimmed{t} AS (SELECT g0{t}.*, coalesce(hit_at, best % 1000000) AS cut_at FROM g0{t} LEFT JOIN g6{t} USING (k))"""
 
 
 @query(f"{_TRIMMED}, {_gapped_sql(ADAPTER1)} SELECT read_id, CASE WHEN cut_at IS NULL THEN seq ELSE substr(seq, 1, CAST(greatest(cut_at, 0) AS INTEGER)) END AS seq, CASE WHEN cut_at IS NULL THEN qual ELSE substr(qual, 1, CAST(greatest(cut_at, 0) AS INTEGER)) END AS qual FROM trimmed")
@@ -338,6 +338,25 @@ overlap(revcomp(seq), seq).overlap_len AS own_overlap, adapter_pos('GGGGTTTTACGT
     )
 
 
+#: A short list of adapters, cut one after the other.
+SHORT_LIST = (ADAPTER1, "GCGACTCTTCCCTAGTAGTGACC", "GGGTGGGACGCGGCCTAAGAACTTCAAC")
+
+
+def _list_sql() -> str:
+    cut = lambda c: f"CASE WHEN cut_at IS NULL THEN {c} ELSE substr({c}, 1, CAST(greatest(cut_at, 0) AS INTEGER)) END AS {c}"
+    parts, source = [READS], "reads"
+    for n, adapter in enumerate(SHORT_LIST):
+        parts += [_adapter_sql(adapter, f"a_{n}", source), _gapped_sql(adapter, f"a_{n}", f"_{n}"), f"cut_{n} AS (SELECT read_id, {cut('seq')}, {cut('qual')} FROM trimmed_{n})"]
+        source = f"cut_{n}"
+    return f"WITH {', '.join(parts)} SELECT read_id, seq, qual FROM {source}"
+
+
+@query(_list_sql())
+def adapter_short_list(spark: SparkSession, d: str) -> DataFrame:
+    o = Options(adapter1="", adapter_list=SHORT_LIST, poly_g=False).resolved()
+    return cleaning.clean_single(reads(spark, d), o).select("read_id", "seq", "qual")
+
+
 @query()
 def adapter_list_trim(spark: SparkSession, d: str) -> DataFrame:
     known = spark.read.parquet(f"{d}/known_adapters.parquet").select(F.upper("seq").alias("s")).where("s rlike '^[ACGT]{6,}$'").distinct()
