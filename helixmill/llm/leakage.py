@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.llm.sample import sampled
 from helixmill.operators.staging import BROADCAST_BYTES, staged
 
 _WORD = re.compile(r"[^\W_]+")
@@ -119,8 +120,7 @@ def sampled_passages(docs: DataFrame, vocabulary: dict[str, int], idf: np.ndarra
                         weights.append(weight[i] / np.sqrt((weight[i].astype(float) ** 2).sum()))
             yield _rows(ids, weights)
 
-    some = docs.where("doc_id is not null and text is not null").select("text", F.xxhash64(F.lit(opts.seed), "doc_id").alias("h")).orderBy("h").limit(opts.sample)
-    return some.select("text").mapInArrow(cut, "ids array<int>, weights array<float>")
+    return sampled(docs.where("text is not null"), opts.sample, opts.seed).select("text").mapInArrow(cut, "ids array<int>, weights array<float>")
 
 
 def _rows(ids: list, weights: list) -> pa.RecordBatch:

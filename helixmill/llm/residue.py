@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm.residue_seeds import MENTIONS, families
+from helixmill.llm.sample import sampled
 from helixmill.operators.exchange import from_planes, planes
+from helixmill.operators.staging import staged
 
 _APART = re.compile(r"<(nowiki|pre|syntaxhighlight|math)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _QUOTED = re.compile(r"\"[^\"\n]{2,300}\"|“[^”\n]{2,300}”|«[^»\n]{2,300}»|„[^“”\n]{2,300}[“”]|(?<!')''(?!')[^'\n]*[^'\n\W][ ][^'\n]*''(?!')")
@@ -275,8 +277,7 @@ def weak_labels(docs: DataFrame, judge: Judge, opts: ResidueOptions) -> dict[str
                     rows += [(kind, lines[i]) for i in np.flatnonzero(n >= opts.share * np.array([len(x) for x in lines]))] if kind in opts.learn else []
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "line"])
 
-    some = docs.select("text", F.xxhash64(F.lit(opts.seed), "doc_id").alias("h")).orderBy("h").limit(opts.sample).select("text")
-    found = some.mapInArrow(find, "kind string, line string").distinct()
+    found = staged(sampled(docs, opts.sample, opts.seed).select("text").mapInArrow(find, "kind string, line string").distinct(), "lines")
     out: dict[str, list[str]] = {}
     for kind in opts.learn:  # bounded lists of bounded lines
         out[kind] = [r["line"] for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("line"), "line").limit(opts.lines).collect()]
