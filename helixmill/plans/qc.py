@@ -254,29 +254,37 @@ def _keep_to(end):
     return lambda s, q: (s.size >= 0, s.size * 0, end(s))
 
 
-@query(
-    f"""WITH {READS}, m AS (SELECT read_id, seq, qual, length(seq) AS n, list_filter(range(0, length(seq)), lambda i: length(regexp_replace(right(seq, i + 1), 'G', '', 'g')) > 5 OR (length(regexp_replace(right(seq, i + 1), 'G', '', 'g')) > (i + 1) // 8 AND i >= 9))[1] AS hit FROM reads),
-s AS (SELECT *, coalesce(hit, n) AS stop FROM m), e AS (SELECT *, CASE WHEN stop >= 10 AND n > 0 THEN CASE WHEN contains(right(seq, stop), 'G') THEN n - stop + instr(right(seq, stop), 'G') - 1 ELSE n - 1 END ELSE n END AS e FROM s)
-SELECT read_id, substr(seq, 1, e) AS seq, substr(qual, 1, e) AS qual FROM e"""
-)
+def _polyg_sql(source: str, name: str) -> str:
+    """``source`` with its tails of G cut, as ``name``."""
+    return f"""{name}_m AS (SELECT *, length(seq) AS n, list_filter(range(0, length(seq)), lambda i: length(regexp_replace(right(seq, i + 1), 'G', '', 'g')) > 5 OR (length(regexp_replace(right(seq, i + 1), 'G', '', 'g')) > (i + 1) // 8 AND i >= 9))[1] AS hit FROM {source}),
+{name}_s AS (SELECT *, coalesce(hit, n) AS stop FROM {name}_m), {name}_e AS (SELECT *, CASE WHEN stop >= 10 AND n > 0 THEN CASE WHEN contains(right(seq, stop), 'G') THEN n - stop + instr(right(seq, stop), 'G') - 1 ELSE n - 1 END ELSE n END AS e FROM {name}_s),
+{name} AS (SELECT * EXCLUDE (n, hit, stop, e) REPLACE (substr(seq, 1, e) AS seq, substr(qual, 1, e) AS qual) FROM {name}_e)"""
+
+
+@query(f"WITH {READS}, {_polyg_sql('reads', 'cut')} SELECT read_id, seq, qual FROM cut")
 def polyg_trim(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.trimmed(reads(spark, d), _keep_to(poly_g_end))
 
 
-_POLYX = f"""WITH {READS}, r AS (SELECT row_number() OVER () AS k, * FROM reads), t AS (SELECT k, seq, qual, length(seq) AS n, unnest(range(0, length(seq))) AS i FROM r),
-u AS (SELECT k, n, i, substr(seq, CAST(n - i AS INTEGER), 1) AS c FROM t),
-m AS (SELECT k, n, i, {", ".join(f"count(*) FILTER (c = '{b}' OR c = 'N') OVER w AS c{b}" for b in "ATCG")} FROM u WINDOW w AS (PARTITION BY k ORDER BY i)),
-h AS (SELECT k, min(i) FILTER (i + 1 - greatest(cA, cT, cC, cG) > least(5, (i + 1) // 8) AND (i >= 8 OR i + 1 >= 9)) AS hit FROM m GROUP BY k),
-s AS (SELECT m.k, m.n, i, CASE greatest(cA, cT, cC, cG) WHEN cA THEN 'A' WHEN cT THEN 'T' WHEN cC THEN 'C' ELSE 'G' END AS base FROM m JOIN h ON m.k = h.k AND m.i = least(coalesce(hit, m.n), m.n - 1)),
-x AS (SELECT r.read_id, r.seq, r.qual, length(r.seq) AS n, base, coalesce(i + 1 >= 10 AND instr(right(r.seq, i + 1), base) > 0, false) AS cut, length(r.seq) - i - 2 + instr(right(r.seq, i + 1), base) AS kept FROM r LEFT JOIN s USING (k))"""
+def _polyx_sql(source: str, name: str = "p") -> str:
+    """CTEs up to ``name``_x: ``source`` with whether a tail of one base is cut, and what is kept."""
+    return f"""{name}_r AS (SELECT row_number() OVER () AS k, * FROM {source}), {name}_t AS (SELECT k, seq, qual, length(seq) AS n, unnest(range(0, length(seq))) AS i FROM {name}_r AS r),
+{name}_u AS (SELECT k, n, i, substr(seq, CAST(n - i AS INTEGER), 1) AS c FROM {name}_t AS t),
+{name}_m AS (SELECT k, n, i, {", ".join(f"count(*) FILTER (c = '{b}' OR c = 'N') OVER w AS c{b}" for b in "ATCG")} FROM {name}_u AS u WINDOW w AS (PARTITION BY k ORDER BY i)),
+{name}_h AS (SELECT k, min(i) FILTER (i + 1 - greatest(cA, cT, cC, cG) > least(5, (i + 1) // 8) AND (i >= 8 OR i + 1 >= 9)) AS hit FROM {name}_m AS m GROUP BY k),
+{name}_s AS (SELECT m.k, m.n, i, CASE greatest(cA, cT, cC, cG) WHEN cA THEN 'A' WHEN cT THEN 'T' WHEN cC THEN 'C' ELSE 'G' END AS base FROM {name}_m AS m JOIN {name}_h AS h ON m.k = h.k AND m.i = least(coalesce(hit, m.n), m.n - 1)),
+{name}_x AS (SELECT r.*, length(r.seq) AS n, base, coalesce(i + 1 >= 10 AND instr(right(r.seq, i + 1), base) > 0, false) AS cut, length(r.seq) - i - 2 + instr(right(r.seq, i + 1), base) AS kept FROM {name}_r AS r LEFT JOIN {name}_s AS s USING (k))"""
 
 
-@query(f"{_POLYX} SELECT read_id, substr(seq, 1, CASE WHEN cut THEN kept ELSE n END) AS seq, substr(qual, 1, CASE WHEN cut THEN kept ELSE n END) AS qual FROM x")
+_POLYX = f"WITH {READS}, {_polyx_sql('reads')}"
+
+
+@query(f"{_POLYX} SELECT read_id, substr(seq, 1, CASE WHEN cut THEN kept ELSE n END) AS seq, substr(qual, 1, CASE WHEN cut THEN kept ELSE n END) AS qual FROM p_x")
 def polyx_trim(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.trimmed(reads(spark, d), _keep_to(lambda s: poly_x_end(s)[0]))
 
 
-@query(f"{_POLYX} SELECT base AS poly_base, count(*) AS reads, CAST(sum(n - kept) AS BIGINT) AS bases FROM x WHERE cut GROUP BY 1")
+@query(f"{_POLYX} SELECT base AS poly_base, count(*) AS reads, CAST(sum(n - kept) AS BIGINT) AS bases FROM p_x WHERE cut GROUP BY 1")
 def polyx_counts(spark: SparkSession, d: str) -> DataFrame:
     o = Options(poly_x=True, adapter_trimming=False, poly_g=False).resolved()
     cut = cleaning.clean_single(reads(spark, d), o).where("poly_base is not null")
@@ -301,7 +309,7 @@ def adapter_trim(spark: SparkSession, d: str) -> DataFrame:
 def _gapped_sql(adapter: str, reads: str = "a", t: str = "") -> str:
     """CTEs behind ``_adapter_sql`` up to ``trimmed``: where the adapter begins, straight or with one inserted or lost base."""
     n, cut = len(adapter), lambda x, b, e="": f"substr({x}, CAST({b} AS INTEGER){f', CAST({e} AS INTEGER)' if e else ''})"
-    return f"""g0{t} AS (SELECT row_number() OVER () AS k, seq, qual, read_id, n, hit_at FROM {reads}), g1{t} AS (SELECT k, seq, n, unnest(range(0, n)) AS p FROM g0{t} WHERE hit_at IS NULL),
+    return f"""g0{t} AS (SELECT row_number() OVER () AS k, * FROM {reads}), g1{t} AS (SELECT k, seq, n, unnest(range(0, n)) AS p FROM g0{t} WHERE hit_at IS NULL),
 g2{t} AS (SELECT k, 1 AS turn, p, least(n - p - 1, {n}) AS c, {n - 1} AS most, {cut("seq", "p + 1", f"least(n - p - 1, {n})")} AS x, {cut("seq", "p + 2", f"least(n - p - 1, {n})")} AS y, {cut(f"'{adapter}'", 1, f"least(n - p - 1, {n})")} AS u, {cut(f"'{adapter}'", 1, f"least(n - p - 1, {n})")} AS v FROM g1{t} WHERE p < n - 5
  UNION ALL SELECT k, 2, p, least(n - p, {n - 1}), {n - 2}, {cut("seq", "p + 1", f"least(n - p, {n - 1})")}, {cut("seq", "p + 1", f"least(n - p, {n - 1})")}, {cut(f"'{adapter}'", 1, f"least(n - p, {n - 1})")}, {cut(f"'{adapter}'", 2, f"least(n - p, {n - 1})")} FROM g1{t} WHERE p < n - 4),
 g3{t} AS (SELECT *, c // 8 - 1 AS most_wrong FROM g2{t} WHERE c >= 8),
@@ -410,7 +418,22 @@ def doc_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return grams.where("gram rlike '^[a-z]{5}$'").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
 
 
-@query()
+def _full_se() -> str:
+    cut = lambda c: f"CASE WHEN cut_at IS NULL THEN {c} ELSE substr({c}, 1, CAST(greatest(cut_at, 0) AS INTEGER)) END AS {c}"
+    inner = lambda c: f"CASE WHEN length(seq) >= 2 THEN substr({c}, 2, length(seq) - 2) ELSE '' END AS {c}"
+    kept = lambda c: f"substr({c}, 1, CASE WHEN cut THEN kept ELSE n END) AS {c}"
+    tags = " ".join(f"WHEN {k} THEN '{t}'" for k, t in E.TAGS.items())
+    return f"""WITH {READS}, heads AS (SELECT DISTINCT min(read_id) AS read_id FROM reads GROUP BY regexp_replace(seq, '[^ATCG]', 'N', 'g')),
+f0 AS (SELECT reads.read_id, name, strand, {inner("seq")}, {inner("qual")}, length(seq) >= 2 AS there, heads.read_id IS NULL AS dup FROM reads LEFT JOIN heads ON reads.read_id = heads.read_id),
+{_polyg_sql("f0", "f1")}, {_adapter_sql(ADAPTER1, "a_f", "f1")}, {_gapped_sql(ADAPTER1, "a_f", "_f")},
+f2 AS (SELECT read_id, name, strand, {cut("seq")}, {cut("qual")}, there, dup, there AND cut_at <= 2 AS dimer FROM trimmed_f), {_polyx_sql("f2", "q")},
+f3 AS (SELECT read_id, name, strand, {kept("seq")}, {kept("qual")}, there, dup, coalesce(dimer, false) AS dimer FROM q_x), f4 AS (SELECT *, length(seq) AS n FROM f3),
+v AS (SELECT *, CASE WHEN dimer THEN 28 WHEN NOT there OR n = 0 THEN 16 WHEN length(regexp_replace(qual, '[^!-/]', '', 'g')) * 100 > 40 * n THEN 20 WHEN length(regexp_replace(seq, '[^N]', '', 'g')) > 5 THEN 12 WHEN n < 15 THEN 16
+ WHEN len(list_filter(range(1, n), lambda i: substr(seq, CAST(i AS INTEGER), 1) <> substr(seq, CAST(i + 1 AS INTEGER), 1))) * 100 < 30 * (n - 1) THEN 24 ELSE 0 END AS verdict FROM f4)
+SELECT CASE verdict WHEN 0 THEN 'out1' ELSE 'failed' END AS route, read_id, CAST(1 AS INTEGER) AS mate, CASE verdict WHEN 0 THEN name ELSE name || ' ' || CASE verdict {tags} END END AS name, seq, strand, qual FROM v WHERE verdict <> 0 OR NOT dup"""
+
+
+@query(_full_se())
 def full_se_pipeline(spark: SparkSession, d: str) -> DataFrame:
     from helixmill.plans.pipeline import single
 
