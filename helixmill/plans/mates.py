@@ -254,7 +254,28 @@ def umi_per_read(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.move_umi_pairs(named, "per_read", 6, 1).select("read_id", "name1", "seq1", "seq2")
 
 
-@query()
+def _full_pe() -> str:
+    """The pair pipeline step by step: tails of G, overlap, correction, adapters behind the insert, exactly overlapping parts, tails of one base, verdicts, routes."""
+    from helixmill.plans.qc import _polyg_sql, _polyx_sql
+
+    side = lambda of, m: f"SELECT read_id, seq{m} AS seq, qual{m} AS qual FROM {of}"
+    both = lambda name, of, one, two: f"{name} AS (SELECT {of}.* REPLACE (x.seq AS seq1, x.qual AS qual1, y.seq AS seq2, y.qual AS qual2) FROM {of} JOIN {one} AS x USING (read_id) JOIN {two} AS y USING (read_id))"
+    kept = lambda c: f"substr({c}, 1, CASE WHEN cut THEN kept ELSE n END) AS {c}"
+    short = lambda c, n: f"CASE WHEN overlapped AND off < 0 THEN substr({c}, 1, CAST(least({n}, ol) AS INTEGER)) ELSE {c} END AS {c}"
+    tag = lambda v: f"CASE {v} {' '.join(f"WHEN {k} THEN '{t}'" for k, t in E.TAGS.items())} END"
+    parts = [PAIRS, "heads AS (SELECT min(read_id) AS read_id FROM pairs GROUP BY regexp_replace(seq1 || seq2, '[^ATCG]', 'N', 'g'))", f"g1 AS ({side('pairs', 1)})", _polyg_sql("g1", "h1"), f"g2 AS ({side('pairs', 2)})", _polyg_sql("g2", "h2"), both("tails", "pairs", "h1", "h2")]
+    parts += [_overlaps("tails", "s"), f"fixed AS (SELECT read_id, name, l1, l2, overlapped, off, ol, {_fixed(1)}, {_fixed(2)} FROM s)"]
+    parts += [f"cut AS (SELECT read_id, name, {short('seq1', 'l1')}, {short('qual1', 'l1')}, {short('seq2', 'l2')}, {short('qual2', 'l2')}, overlapped AND off < 0 AND (l1 > ol OR l2 > ol) AND least(l1, ol) <= 2 AND least(l2, ol) <= 2 AS dimer FROM fixed)", _overlaps("cut", "e", 0)]
+    parts += [f"c1 AS ({side('cut', 1)})", _polyx_sql("c1", "p1"), f"k1 AS (SELECT read_id, {kept('seq')}, {kept('qual')} FROM p1_x)", f"c2 AS ({side('cut', 2)})", _polyx_sql("c2", "p2"), f"k2 AS (SELECT read_id, {kept('seq')}, {kept('qual')} FROM p2_x)", both("done", "cut", "k1", "k2")]
+    parts += [f"v AS (SELECT *, CASE WHEN dimer THEN 28 ELSE {_PASSES('seq1', 'qual1')} END AS v1, CASE WHEN dimer THEN 28 ELSE {_PASSES('seq2', 'qual2')} END AS v2 FROM done SEMI JOIN heads USING (read_id))"]
+    row = lambda m, route, name, where: f"SELECT '{route}' AS route, read_id, CAST({m} AS INTEGER) AS mate, {name} AS name, seq{m} AS seq, '+' AS strand, qual{m} AS qual FROM v WHERE {where}"
+    rows = [row(1, "out1", "name", "v1 = 0 AND v2 = 0"), row(2, "out2", "name", "v1 = 0 AND v2 = 0"), row(1, "unpaired1", "name", "v1 = 0 AND v2 <> 0"), row(2, "unpaired1", "name", "v2 = 0 AND v1 <> 0")]
+    rows += [row(1, "failed", f"name || ' ' || {tag('v1')}", "v1 <> 0"), row(2, "failed", f"name || ' ' || {tag('v2')}", "v2 <> 0")]
+    rows.append("SELECT 'overlapped', read_id, 0, name, substr(seq1, CAST(greatest(off, 0) + 1 AS INTEGER), CAST(ol AS INTEGER)), '+', substr(qual1, CAST(greatest(off, 0) + 1 AS INTEGER), CAST(ol AS INTEGER)) FROM e SEMI JOIN heads USING (read_id) WHERE overlapped")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+@query(_full_pe())
 def full_pe_pipeline(spark: SparkSession, d: str) -> DataFrame:
     o = Options(correction=True, poly_g=True, poly_x=True, dedup=True, out1="a", out2="b", unpaired1="u", overlapped_out="o")
     return pipeline.paired(pairs(spark, d), o).routed
