@@ -132,11 +132,15 @@ def duplication(df: DataFrame, *key: str) -> DataFrame:
     return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct_reads")).withColumn("rate", F.round(F.when(F.col("total") > 0, 1 - F.col("distinct_reads") / F.col("total")).otherwise(0.0), 6))
 
 
+def heads(df: DataFrame, key: list[str], ordinal: str = "read_id") -> DataFrame:
+    """(ordinal): the smallest ordinal of each key, once; anything but ATCG compares as N. Copies of one key meet map-side."""
+    same = F.md5(F.regexp_replace(F.concat(*key), "[^ATCG]", "N"))
+    return df.groupBy(same.alias("_k")).agg(F.min(ordinal).alias(ordinal)).select(ordinal).distinct()
+
+
 def first_of_each(df: DataFrame, key: list[str], ordinal: str = "read_id") -> DataFrame:
     """The rows whose key no row with a smaller ordinal has: exact duplicate removal, first one wins.
 
     An aggregate finds the first of each key and a join keeps it; no window, so copies of one key never gather in one task.
     """
-    same = F.md5(F.regexp_replace(F.concat(*key), "[^ATCG]", "N"))
-    heads = df.groupBy(same.alias("_k")).agg(F.min(ordinal).alias(ordinal)).select(ordinal).distinct()
-    return df.join(heads, ordinal, "left_semi")
+    return df.join(heads(df, key, ordinal), ordinal, "left_semi")

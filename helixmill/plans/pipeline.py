@@ -32,7 +32,7 @@ def _duplicates(df: DataFrame, o: Options, *key: str) -> DataFrame:
     """``dup``: whether a read with a smaller ordinal has the same raw bases. Only where asked for: it is a shuffle."""
     if not o.dedup:
         return df.withColumn("dup", F.lit(False))
-    heads = stats.first_of_each(df.select("read_id", *key), list(key)).select("read_id", F.lit(True).alias("_head")).distinct()  # once where a read was delivered twice
+    heads = stats.heads(df, list(key)).select("read_id", F.lit(True).alias("_head"))
     return df.join(heads, "read_id", "left").withColumn("dup", F.col("_head").isNull()).drop("_head")
 
 
