@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.rolling import codes, flat, mix, window_starts
+from helixmill.operators.exchange import from_planes, planes
 from helixmill.operators.staging import BROADCAST_BYTES, small_enough, spread, staged
 from helixmill.operators.stats import kmer_name, kmers
 
@@ -46,6 +48,7 @@ def hot_sequences(df: DataFrame, steps: list[int] | None = None, buckets_bits: i
     scale = max(1.0, shape["b"] / HOT_BASES)
     least = {s: int(np.ceil(hot_least(s, shape["n"]) * scale)) for s in steps}
     width = 1 << buckets_bits
+    stripe = min(width, 1 << 16)  # counts move packed by stripes
 
     def slots(chars, at, step):
         owner, place = window_starts(at, step)
@@ -59,16 +62,20 @@ def hot_sequences(df: DataFrame, steps: list[int] | None = None, buckets_bits: i
                 chars, at = flat(batch.column(0))
                 for s in steps:
                     total[s] += np.bincount(slots(chars, at, s)[2], minlength=width)
-        for s in steps:
-            there = np.flatnonzero(total[s])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), s, np.int32)), pa.array(there), pa.array(total[s][there])], names=["step", "bucket", "n"])
+        cells = [(s, i, total[s][i : i + stripe]) for s in steps for i in range(0, width, stripe)]
+        cells = [(s, i, pa.compress(planes(c), codec="zstd", asbytes=True)) for s, i, c in cells if c.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in cells], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["step", "begin", "part"])
+
+    def often(frame):
+        """Buckets of a stripe that reach the least count, of the sums of all tasks."""
+        step, begin = int(frame["step"].iloc[0]), int(frame["begin"].iloc[0])
+        total = sum(from_planes(pa.decompress(p, decompressed_size=8 * stripe, codec="zstd", asbytes=True), stripe, np.int64) for p in frame["part"])
+        bucket = np.flatnonzero(total >= least[step]) + begin
+        return pd.DataFrame({"step": np.full(len(bucket), step, np.int32), "bucket": bucket.astype(np.int64)})
 
     seqs = spread(df.select("seq"))
-    enough = F.lit(False)
-    for s in steps:
-        enough = enough | ((F.col("step") == s) & (F.col("n") >= least[s]))
     # at most 2^buckets_bits a step, and no more than the total over the least count
-    heavy = seqs.mapInArrow(coarse, "step int, bucket long, n long").groupBy("step", "bucket").agg(F.sum("n").alias("n")).where(enough).select("step", "bucket").collect()
+    heavy = seqs.mapInArrow(coarse, "step int, begin long, part binary").groupBy("step", "begin").applyInPandas(often, "step int, bucket long").collect()
     marks = {s: np.zeros(width, bool) for s in steps}
     for r in heavy:
         marks[r["step"]][r["bucket"]] = True
