@@ -175,7 +175,7 @@ def test_spans(spark, monkeypatch, partitions, hot):
 def test_empty(spark):
     for rows in ([], [(1, None), (2, "")]):
         df = table(spark, rows)
-        assert neardup.similar_pairs(df).count() == spans.shared_spans(df).count() == heavy.frequent_ids(df, "seq", "read_id", 0.1).count() == neardup.membership(df).count() == 0
+        assert neardup.similar_pairs(df).count() == spans.shared_spans(df).count() == heavy.frequent_ids(df, "seq", "read_id", 0.1).count() == neardup.membership(df).count() == neardup.groups(df).count() == spans.shared_share(df.limit(0)).count() == 0
 
 
 def test_heavy(spark):

@@ -143,8 +143,10 @@ def test_mix(spark):
     assert got["empty"]["drawn"] == 0 and used.turn.between(0, 1).all() and used.block.nunique() > 4
     again, _ = mixing.mix(docs(spark, rows), t, path, opts)
     assert again.toPandas().sort_values("turn").doc_id.tolist() == used.sort_values("turn").doc_id.tolist()
-    nothing, report = mixing.mix(docs(spark, []), t, path)
-    assert nothing.count() == 0 and report.count() == 4
+    for options in (mixing.MixOptions(), mixing.MixOptions(of_all=0.9), mixing.MixOptions(even=0.8)):
+        nothing, report = mixing.mix(docs(spark, []), t, path, options)
+        assert nothing.count() == 0 and report.count() == 4
+    assert mixing.mix(docs(spark, rows[:5]), t.limit(0), path)[0].count() == 0
 
 
 @pytest.mark.parametrize("kind", queries.MIXES)
