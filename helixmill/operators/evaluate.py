@@ -90,9 +90,20 @@ def hot_sequences(df: DataFrame, steps: list[int] | None = None, buckets_bits: i
             for s in steps:
                 owner, place, slot = slots(chars, at, s)
                 keep = known.value[s][slot]
-                begin = place[keep] - at[:-1][owner[keep]]
-                found, count = np.unique(np.array([texts[o][b : b + s] for o, b in zip(owner[keep], begin)], dtype=object), return_counts=True) if keep.any() else ([], [])
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(map(int, count)), pa.int64())], names=["seq", "n"])
+                place, owner = place[keep], owner[keep]
+                if not len(place):
+                    continue
+                _, first, same, count = np.unique(codes(chars, s)[place], return_index=True, return_inverse=True, return_counts=True)
+                text = lambda i: texts[owner[i]][place[i] - at[owner[i]] : place[i] - at[owner[i]] + s]
+                found = [text(i) for i in first]
+                heads = place[first][same]
+                odd = np.zeros(len(place), bool)  # of equal code, but another text
+                for k in range(s):
+                    odd |= chars[place + k] != chars[heads + k]
+                if odd.any():
+                    count = count - np.bincount(same[odd], minlength=len(count))
+                    found, count = found + [text(i) for i in np.flatnonzero(odd)], np.append(count, np.ones(odd.sum(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(count.astype(np.int64))], names=["seq", "n"])
 
     exact = F.lit(False)
     for s in steps:
