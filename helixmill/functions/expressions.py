@@ -43,6 +43,12 @@ def complex_enough(seq, percent: int = 30) -> Column:
     return F.when(F.length(s) > 1, changes(s) * 100 >= percent * (F.length(s) - 1)).otherwise(False)
 
 
+def poor_adapter(seq) -> Column:
+    """Fewer than half of an adapter's letters differ from the one before (half rounded down); null stays null."""
+    s = _col(seq)
+    return F.when(s.isNotNull(), changes(s) < F.floor(F.length(s) / 2))
+
+
 def hamming(a, b) -> Column:
     """Differences over the shorter length."""
     a, b = _col(a), _col(b)

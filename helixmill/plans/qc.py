@@ -329,6 +329,15 @@ def adapter_counts(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.clean_single(reads(spark, d), o).where("adapter is not null").groupBy("adapter").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""{_TRIMMED}, p AS (SELECT CASE WHEN hit_at < 0 THEN substr('{ADAPTER1}', 1, CAST({len(ADAPTER1)} + hit_at AS INTEGER)) ELSE substr(seq, CAST(hit_at + 1 AS INTEGER)) END AS adapter FROM a WHERE hit_at IS NOT NULL)
+SELECT adapter, count(*) AS n, len(list_filter(range(1, length(adapter)), lambda i: substr(adapter, CAST(i AS INTEGER), 1) <> substr(adapter, CAST(i + 1 AS INTEGER), 1))) < length(adapter) // 2 AS poor FROM p GROUP BY adapter"""
+)
+def adapter_complexity(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces that were cut, with whether they are of low complexity."""
+    return adapter_counts(spark, d).withColumn("poor", E.poor_adapter("adapter"))
+
+
 @query(f"{_TRIMMED} SELECT read_id FROM a WHERE greatest(hit_at, 0) <= 70 AND hit_at IS NOT NULL")
 def adapter_dimer(spark: SparkSession, d: str) -> DataFrame:
     o = Options(adapter1=ADAPTER1, gapped_adapters=False, poly_g=False, dimer_max_len=70).resolved()
