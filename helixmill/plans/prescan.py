@@ -49,6 +49,18 @@ def overrep_hot(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.hot_sequences(_distinct_reads(spark, d))
 
 
+@query(
+    f"""{_HOT}, held AS (SELECT a.seq, list({{'s': b.seq, 'n': b.n}}) AS holders, any_value(a.n) AS n FROM h a JOIN h b ON length(b.seq) > length(a.seq) AND contains(b.seq, a.seq) GROUP BY a.seq),
+turns AS (SELECT list({{'gone': CAST([] AS VARCHAR[]), 's': seq, 'n': n, 'holders': holders}} ORDER BY seq) AS all_ FROM held),
+ended AS (SELECT list_reduce(list_prepend({{'gone': CAST([] AS VARCHAR[]), 's': '', 'n': CAST(0 AS BIGINT), 'holders': []}}, all_), lambda a, x: {{'gone': CASE WHEN len(list_filter(x.holders, lambda y: NOT list_contains(a.gone, y.s) AND x.n // y.n < 10)) > 0 THEN list_append(a.gone, x.s) ELSE a.gone END, 's': '', 'n': CAST(0 AS BIGINT), 'holders': x.holders}}) AS r FROM turns)
+SELECT seq, n FROM h WHERE seq NOT IN (SELECT unnest(r.gone) FROM ended)"""
+)
+def overrep_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Hot sequences without those that stand in another one which isn't much rarer, in order."""
+    found = [(r["seq"], r["n"]) for r in evaluate.hot_sequences(_distinct_reads(spark, d)).collect()]  # bounded by the bases over the least counts, which grow with them
+    return spark.createDataFrame(evaluate.without_contained(found), "seq string, n long")
+
+
 def _hot_of(table: str) -> str:
     return _HOT.replace(f"WITH {READS}, r AS (SELECT DISTINCT read_id, seq FROM reads)", f"WITH {PAIRS}, r AS ({table})")
 
