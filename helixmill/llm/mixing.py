@@ -143,18 +143,20 @@ def weights_of(tokens: list[int], target: list[float], most: list[int], opts: Mi
     return w, t, room if budget is None else min(budget, room)
 
 
-def mix(docs: DataFrame, targets: DataFrame, path: str, opts: MixOptions = MixOptions()) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, path: str, opts: MixOptions = MixOptions(), sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(draw, report). draw: doc_id, source, tokens, round, block, turn; every use of a drawn document once: in which round over its
     source, in which block of the round's permutation, and where in the mix, from 0 to 1. report: one row per source of ``targets`` with
     its target, the normalised weight and the exponent it comes from, its tokens, the tokens drawn, the share reached and the most uses of a document.
 
+    ``sizes``: the documents' sizes as from ``token_sizes``, where several mixes share them.
     ``targets``: source, target_share, max_repeats; the few sources there are, null or repeated ones are left out.
     Documents without a source or of a source not in ``targets``, without text or tokens are never drawn. An empty table gives an empty draw.
     """
     spark = docs.sparkSession
     wanted = {r["source"]: r for r in targets.where("source is not null").orderBy(F.desc("source")).collect()}
     names = sorted(wanted)
-    sized = token_sizes(docs.where(F.col("source").isin(names)), path).where("tokens > 0") if names else token_sizes(docs.limit(0), path)
+    known = F.col("source").isin(names or [""])
+    sized = (sizes.where(known) if sizes is not None else token_sizes(docs.where(known), path)).where("tokens > 0")
     order = F.shiftrightunsigned(F.xxhash64(F.lit(opts.seed), "doc_id"), 8)  # 56 bits, not negative
     sized = staged(sized.withColumn("place", order), "sized")
     totals = {r["source"]: (r["tokens"], r["n"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from helixmill.llm import heavy, leakage, mixing, neardup, residue, spans
 from helixmill.llm.reads import reads
+from helixmill.operators.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,7 +96,9 @@ def p7_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target, weight, exponent and share reached of every source, for each kind of mix."""
-    parts = [_mix(spark, sf_dir, opts)[1].select(F.lit(kind).alias("mix"), "*") for kind, opts in MIXES.items()]
+    docs, targets = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/mix_targets.parquet")
+    sizes = staged(mixing.token_sizes(docs, tokenizer()), "tokens")
+    parts = [mixing.mix(docs, targets, tokenizer(), opts, sizes)[1].select(F.lit(kind).alias("mix"), "*") for kind, opts in MIXES.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
